@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidalgrid.llm import decontaminate, fingerprints, licenses, pieces, token_store, toxicity, url_filter
+from tidalgrid.llm import decontaminate, fingerprints, jaccard, licenses, pieces, repeats, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_token_files": token_store.op5_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_jaccard": jaccard.op8_jaccard,
+    "op9_repeats": repeats.op9_repeats,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_url_filter": url_filter.ORACLE}
