@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalgrid.llm import decontaminate, pieces, toxicity
+from tidalgrid.llm import decontaminate, jaccard, lines, pieces, toxicity
 from tidalgrid.llm.common import scratch
 
 STAGES = [
     ("toxicity", toxicity.stage),
-    ("decontamination", decontaminate.stage),
-    ("pieces", pieces.stage),
+    ("line dedup", lines.stage),
+    ("n-gram Jaccard join", jaccard.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("SentencePiece encoding and decoding", pieces.stage),
 ]
 
 #: The stages train a model and encode by a vocabulary, which SQL can't express.
@@ -25,7 +27,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
+        path = scratch(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

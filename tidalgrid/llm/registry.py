@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidalgrid.llm import decontaminate, fingerprints, jaccard, licenses, pieces, repeats, token_store, toxicity, url_filter
+from tidalgrid.llm import decontaminate, fingerprints, jaccard, licenses, lines, pieces, repeats, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pieces": pieces.op2_pieces,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_licenses": licenses.op4_licenses,
     "op5_token_files": token_store.op5_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_repeats": repeats.op9_repeats,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_url_filter": url_filter.ORACLE}
