@@ -38,7 +38,7 @@ CHUNK_BYTES = 4 << 20
 MESSAGE = "kind int, bucket int, chunk int, a binary, b binary, c binary"
 _NAMES = ["kind", "bucket", "chunk", "a", "b", "c"]
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-SEEN, AROUND, KIND, STRING = 0, 1, 2, 3
+SEEN, AROUND, KIND, STRING, FIRST = 0, 1, 2, 3, 4
 MANY = np.uint64(0)
 
 
@@ -129,6 +129,17 @@ def _blocks(column) -> Iterator[tuple[int, int, Runs, np.ndarray]]:
         yield lo, hi, Runs(buf, offsets), buf
 
 
+def _chosen(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """The rows of a chunk that are the first of their text, by the messages that name these."""
+    wanted = {(r["a"].hex(), int.from_bytes(r["b"], "big", signed=True)) for r in answers.select(["kind", "a", "b"]).to_pylist() if r["kind"] == FIRST} if answers.num_rows else set()
+    rows = []
+    for i, row in enumerate(zip(texts["key"].to_pylist(), texts["doc_id"].to_pylist(), strict=True)) if texts.num_rows else ():
+        if row in wanted:
+            wanted.remove(row)
+            rows.append(i)
+    return texts.take(rows) if rows else texts.slice(0, 0)
+
+
 class _Answers:
     """The answers to one chunk, by kind."""
 
@@ -167,19 +178,24 @@ def _resolve(runs: Runs, docs: np.ndarray, around: tuple[np.ndarray, np.ndarray]
     return goes, known & ~goes & many
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text of ``docs`` (key, doc_id, text) whose ids aren't null: ``key``, the kept text as
-    bytes (``kept``), ``n_removed`` and ``spans``, the removed byte ranges."""
+def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One row for each of ``firsts`` (key, doc_id: the texts to work on, each once): ``key``, the kept text as bytes
+    (``kept``), ``n_removed`` and ``spans``, the removed byte ranges. ``docs`` (key, doc_id, text) may hold more rows."""
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(n, -(-int(total) // CHUNK_BYTES))
     buckets = n
-    own = docs.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")).repartition(n, "chunk")
-    by_chunk = own.groupBy("chunk")
-
-    def send_seen(table: pa.Table) -> pa.Table:
+    chunk_of = F.pmod(F.xxhash64("key", "doc_id"), F.lit(chunks)).cast("int")
+    by_chunk = docs.withColumn("chunk", chunk_of).repartition(n, "chunk").groupBy("chunk")
+    number = F.unhex(F.lpad(F.hex("doc_id"), 16, "0"))
+    named = firsts.select(F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), chunk_of.alias("chunk"), F.unhex("key").alias("a"), number.alias("b"), F.lit(None).cast("binary").alias("c"))
+
+    def send_seen(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _chosen(texts, answers)
+        if not table.num_rows:
+            return _table([])
         chunk, ids = table["chunk"][0].as_py(), np.asarray(table["doc_id"])
         keys, owners = [], []
         for lo, _, runs, _ in _blocks(table["text"].combine_chunks()):
@@ -207,7 +223,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return _table(out)
 
     def send_around(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or not answers.num_rows:
+        texts = _chosen(texts, answers)
+        if not texts.num_rows:
             return _table([])
         chunk, ids, seen = texts["chunk"][0].as_py(), np.asarray(texts["doc_id"]), _Answers(answers).seen()
         keys, around, owners = [], [], []
@@ -253,7 +270,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return _table(out)
 
     def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or not answers.num_rows:
+        texts = _chosen(texts, answers)
+        if not texts.num_rows:
             return _table([])
         chunk, ids, got = texts["chunk"][0].as_py(), np.asarray(texts["doc_id"]), _Answers(answers)
         around, kinds = got.values(AROUND, "a", "b"), got.values(KIND, "a")
@@ -279,6 +297,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return _table(out)
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _chosen(texts, answers)
         ids, got = np.asarray(texts["doc_id"]) if texts.num_rows else np.zeros(0, np.int64), _Answers(answers)
         around, kinds, strings = got.values(AROUND, "a", "b"), got.values(KIND, "a"), got.values(STRING, "a", "b")
         n_removed, spans, kept = [], [], []
@@ -318,11 +337,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     def ask(chunks_: DataFrame, answer) -> DataFrame:
         return chunks_.groupBy("bucket").applyInArrow(answer, MESSAGE)
 
-    seen = ask(by_chunk.applyInArrow(send_seen, MESSAGE), answer_seen)
-    around = ask(by_chunk.cogroup(seen.groupBy("chunk")).applyInArrow(send_around, MESSAGE), answer_around)
-    strings = ask(by_chunk.cogroup(around.groupBy("chunk")).applyInArrow(send_strings, MESSAGE), answer_strings)
+    def tell(messages: DataFrame | None, run, kind: str) -> DataFrame:
+        both = named if messages is None else named.unionByName(messages)
+        return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(run, kind)
+
+    seen = ask(tell(None, send_seen, MESSAGE), answer_seen)
+    around = ask(tell(seen, send_around, MESSAGE), answer_around)
+    strings = ask(tell(around, send_strings, MESSAGE), answer_strings)
     schema = "key string, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return by_chunk.cogroup(around.unionByName(strings).groupBy("chunk")).applyInArrow(cut, schema)
+    return tell(around.unionByName(strings), cut, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -330,9 +353,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
     thin = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"))
     firsts = thin.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    # one row for each distinct text, but for rows that repeat both id and text; these share a chunk and change nothing
-    distinct = rows.join(firsts, ["key", "doc_id"], "left_semi").where(F.octet_length("text") >= LENGTH)
-    found = repeated_passages(distinct.select("key", "doc_id", "text")).select("key", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).groupBy("key").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("kept_sha256").alias("kept_sha256"))
+    long = rows.where("doc_id is not null").where(F.octet_length("text") >= LENGTH)
+    found = repeated_passages(long.select("key", "doc_id", "text"), thin.where("doc_id is not null").where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    found = found.select("key", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     joined = thin.join(firsts.select("key", F.col("doc_id").alias("first")), "key", "left").join(found, "key", "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     whole = F.col("doc_id").isNull() | F.col("n_removed").isNull()
