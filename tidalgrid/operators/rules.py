@@ -60,8 +60,8 @@ def evaluate_conditions(meas: DataFrame, bound: DataFrame, times: DataFrame) ->
             got = rows.withColumn("v", best).where("asked and v is not null").select("node_id", "path", "t_ns", "v.*")
         else:
             v = F.col("num")
-            fold = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.count(v).cast("double")}[agg]
-            got = rows.withColumn("n", F.count(v).over(w)).withColumn("num", fold.over(w)).where("asked and n > 0").select("node_id", "path", "t_ns", "num", F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
+            fold = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.count(v)}[agg]
+            got = rows.withColumn("n", F.count(v).over(w)).withColumn("num", fold.over(w).cast("double")).where("asked and n > 0").select("node_id", "path", "t_ns", "num", F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
         part = mine.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path").join(got, ["node_id", "path"])
         out = part if out is None else out.unionByName(part)
     if out is None:
