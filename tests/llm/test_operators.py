@@ -170,7 +170,7 @@ def test_lines(spark):
     r = random.Random(5)
     base = [" ".join(r.choice(WORDS) for _ in range(14)) for _ in range(12)]
     rows = [(i, "\n".join([base[i], "  " + base[i + 1] + " ", "", "short line"])) for i in range(10)]
-    rows += [(20, base[0][:10] + "é" + base[0][11:]), (21, base[1][1:] + "zz"), (22, "q" + base[2]), (23, base[3][:5] + base[3][7:] + "z"), (24, base[4].replace("a", "b", 1).replace("n", "m", 1)), (25, None), (26, ""), (27, "\n \n"), (None, base[5] + "\nonly here, and nowhere else"), (28, "short lin")]
+    rows += [(20, base[0][:10] + "é" + base[0][11:]), (21, base[1][1:] + "z"), (22, "q" + base[2]), (23, base[3][:5] + base[3][7:] + "z"), (24, base[4].replace("a", "b", 1).replace("n", "m", 1)), (25, None), (26, ""), (27, "\n \n"), (None, base[5] + "\nonly here, and nowhere else"), (28, "short lin")]
     want, near = lines_brute(rows)
     assert len(near) >= 4
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("lang", F.lit("x"))
