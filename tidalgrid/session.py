@@ -1,7 +1,9 @@
-"""Folders that driver and executors share."""
+"""What driver and executors share: a folder, and this package."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,3 +15,16 @@ def scratch(spark, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tidalgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ship(spark) -> None:
+    """Sends the package to Python workers that would not find it: those of a driver that neither runs in the repository's
+    folder nor has it in PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in known) or getattr(context, "_tidalgrid", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="tidalgrid-"), "tidalgrid_package")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "tidalgrid"))
+    context._tidalgrid = True
