@@ -42,6 +42,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions don't keep their inputs' partitioning: adaptive execution may split a skewed join below one side, and then
+    the sides' partitions no longer pair up."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """Mix 64-bit values (public finaliser constants)."""
     with np.errstate(over="ignore"):

@@ -18,17 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidalgrid.llm.common import plain_unions
+
 EDITS, LEAST_BYTES = 2, 24
 #: Lines of one block of a comparison.
 BLOCK = 64
 
 
-def segment(n: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]:
-    """(start, length) of segment ``i`` of a line of ``n`` bytes."""
-    start = F.floor(n * i / (edits + 1)).cast("int")
-    return start, F.floor(n * (i + 1) / (edits + 1)).cast("int") - start
-
-
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     """(bytes that the indexed line is shorter, segment, shift) that can match within the threshold."""
     return [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
@@ -71,8 +67,39 @@ def banded(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), start, step, lambda s: F.when(m > 0, s["dist"]).otherwise(n))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _common(a: Column, b: Column, part) -> Column:
+    """Length of the longest equal ends that ``part(x, length)`` cuts, found bit by bit."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    limit = F.least(F.length(a), F.length(b))
+    return F.aggregate(steps, F.lit(0), lambda n, h: F.when((n + h <= limit) & (part(a, n + h) == part(b, n + h)), n + h).otherwise(n))
+
+
+def trimmed_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """``banded`` after equal beginnings and ends are cut off, which don't change the distance."""
+    tail = lambda x, n: F.substring(x, F.length(x) - n + 1, n)
+
+    def inner(x: Column) -> Column:
+        return _let(_common(x["a"], x["b"], tail), lambda q: banded(F.substring(x["a"], F.lit(1), F.length(x["a"]) - q), F.substring(x["b"], F.lit(1), F.length(x["b"]) - q), edits))
+
+    head = _common(a, b, lambda x, n: F.substring(x, F.lit(1), n))
+    return _let(head, lambda p: _let(F.struct(F.substring(a, p + 1, F.length(a)).alias("a"), F.substring(b, p + 1, F.length(b)).alias("b")), inner))
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64(text))
+    """``docs`` with the parts of a document's place in the order: no id, id, text hash."""
+    return docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_hash", F.xxhash64(text))
+
+
+DOCUMENT = ["_none", "_id", "_hash"]
+
+
+def _place():
+    return F.struct(*DOCUMENT, "_line")
 
 
 def _trimmed(line: Column) -> Column:
@@ -80,49 +107,44 @@ def _trimmed(line: Column) -> Column:
 
 
 def first_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, g, at): each distinct non-blank line by two hashes, and its first place (no id, id, text hash, line)."""
-    lines = _keyed(docs, text).select("doc_id", "_hash", F.posexplode(F.split(text, "\n")).alias("line", "own")).select("doc_id", "_hash", "line", _trimmed(F.col("own")).alias("own")).where("own != ''")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"), F.col("line").alias("line"))
-    return lines.select(F.xxhash64("own").alias("h"), F.xxhash64(F.lit(7), "own").alias("g"), place.alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"))
+    """(h, g, at): each distinct non-blank line by two hashes, and its first place."""
+    lines = _keyed(docs, text).select(*DOCUMENT, F.posexplode(F.split(text, "\n")).alias("_line", "own")).select(*DOCUMENT, "_line", _trimmed(F.col("own")).alias("own")).where("own != ''")
+    return lines.select(F.xxhash64("own").alias("h"), F.xxhash64(F.lit(7), "own").alias("g"), _place().alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"))
 
 
 def _by_document(lines: DataFrame, *fields: str) -> DataFrame:
-    return lines.groupBy(F.col("at.id").alias("_id"), F.col("at.hash").alias("_text")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), *fields)).alias("_lines"))
-
-
-def _join(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), how)
+    return lines.select("at.*", *fields).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("_line", *fields)).alias("_lines"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     """``lines`` (h, g, at) with their bytes ``b``."""
-    per = _join(_keyed(docs.select("doc_id", F.col(text).alias("text")), "text"), _by_document(lines, "h", "g", "at"), "inner")
-    parts = per.select(F.split("text", "\n").alias("all"), "_lines").select(F.explode(F.transform("_lines", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["at"].alias("at"), F.get("all", x["line"]).alias("own")))).alias("x"))
-    return parts.select("x.h", "x.g", "x.at", _trimmed(F.col("x.own")).cast("binary").alias("b"))
+    per = _keyed(docs, text).join(_by_document(lines, "h", "g").hint("shuffle_hash"), DOCUMENT)
+    # always true, but it needs all columns after the exchange: so all uses share one exchange of the documents
+    per = per.where((F.monotonically_increasing_id() >= 0) | (F.hash(*docs.columns) == 0))
+    parts = per.select(*DOCUMENT, F.split(text, "\n").alias("all"), "_lines").select(*DOCUMENT, F.explode(F.transform("_lines", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["_line"].alias("_line"), F.get("all", x["_line"]).alias("own")))).alias("x"))
+    return parts.select("x.h", "x.g", F.struct(*DOCUMENT, "x._line").alias("at"), _trimmed(F.col("x.own")).cast("binary").alias("b"))
+
+
+#: Letters whose counts tell most lines apart before their distance is taken.
+COUNTED = " entairsoh"
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
     """(h, g) of the distinct lines that have an earlier line within the threshold, not counting equal ones."""
-    long = _texts(docs, firsts, text).where(F.octet_length("b") >= LEAST_BYTES - edits).select("h", "b", F.octet_length("b").alias("n"))
-
-    def key(n: Column, i: int, part: Column) -> Column:
-        return F.xxhash64(n, F.lit(i), part)
-
-    def piece(start: Column, size: Column) -> Column:
-        return F.substring(F.col("b"), start + 1, size)
-
-    n = F.col("n")
-    index = long.select("h", F.explode(F.array(*[key(n, i, piece(*segment(n, i, edits))) for i in range(edits + 1)])).alias("key"))
-    asked = []
-    for d, i, s in probes(edits):
-        start, size = segment(n - d, i, edits)
-        asked.append(key(n - d, i, F.when((start + s >= 0) & (start + s + size <= n), piece(start + s, size))))
-    probe = long.select("h", F.explode(F.array(*asked)).alias("key"))
-    left, right = index.select("key", F.col("h").alias("ih")), probe.select("key", F.col("h").alias("ph"))
-    met = (F.col("key") == F.col("k2")) & (F.col("ih") != F.col("ph"))
-    alive = left.join(right.withColumnRenamed("key", "k2"), met, "left_semi").select("key", F.col("ih").alias("h")).union(
-        right.join(left.withColumnRenamed("key", "k2"), met, "left_semi").select("key", F.col("ph").alias("h"))
-    ).distinct()
+    long = _texts(docs, firsts, text).select("h", "b", F.octet_length("b").alias("n")).where(F.col("n") >= LEAST_BYTES - edits)
+
+    def asked(places: list[tuple[int, int, int]]) -> DataFrame:
+        """A row for each place: the hash of the indexed line's length, the segment's number and its bytes."""
+        spots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
+        rows = long.withColumn("p", F.explode(spots)).select("h", "b", "n", "p.d", "p.i", "p.s")
+        start, end = F.expr(f"cast(((n - d) * i) div {edits + 1} as int)"), F.expr(f"cast(((n - d) * (i + 1)) div {edits + 1} as int)")
+        rows = rows.withColumn("start", start).withColumn("size", end - start).where((F.col("start") + F.col("s") >= 0) & (F.col("start") + F.col("s") + F.col("size") <= F.col("n")))
+        return rows.select("h", F.xxhash64(F.col("n") - F.col("d"), "i", F.substring("b", F.col("start") + F.col("s") + 1, F.col("size"))).alias("key"))
+
+    index, probe = asked([(0, i, 0) for i in range(edits + 1)]), asked(probes(edits))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h"))
+    both = [a.alias("x").join(b.alias("y"), met, "left_semi").select("key", "h") for a, b in ((index, probe), (probe, index))]
+    alive = both[0].union(both[1]).distinct()
     own = _texts(docs, firsts.join(alive.select("h").distinct(), "h", "left_semi"), text).distinct()
     sizes = alive.groupBy("key").agg(F.count("*").alias("size"))
     spread = (
@@ -130,13 +152,17 @@ def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", edits: in
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
-    groups = spread.join(own, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b", F.decode("b", "ISO-8859-1").alias("s"))).alias("group")).where(F.size("group") > 1)
+    shown = own.select("h", "g", "at", "b", F.octet_length("b").alias("n"), F.decode("b", "ISO-8859-1").alias("s"))
+    shown = shown.withColumn("counts", F.array(*[F.length(F.replace("s", F.lit(c), F.lit(""))) for c in COUNTED]))
+    groups = spread.join(shown, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b", "n", "s", "counts")).alias("group")).where(F.size("group") > 1)
 
     def near(x: Column, y: Column) -> Column:
-        lengths = F.abs(F.octet_length(x["b"]) - F.octet_length(y["b"])) <= edits
+        # without its c's a line of n bytes has n - count(c) left; both differ by two edits' worth at most
+        close = F.abs(x["n"] - y["n"]) <= edits
+        for k in range(len(COUNTED)):
+            close &= F.abs((x["n"] - x["counts"][k]) - (y["n"] - y["counts"][k])) <= edits
         return (
-            (y["at"] < x["at"]) & lengths & (F.least(F.octet_length(x["b"]), F.octet_length(y["b"])) >= LEAST_BYTES - edits) & (F.greatest(F.octet_length(x["b"]), F.octet_length(y["b"])) >= LEAST_BYTES)
-            & (F.levenshtein(x["s"], y["s"], edits) >= 0) & (banded(x["b"], y["b"], edits) <= edits)
+            (y["at"] < x["at"]) & (F.greatest(x["n"], y["n"]) >= LEAST_BYTES) & close & (F.levenshtein(x["s"], y["s"], edits) >= 0) & (trimmed_distance(x["b"], y["b"], edits) <= edits)
         )
 
     hit = F.filter("group", lambda x: F.exists(F.col("group"), lambda y: near(x, y)))
@@ -145,13 +171,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", edits: in
 
 def dedup_lines(docs: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
     """``docs`` with the kept lines as ``text`` and the counts ``n_lines`` and ``n_removed``; columns of these names are replaced."""
+    plain_unions(docs.sparkSession)
     firsts = first_lines(docs, text)
-    kept = firsts.join(near_lines(docs, firsts, text, edits), ["h", "g"], "left_anti")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    per = _join(_keyed(docs.select(*columns), text), _by_document(kept), "left")
+    docs = docs.select(*columns)
+    kept = firsts.join(near_lines(docs, firsts, text, edits), ["h", "g"], "left_anti")
+    per = _keyed(docs, text).join(_by_document(kept).hint("shuffle_hash"), DOCUMENT, "left")
     lines = per.withColumn("_all", F.split(text, "\n"))
     blank = F.filter(F.transform("_all", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
-    order = F.array_sort(F.concat(blank, F.coalesce(F.transform("_lines", lambda x: x["line"]), F.array().cast("array<int>"))))
+    order = F.array_sort(F.concat(blank, F.coalesce(F.transform("_lines", lambda x: x["_line"]), F.array().cast("array<int>"))))
     lines = lines.withColumn("_keep", order)
     out = F.when(F.col(text).isNotNull(), F.array_join(F.transform("_keep", lambda i: F.get("_all", i)), "\n"))
     return lines.select(
