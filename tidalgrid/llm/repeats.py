@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalgrid.llm.common import byte_values, prefix_hash, gram_hash, sliding_min, small_batches, span_hash, splitmix, text_blocks
+from tidalgrid.llm.common import byte_values, prefix_hash, gram_hash, plain_unions, sliding_min, small_batches, span_hash, splitmix, text_blocks
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that a chunk holds.
@@ -147,11 +147,9 @@ class _Answers:
         rows = table.select(["kind", "bucket", "a", "b", "c"]).to_pylist()
         self.rows = {k: [r for r in rows if r["kind"] == k] for k in (SEEN, AROUND, KIND, STRING)}
 
-    def values(self, kind: int, *fields: str) -> list[np.ndarray]:
-        """Columns of the answers, sorted by the first."""
-        got = [np.concatenate([np.frombuffer(r[f], "<u8" if f != "b" else "<i8") for r in self.rows[kind]]) if self.rows[kind] else np.zeros(0, np.uint64 if f != "b" else np.int64) for f in fields]
-        order = np.argsort(got[0], kind="stable")
-        return [g[order] for g in got]
+    def values(self, kind: int) -> np.ndarray:
+        """The ranks that the answers name, sorted."""
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], "<u8") for r in self.rows[kind])]))
 
     def seen(self) -> dict[int, np.ndarray]:
         return {r["bucket"]: unpack5(r["a"]) for r in self.rows[SEEN]}
@@ -169,13 +167,29 @@ def _survives(keys: np.ndarray, seen: dict[int, np.ndarray], buckets: int) -> np
     return out
 
 
-def _resolve(runs: Runs, docs: np.ndarray, around: tuple[np.ndarray, np.ndarray], kinds: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(runs that go, runs whose strings must be ranked one by one)."""
-    known, at = lookup(around[0], runs.around)
-    least = around[1][at] if len(around[0]) else np.zeros(len(at), np.int64)
-    goes = known & (least < docs)
-    many, at = lookup(kinds[0], runs.key)
-    return goes, known & ~goes & many
+def _chunk_runs(column, ids: np.ndarray, got: _Answers) -> Iterator[tuple[int, int, Runs, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of a chunk: (first row, end row, its runs, its bytes, the runs that go, those to rank string by string).
+
+    A run goes if a smaller document of the chunk has the same surroundings, or if the answers name these: they do where
+    another chunk holds a smaller document than all of this chunk's.
+    """
+    around, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, _, runs, _ in _blocks(column):
+        around.append(runs.around)
+        owners.append(ids[lo + runs.text])
+    known, least = first_of(np.concatenate(around), np.concatenate(owners))
+    elsewhere, many = got.values(AROUND), got.values(KIND)
+    for lo, hi, runs, buf in _blocks(column):
+        goes = ids[lo + runs.text] > least[lookup(known, runs.around)[1]] if len(runs.around) else np.zeros(0, bool)
+        goes |= lookup(elsewhere, runs.around)[0]
+        yield lo, hi, runs, buf, goes, ~goes & lookup(many, runs.key)[0]
+
+
+def _open_strings(column, ids: np.ndarray, got: _Answers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block: (hashes, documents) of the strings to rank one by one."""
+    for lo, _, runs, _, _, open_ in _chunk_runs(column, ids, got):
+        chosen = np.flatnonzero(open_)
+        yield runs.strings(chosen)[1], np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1)
 
 
 def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -183,6 +197,7 @@ def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     (``kept``), ``n_removed`` and ``spans``, the removed byte ranges. ``docs`` (key, doc_id, text) may hold more rows."""
     spark = docs.sparkSession
     small_batches(spark)
+    plain_unions(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(n, -(-int(total) // CHUNK_BYTES))
@@ -254,7 +269,9 @@ def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             if kind == AROUND:
                 known, least = first_of(flat, np.concatenate([np.frombuffer(r["b"], "<i8") for r in part]))
                 for r, k in zip(part, keys, strict=True):
-                    out.append((AROUND, bucket, r["chunk"], r["a"], least[lookup(known, k)[1]].astype("<i8").tobytes(), None))
+                    hit = k[least[lookup(known, k)[1]] < np.frombuffer(r["b"], "<i8")]
+                    if len(hit):
+                        out.append((AROUND, bucket, r["chunk"], hit.astype("<u8").tobytes(), None, None))
                 continue
             other = np.concatenate([np.frombuffer(r["c"], "<u8") for r in part])
             order = np.argsort(flat, kind="stable")
@@ -274,51 +291,43 @@ def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         if not texts.num_rows:
             return _table([])
         chunk, ids, got = texts["chunk"][0].as_py(), np.asarray(texts["doc_id"]), _Answers(answers)
-        around, kinds = got.values(AROUND, "a", "b"), got.values(KIND, "a")
-        strings, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for lo, _, runs, _ in _blocks(texts["text"].combine_chunks()):
-            _, open_ = _resolve(runs, ids[lo + runs.text], (around[0], around[1]), (kinds[0], kinds[0]))
-            chosen = np.flatnonzero(open_)
-            hashes = runs.strings(chosen)[1]
-            strings.append(hashes)
-            owners.append(np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1))
-        whole, least = first_of(np.concatenate(strings), np.concatenate(owners))
-        return _table(_scatter(STRING, chunk, buckets, whole, least))
+        blocks = list(_open_strings(texts["text"].combine_chunks(), ids, got))
+        whole, least = first_of(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in blocks)]), np.concatenate([np.zeros(0, np.int64), *(o for _, o in blocks)]))
+        # the answers so far travel on, so that the last step needs one chain of exchanges
+        echo = [(k, r["bucket"], chunk, r["a"], None, None) for k in (AROUND, KIND) for r in got.rows[k]]
+        return _table(_scatter(STRING, chunk, buckets, whole, least) + echo)
 
     def answer_strings(table: pa.Table) -> pa.Table:
-        bucket, rows, out = table["bucket"][0].as_py(), table.to_pylist(), []
+        bucket, rows = table["bucket"][0].as_py(), table.to_pylist()
+        out = [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] != STRING]
+        rows = [r for r in rows if r["kind"] == STRING]
+        if not rows:
+            return _table(out)
         keys = [np.frombuffer(r["a"], "<u8") for r in rows]
         docs_ = [np.frombuffer(r["b"], "<i8") for r in rows]
         known, least = first_of(np.concatenate(keys), np.concatenate(docs_))
         for r, k, d in zip(rows, keys, docs_, strict=True):
             m = least[lookup(known, k)[1]]
             if (hit := m < d).any():
-                out.append((STRING, bucket, r["chunk"], k[hit].astype("<u8").tobytes(), m[hit].astype("<i8").tobytes(), None))
+                out.append((STRING, bucket, r["chunk"], k[hit].astype("<u8").tobytes(), None, None))
         return _table(out)
 
     def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _chosen(texts, answers)
         ids, got = np.asarray(texts["doc_id"]) if texts.num_rows else np.zeros(0, np.int64), _Answers(answers)
-        around, kinds, strings = got.values(AROUND, "a", "b"), got.values(KIND, "a"), got.values(STRING, "a", "b")
+        elsewhere = got.values(STRING)
         n_removed, spans, kept = [], [], []
-        # what the chunk itself holds of open strings decides together with the answers
-        local_keys, local_docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         column = texts["text"].combine_chunks() if texts.num_rows else None
-        for lo, _, runs, _ in _blocks(column) if column is not None else ():
-            chosen = np.flatnonzero(_resolve(runs, ids[lo + runs.text], (around[0], around[1]), (kinds[0], kinds[0]))[1])
-            local_keys.append(runs.strings(chosen)[1])
-            local_docs.append(np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1))
-        known, least = first_of(np.concatenate([*local_keys, strings[0]]), np.concatenate([*local_docs, strings[1]]))
-        for lo, hi, runs, buf in _blocks(column) if column is not None else ():
-            goes, open_ = _resolve(runs, ids[lo + runs.text], (around[0], around[1]), (kinds[0], kinds[0]))
+        blocks = list(_open_strings(column, ids, got)) if column is not None else []
+        known, least = first_of(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in blocks)]), np.concatenate([np.zeros(0, np.int64), *(o for _, o in blocks)]))
+        for lo, hi, runs, buf, goes, open_ in _chunk_runs(column, ids, got) if column is not None else ():
             edge = np.zeros(len(buf) + 1, np.int32)
             np.add.at(edge, runs.first[goes], 1)
             np.add.at(edge, runs.last[goes] + runs.length, -1)
             chosen = np.flatnonzero(open_)
             starts, hashes = runs.strings(chosen)
             owner = np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1)
-            found, at = lookup(known, hashes)
-            hit = starts[found & (least[at] < owner)] if len(known) else starts[:0]
+            hit = starts[(least[lookup(known, hashes)[1]] < owner) | lookup(elsewhere, hashes)[0]] if len(starts) else starts
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + runs.length, -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -345,7 +354,7 @@ def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     around = ask(tell(seen, send_around, MESSAGE), answer_around)
     strings = ask(tell(around, send_strings, MESSAGE), answer_strings)
     schema = "key string, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return tell(around.unionByName(strings), cut, schema)
+    return tell(strings, cut, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
