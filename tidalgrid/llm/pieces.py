@@ -14,22 +14,24 @@ Rows are encoded one by one, repeated or not; columns of the input named like re
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidalgrid.llm.common import small_batches
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
+NEVER = float("-inf")
+_PACKERS = [struct.Struct(f"<{n}i").pack for n in range(128)]
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -39,6 +41,23 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Memo:
+    """Remembered words in two generations: when the younger is full it becomes the older, and what is asked again returns."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that aren't remembered; the others are in ``now`` afterwards."""
+        if len(self.now) > MEMO:
+            self.now, self.before = {}, self.now
+        words = words.difference(self.now)
+        old = words.intersection(self.before)
+        self.now.update((w, self.before[w]) for w in old)
+        return words - old
+
+
 class Pieces:
     """A vocabulary with its merges, and the trie pass over sorted words."""
 
@@ -65,36 +84,60 @@ class Pieces:
         #: Letters that some piece holds together with a full stop or comma after them; after others these start a word.
         self.joined = {x for p in self.id for x, y in zip(p, p[1:]) if y in ".,"}  # noqa: B905
         self.pairs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces that repeated merging of the best pair, leftmost on ties, makes of a short text."""
-        parts = list(text)
+        self.alone: dict[int, tuple] = {}
+        self.memo, self.parts = Memo(), Memo()
+
+    def merges(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
+        """Merges the best pair, leftmost on ties, until none is left: (pieces, score of each merge, and before each merge
+        and at the end the first piece and the last one)."""
+        parts, scores = list(text), []
+        firsts, lasts = [parts[0]], [parts[-1]]
         while True:
             best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.id.get(parts[k] + parts[k + 1])) is not None), default=None)
             if best is None:
-                return parts
+                return parts, scores, firsts, lasts
             k = -best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            scores.append(best[0])
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether merging leaves pieces a and b side by side; a is -1 at the start and after bytes."""
-        left, right = self.text[a] if a >= 0 else "", self.text[b]
-        if a < 0:
-            ok = self.merged(right) == [right]
-        else:
-            ok = (self.follows(-1, b) if (alone := self.pairs.get(b - (1 << 32))) is None else alone) and self.merged(left + right) == [left, right]
+        """Whether merging leaves pieces a and b side by side; a is -1 at the start and after bytes.
+
+        The merges inside a and inside b go on as if alone until a merge across their border scores best.
+        """
         if len(self.pairs) > 2 * MEMO:
             self.pairs.clear()
+        if (right := self.alone.get(b)) is None:
+            right = self.alone[b] = self.merges(self.text[b])
+        ok = len(right[0]) == 1
+        if ok and a >= 0:
+            if (left := self.alone.get(a)) is None:
+                left = self.alone[a] = self.merges(self.text[a])
+            ok = self.border_holds(left[1], left[3], right[1], right[2])
         self.pairs[(a << 32) + b] = ok
         return ok
 
+    def border_holds(self, a: list[float], lasts: list[str], b: list[float], firsts: list[str]) -> bool:
+        i = j = 0
+        while True:
+            across = self.id.get(lasts[i] + firsts[j])
+            x = a[i] if i < len(a) else NEVER
+            y = b[j] if j < len(b) else NEVER
+            if across is not None and self.score[across] > x and self.score[across] >= y:
+                return False
+            if x == y == NEVER:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of sorted words. State j of the stack: (start of the last piece, its id or -1 for bytes) of the first j characters."""
-        starts, lasts, before = [0], [-1], ""
-        pairs, suffixes = self.pairs, self.suffixes
+        starts, lasts, before = [0], [-1 << 32], ""  # pieces are kept shifted, as the keys of pairs need them
+        known, suffixes, follows = self.pairs.get, self.suffixes, self.follows
         for word in words:
             shared = 0
             for x, y in zip(before, word):  # noqa: B905  the shorter ends it
@@ -108,62 +151,61 @@ class Pieces:
                     node = at.get(word[i])
                     if node is None:
                         starts.append(j)
-                        lasts.append(-1)
+                        lasts.append(-1 << 32)
                         break
                     piece, at = node
                     if piece is not None:
-                        ok = pairs.get((lasts[i] << 32) + piece)
-                        if self.follows(lasts[i], piece) if ok is None else ok:
+                        ok = known(lasts[i] + piece)
+                        if follows(lasts[i] >> 32, piece) if ok is None else ok:
                             starts.append(i)
-                            lasts.append(piece)
+                            lasts.append(piece << 32)
                             break
                     i -= 1
                     if i < 0:
                         starts.append(j)
-                        lasts.append(-1)
+                        lasts.append(-1 << 32)
                         break
             ids: list[int] = []
             j = len(word)
             while j:
                 i, piece = starts[j], lasts[j]
                 if piece >= 0:
-                    ids.append(piece)
+                    ids.append(piece >> 32)
                 else:
                     ids.extend(self.byte[b] for b in reversed(word[i:j].encode()))
                 j = i
             ids.reverse()
-            yield word, struct.pack(f"<{len(ids)}i", *ids)
+            yield word, _PACKERS[len(ids)](*ids) if len(ids) < 128 else struct.pack(f"<{len(ids)}i", *ids)
             before = word
 
     def cut(self, marked: str) -> list[str]:
         """Marked words of a text that no piece crosses."""
-        out = []
-        for w in _WORD.findall(marked):
-            if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() and w[-2] not in self.joined:
-                out += [w[:-1], w[-1]]
-            else:
-                out.append(w)
-        return out
+        return [x for w in _WORD.findall(marked) for x in self.cut_stop(w)]
+
+    def cut_stop(self, word: str) -> tuple[str, ...]:
+        if word[-1] in ".," and len(word) > 1 and word[-2].isalnum() and word[-2] not in self.joined:
+            return word[:-1], word[-1]
+        return (word,)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as packed 32-bit integers. Texts with single blanks only are looked up by blank-separated words."""
         plain = [bool(t) and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " for t in texts]
         words = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.parts) > 2 * MEMO:
-            self.parts.clear()
-        new = {w: self.cut(MARK + w) for w in {w for ws in words if ws for w in ws}.difference(self.memo)}
+        asked: set[str] = set()
+        asked.update(*(ws for ws in words if ws))
+        new = {w: self.cut(MARK + w) if "\n" in w else self.cut_stop(MARK + w) for w in self.memo.missing(asked)}
         odd = [None if p or not t else self.cut(MARK + t.replace(" ", MARK)) for t, p in zip(texts, plain, strict=True)]
         parts = {x for xs in new.values() for x in xs}.union(x for xs in odd if xs for x in xs)
-        self.parts.update(self.encode_sorted(sorted(parts.difference(self.parts))))
-        self.memo.update((w, b"".join([self.parts[x] for x in xs])) for w, xs in new.items())
-        return [b"".join(map(self.memo.__getitem__, ws)) if ws else b"".join(map(self.parts.__getitem__, xs or ())) for ws, xs in zip(words, odd, strict=True)]
+        part = self.parts.now
+        part.update(self.encode_sorted(sorted(self.parts.missing(parts))))
+        self.memo.now.update((w, part[xs[0]] if len(xs) == 1 else b"".join([part[x] for x in xs])) for w, xs in new.items())
+        word, part = self.memo.now.__getitem__, part.__getitem__
+        return [b"".join(map(word, ws)) if ws else b"".join(map(part, xs or ())) for ws, xs in zip(words, odd, strict=True)]
 
     def ids(self, text: str | None) -> list[int]:
         return list(memoryview(self.encode([text])[0]).cast("i"))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         own = self.bytes_of
         return b"".join([own[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
@@ -175,46 +217,69 @@ def pieces(path: str) -> Pieces:
 
 def encode_pieces(docs: DataFrame, text: str = "text", out: str = "piece_ids", model: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text``."""
-    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), model or default_model(), "encode")
+
+    def run(own: Pieces, batch: pa.RecordBatch) -> list[pa.Array]:
+        return [_lists(own.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()))]
+
+    return _mapped(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], run, model)
 
 
 def decode_pieces(docs: DataFrame, ids: str = "piece_ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """``docs`` with the text of ``ids``; null ids read as empty."""
-    return _mapped(docs, ids, out, T.StringType(), model or default_model(), "decode")
-
-
-def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, model: str, way: str) -> DataFrame:
-    small_batches(docs.sparkSession, 1024)
-    keep = [f for f in docs.schema.fields if f.name != out]
-    schema = T.StructType([*keep, T.StructField(out, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(source))
-            if way == "encode":
-                packed = own.encode(column.to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            else:
-                found = pa.array([own.decode(x.as_py() or []) for x in column], pa.string())
-            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays([*kept, found], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    def run(own: Pieces, batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([own.decode(x.as_py() or []) for x in batch.column(batch.schema.get_field_index(ids))], pa.string())]
+
+    return _mapped(docs, [T.StructField(out, T.StringType())], run, model)
+
+
+def encode_and_decode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
+    """``docs`` with ``piece_ids`` and ``decoded``, the text read back from them, in one pass."""
+
+    def run(own: Pieces, batch: pa.RecordBatch) -> list[pa.Array]:
+        packed = own.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+        return [_lists(packed), pa.array([own.decode(memoryview(x).cast("i")) for x in packed], pa.string())]
+
+    return _mapped(docs, [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], run, model)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """One row for each document: number of pieces, digests of the ids and of the decoded text, whether the text came back."""
-    small = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode_pieces(encode_pieces(small, model=model), model=model)
-    return both.select(
-        "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("same"),
-    )
+    """One row for each document: number of pieces, digests of the packed ids and of the decoded text, whether the text came
+    back."""
+
+    def run(own: Pieces, batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(1).to_pylist()
+        packed = own.encode(texts)
+        decoded = [own.decode(memoryview(x).cast("i")) for x in packed]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return [
+            pa.array([len(x) // 4 for x in packed], pa.int64()),
+            pa.array([sha(x) for x in packed]),
+            pa.array([sha(x.encode()) for x in decoded]),
+            pa.array([x == (t or "") for x, t in zip(decoded, texts, strict=True)]),
+        ]
+
+    added = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("same", T.BooleanType())]
+    return _mapped(docs.select("doc_id", "text"), added, run, model).drop("text")
+
+
+def _lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _mapped(docs: DataFrame, added: list[T.StructField], run: Callable[[Pieces, pa.RecordBatch], list[pa.Array]], model: str | None) -> DataFrame:
+    small_batches(docs.sparkSession)
+    path = model or default_model()
+    keep = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
+    schema = T.StructType([*keep, *added])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *run(pieces(path), batch)], names=schema.fieldNames())
+
+    return docs.mapInArrow(batches, schema)
 
 
 def op2_pieces(spark, sf_dir: str) -> DataFrame:
@@ -223,4 +288,4 @@ def op2_pieces(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids and the text decoded from these."""
-    return decode_pieces(encode_pieces(docs))
+    return encode_and_decode(docs)
