@@ -221,6 +221,31 @@ def test_licenses(spark, docs):
     assert licenses.scan(both.limit(0), model).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License.",
+    "agpl": "This program is licensed under the GNU Affero\nGeneral Public License, version 3.",
+    "cc-by-nc": "Licensed under CC\n\nBY-NC 4.0.",
+}
+
+
+@pytest.fixture(scope="module")
+def license_model(docs):
+    return licenses.train(docs)
+
+
+def test_wrapped_licenses(spark, license_model):
+    """Notices over several lines, alone and between other lines; two in a row keep their families."""
+    both = [(100 + i, prose(1, 40) + "\n" + x + "\n" + prose(2, 40)) for i, x in enumerate(WRAPPED.values())]
+    rows = [*enumerate(WRAPPED.values()), *both, (200, WRAPPED["mit"] + "\n" + WRAPPED["bsd"]), (201, "All rights reserved.\n" + WRAPPED["gpl"])]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_model)
+    got = {r.doc_id: r.families for r in licenses.summary(found).collect()}
+    assert got == {i + n: f for n in (0, 100) for i, f in enumerate(WRAPPED)} | {200: "bsd,mit", 201: "gpl,reserved"}
+    # four lines of prose stand before; the notice begins in the fifth
+    assert [x.line for r in found.where("doc_id = 100").collect() for x in r.licenses if x.similarity >= licenses.CONFIRM] == [4]
+
+
 # --- token files ---
 
 
