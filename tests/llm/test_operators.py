@@ -246,6 +246,24 @@ def test_wrapped_licenses(spark, license_model):
     assert [x.line for r in found.where("doc_id = 100").collect() for x in r.licenses if x.similarity >= licenses.CONFIRM] == [4]
 
 
+def test_licenses_in_long_lines(spark, license_model):
+    """A text without line breaks is one line; a notice at its end counts."""
+    plain = " ".join(prose(5, 900).split("\n"))
+    rows = [(1, plain + " " + WRAPPED["mit"].replace("\n", " ")), (2, "All rights reserved. " + plain + " Licensed under CC BY 4.0."), (3, plain)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_model)
+    assert [r.families for r in licenses.summary(found).orderBy("doc_id").collect()] == ["mit", "cc-by,reserved", ""]
+
+
+def test_sampled_lines_are_whole(spark, monkeypatch):
+    """What stands late in a long line calibrates, too: all its pieces are sampled."""
+    seen = []
+    monkeypatch.setattr(licenses.LicenseModel, "fit", lambda self, texts, labels: seen.extend(texts) or self)
+    licenses.train(spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(2000)))], "doc_id long, text string").union(spark.createDataFrame([(2, "one\ntwo\nthree\nfour")], "doc_id long, text string")))
+    assert max(len(x) for x in seen) <= licenses.PIECE
+    # 9 pieces and 4 lines, half of which are fitted on
+    assert len([x for x in seen if "word" in x or x in ("one", "two", "three", "four")]) == 6
+
+
 # --- token files ---
 
 
