@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -52,6 +53,21 @@ def test_glob_segments(path, pattern):
         assert (re.search(java(pattern), path) is not None) == segments(path, pattern)
 
 
+def test_regex_of_a_column(spark):
+    """The column's expressions match what ``to_regex`` matches."""
+    r = random.Random(5)
+    globs = [p for _, p in TRUE + FALSE] + ["/*", "*/", "[a/b]/*", "[a/b]", "a\\/*", "[^]a]", "[z-a]*", "[^z-a]", r"[\]-\^]*", "[[]*", "é日*", "[é-日]*", "🙂?", "a.b/*", "[^^]*", "a\nb*", "[a-]", "[-a]", "[a-b-c]"]
+    globs += ["".join(r.choice("aab-]^[*?\\//é") for _ in range(r.randint(0, 8))) for _ in range(1500)]
+    paths = [p for p, _ in TRUE + FALSE] + ["", "/", "a/", "aab", "a/b", "a\nb", "é", "日", "🙂x", "[a", "^", "]", "-", "a.b", "axb", "/a", "\\"]
+    paths += ["".join(r.choice("aab/é]^-") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    known = spark.createDataFrame([(g, glob.to_regex(g)) for g in sorted(set(globs))], "glob string, known string")
+    both = known.withColumn("own", glob.regex_of(F.col("glob"))).crossJoin(spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string"))
+    both = both.withColumn("want", F.rlike("path", F.col("known"))).withColumn("head", glob.literal_head(F.col("glob")))
+    assert both.where("want").count() > 500
+    assert both.where(F.rlike("path", F.col("own")) != F.col("want")).collect() == []
+    assert both.where(F.col("want") & (F.col("head") != glob.first_segment(F.col("path")))).collect() == []
+
+
 def test_query_pattern_without_star_is_exact(spark):
     paths = spark.createDataFrame([("a?",), ("ab",)], "path string")
     assert [r.path for r in paths.where(glob.selects(F.col("path"), "a?")).collect()] == ["a?"]

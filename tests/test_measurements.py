@@ -177,6 +177,18 @@ def test_rules(spark):
     assert seen == [1]
 
 
+def test_rules_with_a_glob_per_device(spark):
+    """More globs than could be plan branches; each condition reads its own node's series."""
+    n = 300
+    conditions = spark.range(n).select(F.concat(F.lit("node_"), F.col("id") % 2).alias("node_id"), F.format_string("user_%04d/*", "id").alias("path"), F.lit(1).alias("pos"))
+    conditions = conditions.unionByName(spark.createDataFrame([("node_0", "*/b", 2), ("node_1", "user_0001/a", 3), ("node_1", "[", 4)], "node_id string, path string, pos int"))
+    series = spark.range(n).select(F.concat(F.lit("node_"), F.col("id") % 2).alias("node_id"), F.explode(F.array(*[F.format_string(f"user_%04d/{x}", "id") for x in "ab"])).alias("path"))
+    got = sorted((r.node_id, r.pos, r.series_path) for r in rules_.bind(conditions, series).collect())
+    want = [(f"node_{i % 2}", 1, f"user_{i:04d}/{x}") for i in range(n) for x in "ab"]
+    want += [("node_0", 2, f"user_{i:04d}/b") for i in range(0, n, 2)] + [("node_1", 3, "user_0001/a")]
+    assert got == sorted(want)
+
+
 def test_rule_validation(spark):
     series = spark.createDataFrame([("n", "a/t", "Text"), ("n", "b/t", "Real")], "node_id string, path string, value_type string")
     bad = [rule(), rule(rule_id="w", window=0), rule(rule_id="o", op="=>"), rule(rule_id="g", agg="avg"), rule(rule_id="e", conditions=[], actions=[])]

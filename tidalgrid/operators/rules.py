@@ -27,21 +27,16 @@ def conditions_of(rules: DataFrame) -> DataFrame:
 
 
 def bind(conditions: DataFrame, series: DataFrame) -> DataFrame:
-    """The series that each condition reads. Globs meet the catalog only, per node; exact paths are joined by equality."""
+    """The series that each condition reads. Globs meet the catalog only, per node and, where it is fixed, first segment;
+    exact paths are joined by equality. Any number of globs is one plan."""
     keys = series.select("node_id", F.col("path").alias("series_path")).distinct()
     exact = conditions.where(~F.col("path").contains("*")).join(keys.withColumn("path", F.col("series_path")), ["node_id", "path"])
-    globs = [r[0] for r in conditions.where(F.col("path").contains("*")).select("path").distinct().limit(MAX_GLOBS + 1).collect()]
-    if len(globs) > MAX_GLOBS:
-        raise ValueError(f"more than {MAX_GLOBS} different globs in rules")
-    out = exact.select(*conditions.columns, "series_path")
-    for g in globs:
-        part = conditions.where(F.col("path") == g).join(keys.where(glob.matches(F.col("series_path"), g)), "node_id")
-        out = out.unionByName(part.select(*conditions.columns, "series_path"))
-    return out
-
-
-#: Different globs that one set of rules may hold; each is a plan branch.
-MAX_GLOBS = 200
+    starred = conditions.where(F.col("path").contains("*"))
+    globs = starred.select("node_id", "path").distinct().withColumn("head", glob.literal_head(F.col("path"))).withColumn("regex", glob.regex_of(F.col("path")))
+    fixed = globs.where("head is not null").join(keys.withColumn("head", glob.first_segment(F.col("series_path"))), ["node_id", "head"])
+    free = globs.where("head is null").join(keys, "node_id")
+    met = [x.where(F.rlike("series_path", F.col("regex"))).select("node_id", "path", "series_path") for x in (fixed, free)]
+    return exact.select(*conditions.columns, "series_path").unionByName(starred.join(met[0].unionByName(met[1]), ["node_id", "path"]).select(*conditions.columns, "series_path"))
 
 
 def evaluate_conditions(meas: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
