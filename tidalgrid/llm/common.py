@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,12 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a new local folder on a
+    local master, and an error on a cluster, whose executors wouldn't see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidalgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,21 +34,46 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the jobs that run inside; the old value returns."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write ``df`` to the shared folder and read it back. The write's shuffle files go with it; ``discard``
+    removes the folder when no plan reads it any more, else it stays until ``spark.checkpoint.dir`` is cleared."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a ``materialize`` result."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows per Arrow batch, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Few rows per Arrow batch, so that long texts don't fill a worker. Plans run after their operator has returned, so the
+    setting stays; it is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def plain_unions(spark: SparkSession) -> None:
     """Unions don't keep their inputs' partitioning: adaptive execution may split a skewed join below one side, and then
-    the sides' partitions no longer pair up."""
+    the sides' partitions no longer pair up. Set for the session, as plans run later."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 

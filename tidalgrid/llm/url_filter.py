@@ -117,7 +117,7 @@ def canonical(url: str | None) -> tuple[str, str]:
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, default_block: tuple = DEFAULT_BLOCK) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names are replaced."""
-    small_batches(pages.sparkSession, 2048)
+    small_batches(pages.sparkSession)
     added = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
     keep = [f for f in pages.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType(keep + added)
