@@ -1,13 +1,14 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
 A line goes if an earlier line of the corpus equals it, or has at most ``EDITS`` edits (in UTF-8 bytes) to it. Lines are
-compared without blanks at their ends; blank lines stay. Lines of fewer than ``LEAST_BYTES`` bytes are compared for
-equality only, as a few edits turn any short line into another. Order is by id, then the text's hash, then the line.
+compared without blanks at their ends; blank lines stay. Lines of fewer than ``least`` bytes are compared for equality only, as
+a few edits turn any short line into another; 0 compares all. Order is by id, then the text's hash, then the line.
 
 Each distinct line is cut into ``EDITS + 1`` segments, of which one stands unchanged in any line within the threshold, near
 its place. Segments are indexed by line length, number and hash; each line probes the places that lengths allow.
-Lines that share a segment are compared in blocks of bounded size, within arrays, so a segment that very many lines share
-gives no rows of pairs. A pair must pass a thresholded distance and is then measured by a banded bit-parallel pass.
+A segment that very many lines share is cut out, and what is left of them is partitioned again. Lines that share a key are
+compared in blocks of bounded size, within arrays, so no rows of pairs arise. A pair must pass a thresholded distance and is
+then measured by a banded bit-parallel pass.
 
 Null texts have no lines and stay null; empty texts have one blank line. Rows without an id come last in the order. Rows that
 repeat id and text are one document and each get its result. Extra columns stay; texts are replaced in place.
@@ -18,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalgrid.llm.common import plain_unions
+from tidalgrid.llm.common import discard, materialize, plain_unions
 
 EDITS, LEAST_BYTES = 2, 24
 #: Lines of one block of a comparison.
 BLOCK = 64
+#: Rows of a key that are refined by the rests of their lines, where these have so many bytes.
+HOT, SHORT = 256, 24
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -90,16 +93,13 @@ def trimmed_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _let(head, lambda p: _let(F.struct(F.substring(a, p + 1, F.length(a)).alias("a"), F.substring(b, p + 1, F.length(b)).alias("b")), inner))
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the parts of a document's place in the order: no id, id, text hash."""
-    return docs.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_hash", F.xxhash64(text))
-
+DOCUMENT = ["none", "id", "hash"]
 
-DOCUMENT = ["_none", "_id", "_hash"]
 
-
-def _place():
-    return F.struct(*DOCUMENT, "_line")
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """A document's place in the order (no id, id, text hash), its text, and its row as a struct that no name clashes with."""
+    whole, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text}`")
+    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64(own).alias("hash"), own.alias("text"), whole.alias("row"))
 
 
 def _trimmed(line: Column) -> Column:
@@ -107,85 +107,111 @@ def _trimmed(line: Column) -> Column:
 
 
 def first_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, g, at): each distinct non-blank line by two hashes, and its first place."""
-    lines = _keyed(docs, text).select(*DOCUMENT, F.posexplode(F.split(text, "\n")).alias("_line", "own")).select(*DOCUMENT, "_line", _trimmed(F.col("own")).alias("own")).where("own != ''")
-    return lines.select(F.xxhash64("own").alias("h"), F.xxhash64(F.lit(7), "own").alias("g"), _place().alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"))
+    """(h, g, at, b): each distinct non-blank line by two hashes, its first place and its bytes."""
+    lines = _keyed(docs, text).select(*DOCUMENT, F.posexplode(F.split("text", "\n")).alias("line", "own")).select(*DOCUMENT, "line", _trimmed(F.col("own")).alias("own")).where("own != ''")
+    first = lines.select(F.xxhash64("own").alias("h"), F.xxhash64(F.lit(7), "own").alias("g"), F.struct(F.struct(*DOCUMENT, "line").alias("at"), "own").alias("x"))
+    return first.groupBy("h", "g").agg(F.min("x").alias("x")).select("h", "g", "x.at", F.col("x.own").cast("binary").alias("b"))
 
 
-def _by_document(lines: DataFrame, *fields: str) -> DataFrame:
-    return lines.select("at.*", *fields).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("_line", *fields)).alias("_lines"))
+def asked_segments(lines: DataFrame, edits: int = EDITS, *carried: str) -> DataFrame:
+    """Rows (key, h, index, d, cut, len, rest) for ``lines`` (base, h, b, and index and d where these are known already): the
+    segments of a line as an indexed one, and the places where it asks for segments of lines that are d bytes shorter.
 
-
-def _texts(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """``lines`` (h, g, at) with their bytes ``b``."""
-    per = _keyed(docs, text).join(_by_document(lines, "h", "g").hint("shuffle_hash"), DOCUMENT)
-    # always true, but it needs all columns after the exchange: so all uses share one exchange of the documents
-    per = per.where((F.monotonically_increasing_id() >= 0) | (F.hash(*docs.columns) == 0))
-    parts = per.select(*DOCUMENT, F.split(text, "\n").alias("all"), "_lines").select(*DOCUMENT, F.explode(F.transform("_lines", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["_line"].alias("_line"), F.get("all", x["_line"]).alias("own")))).alias("x"))
-    return parts.select("x.h", "x.g", F.struct(*DOCUMENT, "x._line").alias("at"), _trimmed(F.col("x.own")).cast("binary").alias("b"))
+    ``key`` hashes the indexed line's length, the segment's number and its bytes; ``cut`` and ``len`` say where these stand in
+    the line itself, and ``rest`` is the length of the indexed line without them.
+    """
+    spots = [(True, 0, i, 0) for i in range(edits + 1)] + [(False, *p) for p in probes(edits)]
+    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for x, d, i, s in spots])
+    if "d" in lines.columns:
+        places = F.filter(places, lambda p: (p["x"] == F.col("index")) & (p["d"] == F.col("d")))
+    rows = lines.select("base", "h", "b", F.octet_length("b").alias("n"), F.explode(places).alias("p")).select("base", "h", "b", "n", F.col("p.x").alias("index"), "p.d", "p.i", "p.s")
+    start, end = F.expr(f"cast(((n - d) * i) div {edits + 1} as int)"), F.expr(f"cast(((n - d) * (i + 1)) div {edits + 1} as int)")
+    rows = rows.withColumn("cut", start + F.col("s")).withColumn("len", end - start).where("cut >= 0 and cut + len <= n")
+    key = F.xxhash64("base", F.col("n") - F.col("d"), "i", F.substring("b", F.col("cut") + 1, F.col("len")))
+    return rows.select(key.alias("key"), "h", "index", "d", "cut", "len", (F.col("n") - F.col("d") - F.col("len")).alias("rest"), *carried)
+
+
+def shared_segments(lines: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
+    """(key, h): of ``lines`` (h, b) those that share a segment with another one; all pairs within the threshold share a key.
+
+    A segment that more than ``hot`` rows share is cut out of its lines, and the rests, which have at most as many edits, are
+    partitioned in the same way, until keys are small or rests short. So a part that very many lines have in common doesn't
+    bring all of them together.
+    """
+    met, used, rows = None, [], lines.select(F.lit(0).cast("long").alias("base"), "h", "b")
+    while True:
+        asked = asked_segments(rows, edits, *(["b"] if used else []))
+        # minima and maxima are pre-aggregated, so a key that very many rows have sends one row for each task
+        keys = asked.groupBy("key").agg(F.max(F.col("index").cast("int")).alias("indexed"), F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("rows"))
+        keys = materialize(keys.where("indexed = 1 and low != high").select("key", "rows"), "keys")
+        own = materialize(asked.join(keys, "key"), "segments")
+        used += [keys, own]
+        again = (F.col("rows") > hot) & (F.col("rest") >= SHORT)
+        last = own.where(~again).select("key", "h")
+        met = last if met is None else met.unionByName(last)
+        crowded = own.where(again)
+        if crowded.isEmpty():
+            break
+        if "b" not in crowded.columns:
+            crowded = crowded.join(lines.select("h", "b"), "h")
+        cut = F.concat(F.substring("b", F.lit(1), F.col("cut")), F.substring("b", F.col("cut") + F.col("len") + 1, F.octet_length("b")))
+        rows = crowded.select(F.col("key").alias("base"), "h", "index", "d", cut.alias("b"))
+    met = materialize(met.distinct(), "met")
+    for x in used:
+        discard(x)
+    return met
 
 
 #: Letters whose counts tell most lines apart before their distance is taken.
 COUNTED = " entairsoh"
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
-    """(h, g) of the distinct lines that have an earlier line within the threshold, not counting equal ones."""
-    long = _texts(docs, firsts, text).select("h", "b", F.octet_length("b").alias("n")).where(F.col("n") >= LEAST_BYTES - edits)
-
-    def asked(places: list[tuple[int, int, int]]) -> DataFrame:
-        """A row for each place: the hash of the indexed line's length, the segment's number and its bytes."""
-        spots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
-        rows = long.withColumn("p", F.explode(spots)).select("h", "b", "n", "p.d", "p.i", "p.s")
-        start, end = F.expr(f"cast(((n - d) * i) div {edits + 1} as int)"), F.expr(f"cast(((n - d) * (i + 1)) div {edits + 1} as int)")
-        rows = rows.withColumn("start", start).withColumn("size", end - start).where((F.col("start") + F.col("s") >= 0) & (F.col("start") + F.col("s") + F.col("size") <= F.col("n")))
-        return rows.select("h", F.xxhash64(F.col("n") - F.col("d"), "i", F.substring("b", F.col("start") + F.col("s") + 1, F.col("size"))).alias("key"))
-
-    index, probe = asked([(0, i, 0) for i in range(edits + 1)]), asked(probes(edits))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h"))
-    both = [a.alias("x").join(b.alias("y"), met, "left_semi").select("key", "h") for a, b in ((index, probe), (probe, index))]
-    alive = both[0].union(both[1]).distinct()
-    own = _texts(docs, firsts.join(alive.select("h").distinct(), "h", "left_semi"), text).distinct()
-    sizes = alive.groupBy("key").agg(F.count("*").alias("size"))
+def near_lines(firsts: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+    """(h, g) of the lines of ``first_lines`` that have an earlier line within the threshold, not counting equal ones."""
+    long = firsts.where(F.octet_length("b") >= least - edits)
+    met = shared_segments(long.select("h", "b"), edits)
     spread = (
-        alive.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod("h", F.col("blocks")).cast("int"))
+        met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod("h", F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
-    shown = own.select("h", "g", "at", "b", F.octet_length("b").alias("n"), F.decode("b", "ISO-8859-1").alias("s"))
-    shown = shown.withColumn("counts", F.array(*[F.length(F.replace("s", F.lit(c), F.lit(""))) for c in COUNTED]))
-    groups = spread.join(shown, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b", "n", "s", "counts")).alias("group")).where(F.size("group") > 1)
+    groups = spread.join(long, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b")).alias("lines")).where(F.size("lines") > 1)
+
+    def shown(x: Column) -> Column:
+        s = F.decode(x["b"], "ISO-8859-1")
+        counts = F.array(*[F.length(F.replace(s, F.lit(c), F.lit(""))) for c in COUNTED])
+        return F.struct(x["h"].alias("h"), x["g"].alias("g"), x["at"].alias("at"), x["b"].alias("b"), F.octet_length(x["b"]).alias("n"), s.alias("s"), counts.alias("counts"))
 
     def near(x: Column, y: Column) -> Column:
         # without its c's a line of n bytes has n - count(c) left; both differ by two edits' worth at most
         close = F.abs(x["n"] - y["n"]) <= edits
         for k in range(len(COUNTED)):
-            close &= F.abs((x["n"] - x["counts"][k]) - (y["n"] - y["counts"][k])) <= edits
-        return (
-            (y["at"] < x["at"]) & (F.greatest(x["n"], y["n"]) >= LEAST_BYTES) & close & (F.levenshtein(x["s"], y["s"], edits) >= 0) & (trimmed_distance(x["b"], y["b"], edits) <= edits)
-        )
+            close &= F.abs(x["counts"][k] - y["counts"][k]) <= edits
+        return (y["at"] < x["at"]) & (F.greatest(x["n"], y["n"]) >= least) & close & (F.levenshtein(x["s"], y["s"], edits) >= 0) & (trimmed_distance(x["b"], y["b"], edits) <= edits)
 
+    groups = groups.select(F.transform("lines", shown).alias("group"))
     hit = F.filter("group", lambda x: F.exists(F.col("group"), lambda y: near(x, y)))
-    return groups.select(F.explode(F.transform(hit, lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g")))).alias("x")).select("x.h", "x.g").distinct()
+    found = materialize(groups.select(F.explode(F.transform(hit, lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g")))).alias("x")).select("x.h", "x.g").distinct(), "near")
+    discard(met)
+    return found
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", edits: int = EDITS) -> DataFrame:
-    """``docs`` with the kept lines as ``text`` and the counts ``n_lines`` and ``n_removed``; columns of these names are replaced."""
+def dedup_lines(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+    """``docs`` with the kept lines as ``text`` and the counts ``n_lines`` and ``n_removed``; columns of these names are
+    replaced, all others stay, whatever their names."""
     plain_unions(docs.sparkSession)
-    firsts = first_lines(docs, text)
+    firsts = materialize(first_lines(docs, text), "lines")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*columns)
-    kept = firsts.join(near_lines(docs, firsts, text, edits), ["h", "g"], "left_anti")
-    per = _keyed(docs, text).join(_by_document(kept).hint("shuffle_hash"), DOCUMENT, "left")
-    lines = per.withColumn("_all", F.split(text, "\n"))
-    blank = F.filter(F.transform("_all", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
-    order = F.array_sort(F.concat(blank, F.coalesce(F.transform("_lines", lambda x: x["_line"]), F.array().cast("array<int>"))))
-    lines = lines.withColumn("_keep", order)
-    out = F.when(F.col(text).isNotNull(), F.array_join(F.transform("_keep", lambda i: F.get("_all", i)), "\n"))
+    kept = firsts.select("h", "g", "at").join(near_lines(firsts, edits, least), ["h", "g"], "left_anti")
+    by_document = kept.select("at.*").groupBy(*DOCUMENT).agg(F.collect_list("line").alias("lines"))
+    lines = _keyed(docs.select(*[F.col(f"`{c}`") for c in columns]), text).join(by_document.hint("shuffle_hash"), DOCUMENT, "left").withColumn("all", F.split("text", "\n"))
+    blank = F.filter(F.transform("all", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
+    lines = lines.withColumn("keep", F.array_sort(F.concat(blank, F.coalesce("lines", F.array().cast("array<int>")))))
+    out = F.when(F.col("text").isNotNull(), F.array_join(F.transform("keep", lambda i: F.get("all", i)), "\n"))
     return lines.select(
-        *[out.alias(text) if c == text else F.col(c) for c in columns],
-        F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_all") - F.size("_keep"), F.lit(0)).cast("long").alias("n_removed"),
+        *[out.alias(text) if c == text else F.col(f"row.`{c}`") for c in columns],
+        F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("all") - F.size("keep"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
