@@ -1,130 +1,158 @@
-"""Benchmark decontamination by winnowing.
+"""Benchmark decontamination by winnowing: fingerprints of training and test texts are joined, and hits extended.
 
-Every window of ten benchmark words is fingerprinted by its smallest five-word hash; document fingerprints are
-winnowed with the same window, so each shared window is certain to share a fingerprint. Hits are then extended: the
-windows around a shared fingerprint are compared word by word, so results are exact.
+Of each window of ten words the smallest five-word hash is kept, for documents as for benchmark items, so texts that share a
+window are certain to share a fingerprint there. Both sides are rows of (fingerprint, place); the benchmark's are broadcast
+while they are few (``SMALL``), else both are shuffled. A document's windows around a shared fingerprint are then joined with
+the benchmark's windows by all their words, so results are exact. Items of fewer than ten words are one window, and documents
+are winnowed for each such length that occurs.
 
-Null or empty texts have no words and are clean. Repeated rows are judged one by one. Benchmark rows without words, or
-without an item id, match nothing. Columns of the documents that are named like results are replaced.
+Null or empty texts have no words and are clean. Rows are judged by their text alone, so repeated ones, and rows without an id,
+get their own result each. Benchmark rows without words, or without an item id, match nothing. The results are columns
+``n_words``, ``spans`` and ``items``; columns of these names are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidalgrid.llm.common import Words, small_batches, text_blocks, winnow, word_grams
+from tidalgrid.llm.common import Words, materialize, plain_unions, small_batches, text_blocks, winnow, word_grams
 
 WINDOW, GRAM = 10, 5
-#: Benchmark text that one pass holds in each worker; more is handled in further passes.
-BLOCK_CHARS = 4_000_000
-FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-class _Index:
-    """Windows of one block of the benchmark, and their fingerprints by window length."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.windows: dict[bytes, set[str]] = defaultdict(set)
-        prints: dict[int, set[int]] = defaultdict(set)
-        texts = pa.array([t for _, t in items], pa.string())
-        for lo, hi, buf, offsets in text_blocks(texts):
-            words = Words(buf, offsets)
-            for i in range(lo, hi):
-                a, b = int(words.text_start[i - lo]), int(words.text_end[i - lo])
-                if a == b:
-                    continue
-                size = min(window, b - a)
-                for s in range(a, b - size + 1):
-                    self.windows[words.span(s, size)].add(items[i][0])
-                k = min(gram, size)
-                h = word_grams(words.hash[a:b], k)
-                prints[size].update(h[winnow(h, size - k + 1)].tolist())
-        self.by_size = [(size, min(gram, size), np.sort(np.array(sorted(p), np.uint64))) for size, p in sorted(prints.items())]
-
-    def find(self, words: Words, a: int, b: int) -> tuple[np.ndarray, set[str]]:
-        hit, items = np.zeros(b - a, bool), set()
-        for size, k, prints in self.by_size:
-            if b - a < size:
-                continue
-            h = word_grams(words.hash[a:b], k)
-            at = winnow(h, size - k + 1)
-            near = np.searchsorted(prints, h[at])
-            at = at[prints[np.minimum(near, len(prints) - 1)] == h[at]]
-            if not len(at):
-                continue
-            starts = np.unique((at[:, None] - np.arange(size - k + 1)).ravel())
-            for s in starts[(starts >= 0) & (starts <= b - a - size)].tolist():
-                if ids := self.windows.get(words.span(a + s, size)):
-                    hit[s : s + size] = True
-                    items |= ids
-        return hit, items
-
-
-@lru_cache(maxsize=2)
-def _index(key: str, shared, window: int, gram: int) -> _Index:
-    return _Index(shared.value, window, gram)
-
-
-def _annotate(docs: DataFrame, shared, text: str, window: int, gram: int, first: bool) -> DataFrame:
-    keep = [f for f in docs.schema.fields if f.name not in FOUND.fieldNames()]
-    schema, key = T.StructType(keep + FOUND.fields), uuid.uuid4().hex
+#: Rows of fingerprints, or of windows, that are broadcast; a row of them takes 30 to 150 bytes.
+SMALL = 200_000
+#: Words before lower-casing: the pattern of the contract with A-Z as letters.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RESULTS = ("n_words", "spans", "items")
+
+
+def _prints(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the winnowed grams of a text for windows of ``size`` words."""
+    k = min(gram, size)
+    h = word_grams(hashes, k)
+    at = winnow(h, size - k + 1)
+    return h[at], at
+
+
+def fingerprints(texts: DataFrame, sizes: list[int], gram: int, whole: bool = False) -> DataFrame:
+    """(key, size, print, at): the fingerprints of ``texts`` (key, text) for each window length, or with ``whole`` for the
+    text's own length only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lengths, prints, places = [], [], [], []
+            key_of = batch.column(0)
+            for lo, hi, buf, offsets in text_blocks(batch.column(1)):
+                words = Words(buf, offsets)
+                for i in range(lo, hi):
+                    a, b = int(words.text_start[i - lo]), int(words.text_end[i - lo])
+                    for size in sizes:
+                        if b - a == size or b - a > size and not whole:
+                            h, at = _prints(words.hash[a:b], size, gram)
+                            keys.append(i)
+                            lengths.append(size)
+                            prints.append(h.view(np.int64))
+                            places.append(at.astype(np.int32))
+            lists = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([key_of.take(pa.array(keys, pa.int64())), pa.array(lengths, pa.int32()), pa.array(prints, lists[0]), pa.array(places, lists[1])], names=["key", "size", "prints", "places"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    lists = texts.select("key", "text").mapInArrow(run, f"key {kind}, size int, prints array<long>, places array<int>")
+    return lists.select("key", "size", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("key", "size", F.col("x.prints").alias("print"), F.col("x.places").alias("at"))
+
+
+def windows_at(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, size, start, words): windows of ``texts`` (key, text, found: array of size and at) that hold a found place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, starts, spans = [], [], [], []
+            key_of, found = batch.column(0), batch.column(2)
+            for lo, hi, buf, offsets in text_blocks(batch.column(1)):
+                words = Words(buf, offsets)
+                for i in range(lo, hi):
+                    a, b = int(words.text_start[i - lo]), int(words.text_end[i - lo])
+                    near = {(f["size"], s) for f in found[i].as_py() for s in range(f["at"] - f["size"] + min(gram, f["size"]), f["at"] + 1)}
+                    for size, s in sorted(near):
+                        if 0 <= s <= b - a - size:
+                            keys.append(i)
+                            sizes.append(size)
+                            starts.append(s)
+                            spans.append(words.span(a + s, size))
+            yield pa.RecordBatch.from_arrays([key_of.take(pa.array(keys, pa.int64())), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(spans, pa.binary())], names=["key", "size", "start", "words"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text", "found").mapInArrow(run, f"key {kind}, size int, start int, words binary")
+
+
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(size, words, item): the distinct windows of the items, ids as strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(key, shared, window, gram)
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            n_words, spans, names = [], [], []
-            for lo, hi, buf, offsets in text_blocks(column):
+            items, sizes, spans = [], [], []
+            for lo, hi, buf, offsets in text_blocks(batch.column(1)):
                 words = Words(buf, offsets)
                 for i in range(lo, hi):
                     a, b = int(words.text_start[i - lo]), int(words.text_end[i - lo])
-                    hit, items = index.find(words, a, b)
-                    if not first:
-                        for s in batch.column(batch.schema.get_field_index("spans"))[i].as_py():
-                            hit[s["start"] : s["end"]] = True
-                        items |= set(batch.column(batch.schema.get_field_index("items"))[i].as_py())
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    n_words.append(b - a)
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                    names.append(sorted(items))
-            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(names, pa.list_(pa.string()))], names=schema.fieldNames())
-
-    return docs.mapInArrow(run, schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``n_words``, ``spans`` (word ranges that a benchmark window covers) and ``items`` (their ids, as strings).
-
-    The benchmark is read in blocks of at most ``block_chars`` characters or one item, each broadcast by itself.
-    """
+                    size = min(window, b - a)
+                    for own in {words.span(s, size) for s in range(a, b - size + 1)} if size else ():
+                        items.append(i)
+                        sizes.append(size)
+                        spans.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(items, pa.int64())), pa.array(sizes, pa.int32()), pa.array(spans, pa.binary())], names=["item", "size", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    return items.mapInArrow(run, "item string, size int, words binary").distinct()
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it was counted to have few rows."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with ``n_words``, ``spans`` (word ranges that a benchmark window covers) and ``items`` (their ids, as strings)."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
-    n = 1 + int((items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars)
-    out, first = docs, True
-    for part in range(n):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == part) if n > 1 else items
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-        out, first = _annotate(out, shared, text, window, gram, first), False
-    return out
+    plain_unions(spark)
+    windows = materialize(benchmark_windows(benchmark, window), "windows")
+    n_windows = windows.count()
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # lengths from 1 to window
+    own = F.col(f"`{text}`")
+    key = F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(7), own).alias("b"))
+    texts = docs.where(own.isNotNull()).select(key.alias("key"), own.alias("text"))
+    tests = materialize(fingerprints(windows.select(F.lit(0).alias("key"), F.col("words").cast("string").alias("text")), sizes, gram, whole=True).select("size", "print").distinct(), "test-prints")
+    n_prints = tests.count()
+    hits = fingerprints(texts, sizes, gram).join(_small(tests, n_prints), ["size", "print"], "left_semi")
+    found = materialize(hits.groupBy("key").agg(F.collect_set(F.struct("size", "at")).alias("found")), "hits")
+    candidates = texts.join(found, "key").dropDuplicates(["key"])
+    extended = windows_at(candidates, window, gram).join(_small(windows, n_windows), ["size", "words"]).select("key", "size", "start", "item")
+    per = extended.groupBy("key").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"), F.collect_set("item").alias("items"))
+    per = materialize(per.select("key", merged(F.array_sort("spans")).alias("spans"), F.array_sort("items").alias("items")), "contaminated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS])
+    keep = [c for c in docs.columns if c not in RESULTS]
+    n_words = F.coalesce(F.regexp_count(own, F.lit(_WORD)), F.lit(0)).cast("long")
+    judged = docs.select(F.when(own.isNotNull(), key).alias("key"), row.alias("row"), n_words.alias("n_words")).join(per, "key", "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return judged.select(*[F.col(f"row.`{c}`") for c in keep], "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def merged(spans):
+    """Sorted spans with those that touch or overlap made one."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def step(out, s):
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans.cast(kind), F.array().cast(kind), step)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -146,9 +174,10 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    """Documents without any benchmark window, as they came."""
+    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = contamination(row, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("spans") == 0).select("row.*")
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
