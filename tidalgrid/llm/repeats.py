@@ -1,23 +1,23 @@
 """Removal of repeated passages: distributed prefix doubling over sparse suffixes.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Ranking every
-suffix of the corpus by ever longer prefixes would sort all bytes many times over, so suffixes are ranked at anchors
-only: an anchor is the rightmost smallest 24-byte hash among those inside a 50-byte string. It depends on the string
-alone, so equal strings have equal anchors, and neighbouring strings mostly share one. Ranks are 64-bit hashes, and each
-round compares longer prefixes of what is left, as in prefix doubling:
-
-1. 24 bytes at the anchor: anchors whose rank occurs in one document only are unique and drop out;
-2. all bytes around the anchor, over the run of strings that it stands for: if that rank's smallest document is another
-   one, the whole run goes; if no other surroundings exist for the anchor's rank, the run stays;
-3. for the other runs (the first document of each surroundings), each 50-byte string by itself.
-
-In every round a chunk of documents sends its distinct ranks, with its smallest document, sorted and packed, to the
-partition of the rank, which merges and answers. So a rank costs one entry for each chunk that holds it, however often
-it occurs. Chunks are groups of documents, a few megabytes each; texts are shuffled to them once.
-
-Equal texts are found first, by their SHA-256: copies of a smaller id's text go entirely if they have 50 bytes. Null and
-empty texts have no bytes. Rows without an id lose nothing and remove nothing. Rows that repeat an id don't affect each
-other.
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Ranking every suffix of
+the corpus by ever longer prefixes would shuffle all bytes many times over, so at first sparse positions are ranked: an
+anchor is the rightmost smallest 24-byte hash among those inside a 50-byte string. It depends on the string alone, so
+equal strings have equal anchors, and the neighbouring strings that share one are a run. Rows of (position, rank) are
+grouped by Spark in rounds over longer and longer spans, and positions whose rank no other text has drop out:
+
+1. the 24 bytes at the anchor; runs whose anchor's rank occurs in one text only are done with;
+2. all bytes of the run, 50 to 76: if a smaller document has the same ones, the whole run goes; if no other run has the
+   anchor's rank, the run stays;
+3. for the other runs (the first document's of each), every 50-byte string by itself.
+
+The ranks of the first round are 64-bit hashes and only choose what is looked at further; those that decide are pairs of
+64-bit hashes. Ranks are pre-aggregated to the smallest document before they are shuffled, and the joins have one row for each
+rank on one side, so a passage that very many documents share can be split. No document's text is shuffled but to be joined
+with its own runs.
+
+Ids must be integers, else ValueError. Null and empty texts have no bytes. Rows without an id lose nothing and remove nothing.
+Rows that repeat an id don't affect each other. Copies of a smaller id's text go entirely if they have 50 bytes.
 """
 
 from __future__ import annotations
@@ -29,33 +29,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidalgrid.llm.common import byte_values, prefix_hash, gram_hash, plain_unions, sliding_min, small_batches, span_hash, splitmix, text_blocks
+from tidalgrid.llm.common import byte_values, discard, gram_hash, materialize, plain_unions, prefix_hash, sliding_min, small_batches, text_blocks
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text that a chunk holds.
-CHUNK_BYTES = 4 << 20
-MESSAGE = "kind int, bucket int, chunk int, a binary, b binary, c binary"
-_NAMES = ["kind", "bucket", "chunk", "a", "b", "c"]
-_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-SEEN, AROUND, KIND, STRING, FIRST = 0, 1, 2, 3, 4
-MANY = np.uint64(0)
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Runs:
-    """Runs of neighbouring strings with one anchor, over a block of documents."""
+    """Runs of neighbouring strings with one anchor, over a block of documents: first and last start, anchor and its rank."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        n, w, low = len(buf) - length + 1, length - gram + 1, np.uint64(0xFFFF)
-        self.prefix = prefix_hash(byte_values(buf))
-        self.length = length
-        anchor = np.empty(max(n, 0), np.int64)
-        grams = gram_hash(self.prefix, gram)
-        for at in range(0, max(n, 0), 32_000):
+        n, w, low = max(0, len(buf) - length + 1), length - gram + 1, np.uint64(0xFFFF)
+        anchor, grams = np.empty(n, np.int64), gram_hash(prefix_hash(byte_values(buf)), gram)
+        for at in range(0, n, 32_000):
             part = grams[at : min(at + 32_000, n) + w - 1]
             key = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))
             anchor[at : at + 32_000] = (low - (sliding_min(key, w) & low)).astype(np.int64) + at
-        inside = np.zeros(max(n, 0), bool)
+        inside = np.zeros(n, bool)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             inside[a : max(a, b - length + 1)] = True
         new = inside.copy()
@@ -64,317 +56,135 @@ class Runs:
         stop = inside.copy()
         stop[:-1] &= new[1:] | ~inside[1:]
         self.last = np.flatnonzero(stop)
-        at = anchor[self.first] if len(self.first) else np.zeros(0, np.int64)
-        self.key = grams[at] if len(at) else np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            self.around = splitmix(span_hash(self.prefix, self.first, self.last + length) + (at - self.first).astype(np.uint64) * np.uint64(0x9E37) + self.key)
-        self.around[self.around == MANY] = np.uint64(1)
+        self.anchor = anchor[self.first]
+        self.key = grams[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64)
         self.text = np.searchsorted(offsets, self.first, "right") - 1
 
-    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of all strings of the chosen runs."""
-        size = self.last[chosen] - self.first[chosen] + 1
-        starts = np.repeat(self.first[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return starts, span_hash(self.prefix, starts, starts + self.length)
 
+def _batch(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
 
-def first_of(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys, smallest document of each)."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return keys[new], docs[new]
 
+def anchors(texts: DataFrame) -> DataFrame:
+    """(row, t1, t2, key, first): the anchor's rank and the first start of each run of ``texts`` (row, t1, t2, text)."""
 
-def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each key stands in the sorted table, where)."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, firsts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
+            for lo, hi, buf, offsets in text_blocks(batch.column(3)):
+                runs = Runs(buf, offsets)
+                keys.append(runs.key)
+                firsts.append(runs.first - offsets[runs.text])
+                sizes += np.bincount(runs.text, minlength=hi - lo).tolist()
+            ends = pa.array(np.cumsum(sizes), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.concatenate(keys).view(np.int64), np.concatenate(firsts).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["row", "t1", "t2", "keys", "firsts"])
 
+    found = texts.select("row", "t1", "t2", "text").mapInArrow(run, "row long, t1 long, t2 long, keys array<long>, firsts array<int>")
+    return found.select("row", "t1", "t2", F.explode(F.arrays_zip("keys", "firsts")).alias("x")).select("row", "t1", "t2", F.col("x.keys").alias("key"), F.col("x.firsts").alias("first"))
 
-def pack5(values: np.ndarray) -> bytes:
-    """The low 40 bits of each value."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
+def run_bytes(texts: DataFrame) -> DataFrame:
+    """(doc, t1, first, at, b): the bytes of the runs of ``texts`` (doc, t1, text, firsts) that ``firsts`` names, and the anchor's
+    place in them."""
+    schema = {"doc": pa.int64(), "t1": pa.int64(), "first": pa.int32(), "at": pa.int32(), "b": pa.binary()}
 
-def unpack5(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, t1, named = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3).to_pylist()
+            for lo, hi, buf, offsets in text_blocks(batch.column(2)):
+                runs = Runs(buf, offsets)
+                wanted = np.concatenate([offsets[i - lo] + np.array(named[i], np.int64) for i in range(lo, hi)])
+                own = np.flatnonzero(np.isin(runs.first, wanted))
+                first, size = runs.first[own], runs.last[own] - runs.first[own] + LENGTH
+                ends = np.cumsum(size)
+                data = buf[np.repeat(first - ends + size, size) + np.arange(size.sum())]
+                b = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                text = lo + runs.text[own]
+                yield _batch(schema, [ids[text], t1[text], first - offsets[runs.text[own]], runs.anchor[own] - first, b])
 
+    return texts.select("doc", "t1", "text", "firsts").mapInArrow(run, "doc long, t1 long, first int, at int, b binary")
 
-def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
-
-def _scatter(kind: int, chunk: int, buckets: int, keys: np.ndarray, docs: np.ndarray | None = None, other: np.ndarray | None = None, short: bool = False) -> list[tuple]:
-    """One message for each bucket of the keys: packed keys, documents and companions, in key order."""
-    home = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-    out = []
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            out.append((kind, b, chunk, pack5(keys[own] // np.uint64(buckets)) if short else keys[own].astype("<u8").tobytes(), None if docs is None else docs[own].astype("<i8").tobytes(), None if other is None else other[own].astype("<u8").tobytes()))
-    return out
-
-
-def _blocks(column) -> Iterator[tuple[int, int, Runs, np.ndarray]]:
-    for lo, hi, buf, offsets in text_blocks(column):
-        yield lo, hi, Runs(buf, offsets), buf
-
-
-def _chosen(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """The rows of a chunk that are the first of their text, by the messages that name these."""
-    wanted = {(r["a"].hex(), int.from_bytes(r["b"], "big", signed=True)) for r in answers.select(["kind", "a", "b"]).to_pylist() if r["kind"] == FIRST} if answers.num_rows else set()
-    rows = []
-    for i, row in enumerate(zip(texts["key"].to_pylist(), texts["doc_id"].to_pylist(), strict=True)) if texts.num_rows else ():
-        if row in wanted:
-            wanted.remove(row)
-            rows.append(i)
-    return texts.take(rows) if rows else texts.slice(0, 0)
-
-
-class _Answers:
-    """The answers to one chunk, by kind."""
-
-    def __init__(self, table: pa.Table):
-        rows = table.select(["kind", "bucket", "a", "b", "c"]).to_pylist()
-        self.rows = {k: [r for r in rows if r["kind"] == k] for k in (SEEN, AROUND, KIND, STRING)}
-
-    def values(self, kind: int) -> np.ndarray:
-        """The ranks that the answers name, sorted."""
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], "<u8") for r in self.rows[kind])]))
-
-    def seen(self) -> dict[int, np.ndarray]:
-        return {r["bucket"]: unpack5(r["a"]) for r in self.rows[SEEN]}
-
-
-def _survives(keys: np.ndarray, seen: dict[int, np.ndarray], buckets: int) -> np.ndarray:
-    home = (keys % np.uint64(buckets)).astype(np.int64)
-    rest = (keys // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
-    out = np.zeros(len(keys), bool)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-    for b, table in seen.items():
-        own = order[cuts[b] : cuts[b + 1]]
-        out[own] = lookup(table, rest[own])[0]
-    return out
-
-
-def _chunk_runs(column, ids: np.ndarray, got: _Answers) -> Iterator[tuple[int, int, Runs, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of a chunk: (first row, end row, its runs, its bytes, the runs that go, those to rank string by string).
-
-    A run goes if a smaller document of the chunk has the same surroundings, or if the answers name these: they do where
-    another chunk holds a smaller document than all of this chunk's.
-    """
-    around, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, _, runs, _ in _blocks(column):
-        around.append(runs.around)
-        owners.append(ids[lo + runs.text])
-    known, least = first_of(np.concatenate(around), np.concatenate(owners))
-    elsewhere, many = got.values(AROUND), got.values(KIND)
-    for lo, hi, runs, buf in _blocks(column):
-        goes = ids[lo + runs.text] > least[lookup(known, runs.around)[1]] if len(runs.around) else np.zeros(0, bool)
-        goes |= lookup(elsewhere, runs.around)[0]
-        yield lo, hi, runs, buf, goes, ~goes & lookup(many, runs.key)[0]
-
-
-def _open_strings(column, ids: np.ndarray, got: _Answers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each block: (hashes, documents) of the strings to rank one by one."""
-    for lo, _, runs, _, _, open_ in _chunk_runs(column, ids, got):
-        chosen = np.flatnonzero(open_)
-        yield runs.strings(chosen)[1], np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1)
+def _rank(*values) -> list:
+    """A pair of hashes, ``r1`` and ``r2``."""
+    return [F.xxhash64(*values).alias("r1"), F.xxhash64(F.lit(7), *values).alias("r2")]
 
 
-def repeated_passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """One row for each of ``firsts`` (key, doc_id: the texts to work on, each once): ``key``, the kept text as bytes
-    (``kept``), ``n_removed`` and ``spans``, the removed byte ranges. ``docs`` (key, doc_id, text) may hold more rows."""
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc, t1, spans): the byte ranges that go, overlapping and in no order, of each of ``docs`` (doc, t1, t2, text) that loses any."""
     spark = docs.sparkSession
-    small_batches(spark)
-    plain_unions(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(n, -(-int(total) // CHUNK_BYTES))
-    buckets = n
-    chunk_of = F.pmod(F.xxhash64("key", "doc_id"), F.lit(chunks)).cast("int")
-    by_chunk = docs.withColumn("chunk", chunk_of).repartition(n, "chunk").groupBy("chunk")
-    number = F.unhex(F.lpad(F.hex("doc_id"), 16, "0"))
-    named = firsts.select(F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), chunk_of.alias("chunk"), F.unhex("key").alias("a"), number.alias("b"), F.lit(None).cast("binary").alias("c"))
-
-    def send_seen(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table = _chosen(texts, answers)
-        if not table.num_rows:
-            return _table([])
-        chunk, ids = table["chunk"][0].as_py(), np.asarray(table["doc_id"])
-        keys, owners = [], []
-        for lo, _, runs, _ in _blocks(table["text"].combine_chunks()):
-            keys.append(runs.key)
-            owners.append(ids[lo + runs.text])
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[1:] = ~new[1:] & (owners[1:] != owners[:-1])
-        first = np.flatnonzero(new)
-        shared = np.logical_or.reduceat(twice, first) if len(first) else twice[:0]
-        return _table(_scatter(SEEN, chunk, buckets, keys[first], short=True) + _scatter(-1, chunk, buckets, keys[first][shared], short=True))
-
-    def answer_seen(table: pa.Table) -> pa.Table:
-        rows = [(r["kind"], r["chunk"], unpack5(r["a"])) for r in table.to_pylist()]
-        every = np.sort(np.concatenate([k for _, _, k in rows]))  # a key shared within its chunk was sent twice
-        found = np.unique(every[1:][every[1:] == every[:-1]])
-        bucket, out = table["bucket"][0].as_py(), []
-        for kind, chunk, k in rows:
-            if kind == SEEN and len(hit := k[lookup(found, k)[0]]):
-                out.append((SEEN, bucket, chunk, pack5(np.sort(hit)), None, None))
-        return _table(out)
-
-    def send_around(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _chosen(texts, answers)
-        if not texts.num_rows:
-            return _table([])
-        chunk, ids, seen = texts["chunk"][0].as_py(), np.asarray(texts["doc_id"]), _Answers(answers).seen()
-        keys, around, owners = [], [], []
-        for lo, _, runs, _ in _blocks(texts["text"].combine_chunks()):
-            live = _survives(runs.key, seen, buckets)
-            keys.append(runs.key[live])
-            around.append(runs.around[live])
-            owners.append(ids[lo + runs.text[live]])
-        keys, around, owners = np.concatenate(keys), np.concatenate(around), np.concatenate(owners)
-        whole, least = first_of(around, owners)
-        order = np.lexsort((around, keys))
-        keys, around = keys[order], around[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        first = np.flatnonzero(new)
-        same = np.minimum.reduceat(around, first) == np.maximum.reduceat(around, first) if len(first) else new
-        return _table(_scatter(AROUND, chunk, buckets, whole, least) + _scatter(KIND, chunk, buckets, keys[first], other=np.where(same, around[first], MANY)))
-
-    def answer_around(table: pa.Table) -> pa.Table:
-        bucket, rows, out = table["bucket"][0].as_py(), table.to_pylist(), []
-        for kind in (AROUND, KIND):
-            part = [r for r in rows if r["kind"] == kind]
-            if not part:
-                continue
-            keys = [np.frombuffer(r["a"], "<u8") for r in part]
-            flat = np.concatenate(keys)
-            if kind == AROUND:
-                known, least = first_of(flat, np.concatenate([np.frombuffer(r["b"], "<i8") for r in part]))
-                for r, k in zip(part, keys, strict=True):
-                    hit = k[least[lookup(known, k)[1]] < np.frombuffer(r["b"], "<i8")]
-                    if len(hit):
-                        out.append((AROUND, bucket, r["chunk"], hit.astype("<u8").tobytes(), None, None))
-                continue
-            other = np.concatenate([np.frombuffer(r["c"], "<u8") for r in part])
-            order = np.argsort(flat, kind="stable")
-            flat, other = flat[order], other[order]
-            new = np.ones(len(flat), bool)
-            new[1:] = flat[1:] != flat[:-1]
-            first = np.flatnonzero(new)
-            low = np.minimum.reduceat(other, first)
-            many = flat[first][(low == MANY) | (low != np.maximum.reduceat(other, first))]
-            for r, k in zip(part, keys, strict=True):
-                if len(hit := k[lookup(many, k)[0]]):
-                    out.append((KIND, bucket, r["chunk"], hit.astype("<u8").tobytes(), None, None))
-        return _table(out)
-
-    def send_strings(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _chosen(texts, answers)
-        if not texts.num_rows:
-            return _table([])
-        chunk, ids, got = texts["chunk"][0].as_py(), np.asarray(texts["doc_id"]), _Answers(answers)
-        blocks = list(_open_strings(texts["text"].combine_chunks(), ids, got))
-        whole, least = first_of(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in blocks)]), np.concatenate([np.zeros(0, np.int64), *(o for _, o in blocks)]))
-        # the answers so far travel on, so that the last step needs one chain of exchanges
-        echo = [(k, r["bucket"], chunk, r["a"], None, None) for k in (AROUND, KIND) for r in got.rows[k]]
-        return _table(_scatter(STRING, chunk, buckets, whole, least) + echo)
-
-    def answer_strings(table: pa.Table) -> pa.Table:
-        bucket, rows = table["bucket"][0].as_py(), table.to_pylist()
-        out = [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] != STRING]
-        rows = [r for r in rows if r["kind"] == STRING]
-        if not rows:
-            return _table(out)
-        keys = [np.frombuffer(r["a"], "<u8") for r in rows]
-        docs_ = [np.frombuffer(r["b"], "<i8") for r in rows]
-        known, least = first_of(np.concatenate(keys), np.concatenate(docs_))
-        for r, k, d in zip(rows, keys, docs_, strict=True):
-            m = least[lookup(known, k)[1]]
-            if (hit := m < d).any():
-                out.append((STRING, bucket, r["chunk"], k[hit].astype("<u8").tobytes(), None, None))
-        return _table(out)
-
-    def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _chosen(texts, answers)
-        ids, got = np.asarray(texts["doc_id"]) if texts.num_rows else np.zeros(0, np.int64), _Answers(answers)
-        elsewhere = got.values(STRING)
-        n_removed, spans, kept = [], [], []
-        column = texts["text"].combine_chunks() if texts.num_rows else None
-        blocks = list(_open_strings(column, ids, got)) if column is not None else []
-        known, least = first_of(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in blocks)]), np.concatenate([np.zeros(0, np.int64), *(o for _, o in blocks)]))
-        for lo, hi, runs, buf, goes, open_ in _chunk_runs(column, ids, got) if column is not None else ():
-            edge = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(edge, runs.first[goes], 1)
-            np.add.at(edge, runs.last[goes] + runs.length, -1)
-            chosen = np.flatnonzero(open_)
-            starts, hashes = runs.strings(chosen)
-            owner = np.repeat(ids[lo + runs.text[chosen]], runs.last[chosen] - runs.first[chosen] + 1)
-            hit = starts[(least[lookup(known, hashes)[1]] < owner) | lookup(elsewhere, hashes)[0]] if len(starts) else starts
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + runs.length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            offsets = np.concatenate([[0], np.cumsum([len(column[i].as_buffer()) for i in range(lo, hi)])])
-            for i in range(lo, hi):
-                a, b = offsets[i - lo], offsets[i - lo + 1]
-                own_gone = gone[a:b]
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], own_gone, [False]]).astype(np.int8)))
+    texts = docs.where(F.octet_length("text") >= LENGTH).withColumn("row", F.xxhash64("doc", "t1", "t2"))
+    every = anchors(texts)
+    # a text's copies don't make its anchors shared
+    ranks = every.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2") for f in (F.min, F.max)])
+    ranks = materialize(ranks.where("min_t1 != max_t1 or min_t2 != max_t2").select("key"), "anchors")
+    live = materialize(every.join(ranks.hint("shuffle_hash"), "key").groupBy("row").agg(F.collect_list("first").alias("firsts")), "live")
+    runs = materialize(run_bytes(texts.select("row", "doc", "t1", "text").join(live.hint("shuffle_hash"), "row")), "runs")
+    ranked = runs.select("*", F.xxhash64(F.substring("b", F.col("at") + 1, F.lit(GRAM))).alias("key"), *_rank("at", "b"))
+    leads = ranked.groupBy("r1", "r2").agg(F.min("key").alias("key"), F.min("doc").alias("lead"), F.max("doc").alias("last"))
+    leads = materialize(leads, "leads")
+    kinds = leads.groupBy("key").agg((F.count("*") > 1).alias("many"))
+    leads_ = leads.join(kinds, "key").where("many or lead < last").select("r1", "r2", "lead", "many")
+    judged = ranked.join(leads_, ["r1", "r2"]).where("doc > lead or many")
+    judged = materialize(judged.select("doc", "t1", "first", F.octet_length("b").alias("size"), F.when(F.col("doc") == F.col("lead"), F.col("b")).alias("open")), "judged")
+    strings = judged.where("open is not null").select("doc", "t1", "first", "open", F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("i"))
+    strings = strings.select("doc", "t1", (F.col("first") + F.col("i")).alias("start"), *_rank(F.substring("open", F.col("i") + 1, F.lit(LENGTH))))
+    firsts = strings.groupBy("r1", "r2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"))
+    firsts = materialize(firsts.where("lead < last").select("r1", "r2", "lead"), "strings")
+    hits = strings.join(firsts, ["r1", "r2"]).where("doc > lead").select("doc", "t1", F.col("start").cast("long").alias("start"), F.lit(LENGTH).alias("size"))
+    gone = judged.where("open is null").select("doc", "t1", F.col("first").cast("long").alias("start"), "size")
+    thin = docs.select("doc", "t1", "t2", F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
+    copied = thin.groupBy("t1", "t2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last")
+    copies = thin.join(copied, ["t1", "t2"]).where("doc > lead").select("doc", "t1", F.lit(0).cast("long").alias("start"), "size")
+    spans = gone.unionByName(hits).unionByName(copies).groupBy("doc", "t1").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"))
+    spans = materialize(spans, "spans")
+    for x in (ranks, live, runs, leads, judged, firsts):
+        discard(x)
+    return spans
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept) of ``texts`` (doc, text, spans): the removed ranges, merged, and the bytes that stay."""
+    schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": SPAN, "kept": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_, named = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
+            n_removed, spans, kept = [], [], []
+            for i, text in enumerate(texts_):
+                if not named[i].is_valid:
+                    spans.append([])
+                    n_removed.append(0)
+                    kept.append(text)
+                    continue
+                start, end = named[i].values.flatten()
+                edge = np.bincount(np.asarray(start), minlength=len(text) + 1) - np.bincount(np.asarray(end), minlength=len(text) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                n_removed.append(int(own_gone.sum()))
-                kept.append(buf[a:b][~own_gone].tobytes())
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        key = texts["key"].combine_chunks() if texts.num_rows else pa.array([], pa.string())
-        return pa.table([key, pa.array(n_removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["key", "n_removed", "spans", "kept"])
+                n_removed.append(int(gone.sum()))
+                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+            yield _batch(schema, [batch.column(0), [len(x) for x in texts_], n_removed, spans, kept])
 
-    def ask(chunks_: DataFrame, answer) -> DataFrame:
-        return chunks_.groupBy("bucket").applyInArrow(answer, MESSAGE)
+    return texts.select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
-    def tell(messages: DataFrame | None, run, kind: str) -> DataFrame:
-        both = named if messages is None else named.unionByName(messages)
-        return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(run, kind)
 
-    seen = ask(tell(None, send_seen, MESSAGE), answer_seen)
-    around = ask(tell(seen, send_around, MESSAGE), answer_around)
-    strings = ask(tell(around, send_strings, MESSAGE), answer_strings)
-    schema = "key string, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return tell(strings, cut, schema)
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): ``doc_id``, ``n_bytes``, ``n_removed``, ``spans`` (the removed byte ranges) and
+    ``kept``, the bytes that stay."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer")
+    small_batches(docs.sparkSession)
+    plain_unions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).select("doc", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+    spans = repeated_spans(rows.where("doc is not null"))
+    return cut(rows.join(spans.hint("shuffle_hash"), ["doc", "t1"], "left"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
-    thin = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = thin.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    long = rows.where("doc_id is not null").where(F.octet_length("text") >= LENGTH)
-    found = repeated_passages(long.select("key", "doc_id", "text"), thin.where("doc_id is not null").where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    found = found.select("key", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    joined = thin.join(firsts.select("key", F.col("doc_id").alias("first")), "key", "left").join(found, "key", "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    whole = F.col("doc_id").isNull() | F.col("n_removed").isNull()
-    return joined.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).when(whole, F.lit(0)).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, F.lit(1)).when(whole, F.lit(0)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).when(whole, F.col("key")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+    return repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
