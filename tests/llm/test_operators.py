@@ -89,21 +89,29 @@ def test_components(spark):
 # --- decontamination ---
 
 
-def test_decontaminate(spark, docs, rows):
+def test_decontaminate(spark, docs, rows, monkeypatch):
     items = [(1, prose(1000, 60)[40:200]), (2, "two words"), (3, None), (4, "!!"), (None, prose(3, 20)), (5, prose(3, 20)), (6, "a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = set(decontaminate.brute_force(rows, items))
     assert result(decontaminate.summary(decontaminate.contamination(docs, bench)), *cols) == want
-    assert result(decontaminate.summary(decontaminate.contamination(docs, bench, block_chars=100)), *cols) == want
+    twice = docs.union(docs.where("doc_id in (3, 60, 70)")).union(spark.createDataFrame([(None, "x two words")], "doc_id long, text string"))
+    found = decontaminate.summary(decontaminate.contamination(twice, bench))
+    assert result(found.where("doc_id is not null"), *cols) == want and found.count() == len(rows) + 4
+    assert result(found.where("doc_id is null"), "n_words", "n_hit", "n_items") == {(3, 2, 1)}
+    monkeypatch.setattr(decontaminate, "SMALL", 0)  # nothing is broadcast
+    assert result(decontaminate.summary(decontaminate.contamination(docs, bench)), *cols) == want
     assert any(w[2] for w in want) and not all(w[2] for w in want)
 
 
-def test_decontaminate_empty(spark, docs):
+def test_decontaminate_empty(spark, docs, sf):
     none = spark.createDataFrame([], "item_id long, text string")
     clash = docs.withColumn("items", F.lit("x")).withColumn("spans", F.lit(1))
     assert decontaminate.summary(decontaminate.contamination(clash, none)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
+    named = docs.select("doc_id", "text", F.lit("mine").alias("items"), F.lit("x").alias("row"), F.lit("y").alias("key"))
+    kept = decontaminate.stage(spark, named, sf)
+    assert kept.columns == named.columns and result(kept, "items", "row", "key") == {("mine", "x", "y")}
 
 
 # --- pieces ---
@@ -384,18 +392,43 @@ def test_jaccard_in_blocks(spark):
         own[r.randrange(len(own))] = f"w{i % 25}"
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    small = jaccard.BLOCK
-    jaccard.verified.__defaults__ = (4,)
-    try:
-        got = jaccard.jaccard_classes(docs)
-        assert result(got, "doc_id", "class_id", "n_links") == set(jaccard.brute_force(rows))
-    finally:
-        jaccard.verified.__defaults__ = (small,)
-
-
-def test_prefix_depth():
-    assert jaccard.prefix_depth() == 6
-    assert 1 - (1 - 0.8**6) ** 32 >= 0.9999 > 1 - (1 - 0.8**7) ** 32
+    got = jaccard.jaccard_classes(docs, block=4)
+    assert result(got, "doc_id", "class_id", "n_links") == set(jaccard.brute_force(rows))
+    # texts of growing length: a chain of links over several bands of sizes
+    chain = [(i, prose(77, 40 + 4 * i)) for i in range(60)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(chain, "doc_id long, text string"), block=4)
+    assert result(got, "doc_id", "class_id", "n_links") == set(jaccard.brute_force(chain))
+
+
+def test_prefixes_are_shortened_by_what_is_found():
+    low = jaccard.prefix_depth(np.array([0.8] * 50))
+    assert jaccard.prefix_depth(np.zeros(0)) == jaccard.prefix_depth(np.full(3, 0.5)) == low
+    assert jaccard.SHORTEST < low < jaccard.prefix_depth(np.full(50, 0.85)) < jaccard.prefix_depth(np.full(50, 0.99)) == jaccard.DEPTH
+    assert jaccard.met(0.8, low) >= jaccard.RECALL > jaccard.met(0.8, low + 1)
+
+
+def test_neighbours_in_the_tries(spark):
+    r = random.Random(3)
+    paths = {i: [bytes(r.choice(b"\0\1") for _ in range(20)) for _ in range(3)] for i in range(300)}
+    nodes = spark.createDataFrame(list(paths.items()), "node long, paths array<binary>")
+    got = result(jaccard.neighbours(nodes, 1), "tree", "node", "other", "common")
+    want = set()
+    for t in range(3):
+        order = sorted((p[t], i) for i, p in paths.items())
+        for (a, i), (b, j) in zip(order, order[1:]):  # noqa: B905
+            k = next((x // 2 for x in range(0, 20, 2) if a[x : x + 2] != b[x : x + 2]), 10)
+            if k:
+                want.add((t, j, i, k))
+    assert got == want
+
+
+def test_jaccard_edges(spark):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    long = prose(4, 20_000)
+    rows = [(1, long), (2, long + " one more"), (3, "x y"), (3, "y z"), (4, "x y"), (5, "y z"), (5, "y z")]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result(got, "doc_id", "class_id") == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)} and got.count() == 7
 
 
 def test_jaccard_stage(spark, docs, sf):
