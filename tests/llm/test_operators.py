@@ -443,7 +443,9 @@ def test_jaccard_stage(spark, docs, sf):
 # --- repeated passages ---
 
 
-def test_repeats(spark, docs, rows):
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats(spark, docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     got = repeats.remove_repeats(docs)
     want = set(repeats.brute_force(rows))
     assert result(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
@@ -453,6 +455,17 @@ def test_repeats(spark, docs, rows):
     assert result(again.where("doc_id is not null"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert again.where("doc_id is null and n_removed = 0").count() == 1
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(docs.select(F.col("doc_id").cast("string"), "text"))
+
+
+def test_repeats_of_periodic_and_random_texts(spark):
+    """Few letters and short periods: many ties, anchors and equal strings, also within one text."""
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(40, 160)))) for i in range(60)] + [(100 + i, "abc" * (15 + i)) for i in range(12)] + [(200 + i, ("é" * i + "xyz") * 9) for i in range(12)]
+    rows += [(300 + i, rows[i][1][10:90] + rows[i + 1][1]) for i in range(40)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == set(repeats.brute_force(rows))
 
 
 # --- toxicity ---

@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidalgrid.llm.common import byte_values, discard, gram_hash, materialize, plain_unions, prefix_hash, sliding_min, small_batches, text_blocks
 
 LENGTH, GRAM = 50, 24
+#: Different runs of an anchor that are brought together.
+HOT = 4096
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -111,6 +113,25 @@ def _rank(*values) -> list:
     return [F.xxhash64(*values).alias("r1"), F.xxhash64(F.lit(7), *values).alias("r2")]
 
 
+def _strings(open_runs: DataFrame) -> DataFrame:
+    strings = open_runs.select("key", "doc", "t1", "first", "open", F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("i"))
+    return strings.select("key", "doc", "t1", (F.col("first") + F.col("i")).alias("start"), *_rank(F.substring("open", F.col("i") + 1, F.lit(LENGTH))))
+
+
+def _hit_strings(open_runs: DataFrame) -> DataFrame:
+    """(doc, t1, start) of the strings of ``open_runs`` that a smaller document has.
+
+    Equal strings have equal anchors, so runs are shuffled by these, and the strings are sorted by rank where they arrive. An
+    anchor with more than ``HOT`` different runs would bring too much to one task; strings of such are pre-aggregated instead.
+    """
+    cold = _strings(open_runs.where("not hot").repartition("key"))
+    lead = F.first("doc").over(Window.partitionBy("key", "r1", "r2").orderBy("doc"))
+    found = cold.withColumn("lead", lead).where("doc > lead").select("doc", "t1", "start")
+    hot = _strings(open_runs.where("hot"))
+    firsts = hot.groupBy("r1", "r2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("r1", "r2", "lead")
+    return found.unionByName(hot.join(firsts, ["r1", "r2"]).where("doc > lead").select("doc", "t1", "start"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, t1, spans): the byte ranges that go, overlapping and in no order, of each of ``docs`` (doc, t1, t2, text) that loses any."""
     spark = docs.sparkSession
@@ -124,23 +145,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranked = runs.select("*", F.xxhash64(F.substring("b", F.col("at") + 1, F.lit(GRAM))).alias("key"), *_rank("at", "b"))
     leads = ranked.groupBy("r1", "r2").agg(F.min("key").alias("key"), F.min("doc").alias("lead"), F.max("doc").alias("last"))
     leads = materialize(leads, "leads")
-    kinds = leads.groupBy("key").agg((F.count("*") > 1).alias("many"))
-    leads_ = leads.join(kinds, "key").where("many or lead < last").select("r1", "r2", "lead", "many")
-    judged = ranked.join(leads_, ["r1", "r2"]).where("doc > lead or many")
-    judged = materialize(judged.select("doc", "t1", "first", F.octet_length("b").alias("size"), F.when(F.col("doc") == F.col("lead"), F.col("b")).alias("open")), "judged")
-    strings = judged.where("open is not null").select("doc", "t1", "first", "open", F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("i"))
-    strings = strings.select("doc", "t1", (F.col("first") + F.col("i")).alias("start"), *_rank(F.substring("open", F.col("i") + 1, F.lit(LENGTH))))
-    firsts = strings.groupBy("r1", "r2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"))
-    firsts = materialize(firsts.where("lead < last").select("r1", "r2", "lead"), "strings")
-    hits = strings.join(firsts, ["r1", "r2"]).where("doc > lead").select("doc", "t1", F.col("start").cast("long").alias("start"), F.lit(LENGTH).alias("size"))
+    kinds = leads.groupBy("key").agg(F.count("*").alias("kinds"))
+    mixed = leads.join(kinds, "key").where("kinds > 1 or lead < last").select("r1", "r2", "lead", "kinds")
+    judged = ranked.join(mixed, ["r1", "r2"]).where("doc > lead or kinds > 1")
+    judged = materialize(judged.select("doc", "t1", "first", F.octet_length("b").alias("size"), "key", (F.col("kinds") > HOT).alias("hot"), F.when(F.col("doc") == F.col("lead"), F.col("b")).alias("open")), "judged")
+    for x in (ranks, live, runs, leads):
+        discard(x)
+    hits = _hit_strings(judged.where("open is not null")).select("doc", "t1", F.col("start").cast("long").alias("start"), F.lit(LENGTH).alias("size"))
     gone = judged.where("open is null").select("doc", "t1", F.col("first").cast("long").alias("start"), "size")
     thin = docs.select("doc", "t1", "t2", F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     copied = thin.groupBy("t1", "t2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last")
     copies = thin.join(copied, ["t1", "t2"]).where("doc > lead").select("doc", "t1", F.lit(0).cast("long").alias("start"), "size")
     spans = gone.unionByName(hits).unionByName(copies).groupBy("doc", "t1").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"))
     spans = materialize(spans, "spans")
-    for x in (ranks, live, runs, leads, judged, firsts):
-        discard(x)
+    discard(judged)
     return spans
 
 
