@@ -141,6 +141,29 @@ def test_pieces_of_odd_texts():
         assert own.ids(t) == sp.encode(t), t
 
 
+def test_one_transition_into_a_state_is_allowed():
+    """Over all pieces that end at a character: so the maximum over scores is found at the first one that is allowed."""
+    own = pieces.pieces(pieces.default_model())
+    r = random.Random(11)
+    words = [pieces.MARK + w for w in prose(21, 300).split()] + ["".join(r.choice("abetnios") for _ in range(14)) for _ in range(150)]
+    for word in words:
+        last = {0: -1}
+        for j in range(1, len(word) + 1):
+            allowed = [own.id[word[i:j]] for i in range(j) if word[i:j] in own.id and i in last and own.follows(last[i], own.id[word[i:j]])]
+            assert len(allowed) == 1
+            last[j] = allowed[0]
+
+
+def test_pieces_of_empty_tables_repeats_and_unbroken_texts(spark, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    assert pieces.encode_and_decode(docs.limit(0)).count() == 0
+    long = "abcdefgh" * 4000
+    twice = spark.createDataFrame([(1, long), (1, long), (None, long), (2, None)], "doc_id long, text string")
+    assert [r.piece_ids for r in pieces.encode_and_decode(twice).collect() if r.text] == [sp.encode(long)] * 3
+
+
 # --- lines ---
 
 

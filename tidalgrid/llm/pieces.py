@@ -4,9 +4,10 @@ Texts are cut into marked words, which no piece of the vocabulary crosses. The d
 equal prefixes are neighbours, and traversed depth first as a trie: a stack keeps the forward state of each character of
 the current word, and a word takes over the states of the prefix that it shares with the one before.
 
-The vocabulary's model merges pairs instead of summing piece scores, so a state is the last piece of the best
-segmentation of the prefix; a piece can follow another if merging their joined text gives back these two. That yields
-the model's own segmentation, which a maximum of summed scores would not. Characters without a piece become byte pieces.
+A state is the best score of a prefix with the last piece of that segmentation, over all pieces that end there. The
+vocabulary's model merges pairs, so a free maximum of summed scores would not give its ids: a transition between two pieces is
+forbidden, scored minus infinity, unless merging their joined text gives back these two. Of all transitions into a state one
+at most is allowed, and the search for the maximum ends there. Characters without a piece become byte pieces.
 
 Null texts count as empty and have no ids. Decoding gives back the text, but U+2581 reads as a blank, as in the library.
 Rows are encoded one by one, repeated or not; columns of the input named like results are replaced.
@@ -30,7 +31,8 @@ from tidalgrid.llm.common import small_batches
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
 MEMO = 200_000
-NEVER = float("-inf")
+#: Scores of a forbidden transition, and of a character that is written as bytes.
+NEVER, BYTES = float("-inf"), -1e6
 _PACKERS = [struct.Struct(f"<{n}i").pack for n in range(128)]
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -135,36 +137,32 @@ class Pieces:
                 j += 1
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of sorted words. State j of the stack: (start of the last piece, its id or -1 for bytes) of the first j characters."""
-        starts, lasts, before = [0], [-1 << 32], ""  # pieces are kept shifted, as the keys of pairs need them
-        known, suffixes, follows = self.pairs.get, self.suffixes, self.follows
+        """Ids of sorted words. State j of the stack: the best score of the first j characters, and of that segmentation the
+        start of the last piece and its id, or -1 for bytes."""
+        scores, starts, lasts, before = [0.0], [0], [-1 << 32], ""  # pieces are kept shifted, as the keys of pairs need them
+        known, suffixes, follows, own = self.pairs.get, self.suffixes, self.follows, self.score
         for word in words:
             shared = 0
             for x, y in zip(before, word):  # noqa: B905  the shorter ends it
                 if x != y:
                     break
                 shared += 1
-            del starts[shared + 1 :], lasts[shared + 1 :]
+            del scores[shared + 1 :], starts[shared + 1 :], lasts[shared + 1 :]
             for j in range(shared, len(word)):
+                best, start, last = NEVER, j, -1 << 32
                 i, at = j, suffixes
-                while True:
-                    node = at.get(word[i])
-                    if node is None:
-                        starts.append(j)
-                        lasts.append(-1 << 32)
-                        break
+                # the pieces that end here, from short to long; a forbidden transition scores NEVER
+                while i >= 0 and (node := at.get(word[i])) is not None:
                     piece, at = node
                     if piece is not None:
                         ok = known(lasts[i] + piece)
                         if follows(lasts[i] >> 32, piece) if ok is None else ok:
-                            starts.append(i)
-                            lasts.append(piece << 32)
-                            break
+                            best, start, last = scores[i] + own[piece], i, piece << 32
+                            break  # one transition at most is allowed, so this is the maximum
                     i -= 1
-                    if i < 0:
-                        starts.append(j)
-                        lasts.append(-1 << 32)
-                        break
+                scores.append(best if last >= 0 else scores[j] + BYTES)
+                starts.append(start)
+                lasts.append(last)
             ids: list[int] = []
             j = len(word)
             while j:
