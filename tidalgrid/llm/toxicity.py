@@ -2,7 +2,8 @@
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those with the smallest id hashes); everything else
 is scored with it, whole texts. Scores are shifted so that the threshold found best on the sample's calibration part
-falls on ``THRESHOLD``; thresholds can further be calibrated by language, for deciding only.
+falls on ``THRESHOLD``; thresholds are further calibrated by language, for deciding only: a language's own best one counts by
+its toxic rows in the calibration part, against ``PRIOR_ROWS`` for the general one.
 
 Null and empty texts have no words and get the score of an empty text. Labels of unknown documents, null labels and
 repeated labels beyond the first are passed over; without usable labels of both kinds every score is the prior. Repeated
@@ -29,8 +30,8 @@ BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, SEED = 1 << 18, 8, (1, 2, 3), 8, 6, 7
 #: Beginnings of words, in bytes, that have embedding rows of their own; pseudo-counts that shrink first log odds.
 STEMS, SHRINK = (4, 5, 6), 3.0
 THRESHOLD = 0.3
-#: Labelled rows of a language that a threshold of its own needs.
-LEAST_ROWS = 200
+#: Toxic rows of a language that weigh as much as the general threshold in its own.
+PRIOR_ROWS = 20
 
 
 def word_ids(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -177,7 +178,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = docs.select("doc_id", lang.alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lang", "toxic", "text")
+    found = docs.select("doc_id", lang.alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of several texts of an id always the same one
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "toxic", "text")).alias("x")).select("doc_id", "x.lang", "x.toxic", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text: str = "t
     cuts: dict[str | None, float] = {None: THRESHOLD}
     for lang in sorted({r["lang"] for r in sample if r["lang"]}):
         own = test & np.array([r["lang"] == lang for r in sample])
-        if own.sum() >= LEAST_ROWS and 5 <= y[own].sum() < own.sum():
-            cuts[lang] = float(best_threshold(scores[own], y[own]))
+        if 0 < (k := float(y[own].sum())) < own.sum():
+            cuts[lang] = THRESHOLD + (float(best_threshold(scores[own], y[own])) - THRESHOLD) * k / (k + PRIOR_ROWS)
     return model, cuts
 
 
@@ -254,4 +257,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     for lang, value in cuts.items():
         if lang is not None:
             cut = F.when(F.col("lang") == lang, value).otherwise(cut)
-    return score(docs, model).where(F.col("score") < cut).select(*docs.columns)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("text", lang.alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return score(rows, model).where(F.col("score") < cut).select("row.*")
