@@ -4,6 +4,7 @@ Any span of ``GRAM + WINDOW - 1`` code points that two texts share gives both th
 
 Null and empty texts have an empty fingerprint; texts shorter than a gram have one hash of all of them. Two empty
 fingerprints are alike (1.0), an empty and another one are not (0.0). Likeness is the Jaccard index of the selected hashes.
+Repeated rows each have their own result; comparing with the next document needs integer ids, else ValueError.
 """
 
 from __future__ import annotations
@@ -101,8 +102,10 @@ def edited(text: str, after: str) -> str:
 
 def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness; see ``edited`` and ``with_next``."""
-    small_batches(docs.sparkSession, 256)
-    ordered = with_next(docs)
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer")
+    small_batches(docs.sparkSession)
+    ordered = with_next(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -127,5 +130,4 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return compare_with_edits(docs)
+    return compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
