@@ -12,6 +12,7 @@ Files are written under a temporary name and moved, so a task that runs again re
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import struct
 import uuid
@@ -60,18 +61,37 @@ def _pack(ids: list[int]) -> bytes:
     return _PACKERS[len(ids)](*ids) if len(ids) < 128 else struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: The steps before the merge model for which words can be encoded one by one.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class WordEncoder:
     """Ids of words by the tokenizers library, remembered as packed 32-bit integers.
 
-    The tokenizer drops white space and never joins what it parts, so words are encoded once each. Words of Latin letters
-    go straight to the library's merge model, in its byte alphabet; all others pass its whole pipeline.
+    A tokenizer with the steps ``BY_WORDS`` drops white space and never joins what it parts, so words are encoded once each.
+    Words of Latin letters go straight to the library's merge model, in its byte alphabet; all others pass its whole
+    pipeline, and so do all texts with another tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok, self.memo = Tokenizer.from_file(path), {}
+        steps = json.loads(self.tok.to_str())
+        self.by_words = all(steps.get(k) == v for k, v in BY_WORDS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
         self.letters = _byte_alphabet()
+        if not self.by_words:
+            return
         self.stop = {c: self.whole([c])[0] for c in ".,"}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -100,6 +120,8 @@ class WordEncoder:
             memo.update(zip(part, self.whole(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return self.whole([t or "" for t in texts])
         if len(self.memo) > MEMO:
             self.memo.clear()
         # separators that Python takes for white space, and letters whose lower case depends on their place, go another way
@@ -184,7 +206,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Encode ``docs`` (``doc_id``, ``text``) to files in ``folder``; returns the manifest, a row for each document:
     ``doc_id, part, file, frame, slot, n_tokens, start_in_part``."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -243,7 +265,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     fields = ["doc_id", "start", "slot", "file", "frame"]
     spark = manifest.sparkSession
     id_type = manifest.schema["doc_id"].dataType.simpleString()
-    small_batches(spark, 256)
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = manifest.select(*fields).repartition(n, "file", "frame").sortWithinPartitions("file", "frame", "slot")
 
