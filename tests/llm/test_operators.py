@@ -317,6 +317,31 @@ def test_token_files(spark, docs, rows):
     assert {r.doc_id for r in some.collect()} == {3, 502}
 
 
+def test_another_tokenizer_goes_through_its_whole_pipeline(tmp_path):
+    import json
+
+    own = token_store.encoder(token_store.default_tokenizer())
+    assert own.by_words
+    steps = json.loads(own.tok.to_str())
+    steps["normalizer"]["normalizers"].pop()  # letters keep their case
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    other = token_store.WordEncoder(str(tmp_path / "other.json"))
+    texts = ["Some Words", None, "İx µ", ""]
+    assert not other.by_words
+    assert other.encode(texts) == [token_store._pack(other.tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_token_files_of_repeats_and_empty_tables(spark):
+    rows = [(None, "a b"), (1, "x"), (1, "x"), (1, "y"), (None, None)]
+    for n in (len(rows), 0):
+        folder = common.scratch(spark, "tokens")
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        got = token_store.digest(token_store.read_token_files(token_store.with_starts(token_store.write_token_files(docs, folder, partitions=2)), folder)).collect()
+        assert len(got) == n and sum(r.n_tokens for r in got) == (2 + 1 + 1 + 1 + 5 if n else 0)
+        ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+        assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))  # noqa: B905
+
+
 def test_frames(tmp_path):
     path = tmp_path / "x.tok"
     docs = [[np.arange(k, dtype=np.uint32) for k in (3, 0, 5)], [np.array([7], np.uint32)]]
@@ -392,6 +417,38 @@ def test_fingerprints(spark, rows, take):
     assert fingerprints.fingerprint(docs.withColumn("hashes", F.lit(1))).count() == len(rows)
 
 
+def plain_winnow(text: str, gram: int, window: int) -> list[int]:
+    """Positions by trying every window, with the operator's gram hashes."""
+    n = len(text)
+    if not n:
+        return []
+    k = min(gram, n)
+    one = [int(fingerprints.gram_hash(fingerprints.prefix_hash(fingerprints.splitmix(np.array([ord(c) for c in text[i : i + k]], np.uint64) + np.uint64(1))), k)[0]) >> 16 for i in range(n - k + 1)]
+    w = min(window, len(one))
+    return sorted({max(i for i in range(s, s + w) if one[i] == min(one[s : s + w])) for s in range(len(one) - w + 1)})
+
+
+def test_fingerprints_by_a_plain_winnower(spark):
+    """Positions, null and repeated ids, null texts and ties."""
+    for text in (prose(3, 60), "ab" * 60, "x" * 50, "short", "a", "", "日本語é" * 20):
+        assert fingerprints.select(fingerprints.points(text))[1].tolist() == plain_winnow(text, fingerprints.GRAM, fingerprints.WINDOW)
+    rows = [(5, None), (5, "ab" * 40), (3, prose(2, 30)), (3, prose(2, 30)), (None, "z" * 40), (1, None)]
+    got = fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_chars for r in got) == sorted(len(t or "") for _, t in rows)
+    assert len({r.fingerprint for r in got if r.doc_id == 3}) == 1
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_likeness_of_edits(spark):
+    rows = [(i, prose(600 + i, 40 + i)) for i in range(6)]
+    got = {r.doc_id: r for r in fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = lambda t: set(fingerprints.select(fingerprints.points(t))[0].tolist())
+    for i, t in rows:
+        after = dict(rows)[i - 1 if i else 5]
+        a, b = own(t), own(t[: len(t) - len(t) // 3] + after[: len(t) // 3])
+        assert got[i].near_edited == len(a & b) / len(a | b) and 0.4 < got[i].near_edited < 0.9
+
+
 def test_fingerprints_empty(spark):
     assert fingerprints.compare_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -522,6 +579,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_stage_keeps_columns(spark, sf):
+    docs = spark.createDataFrame([(1, "plain words", "mine", "r"), (2, None, "mine", "r"), (2, "other", "mine", "r")], "doc_id long, text string, score string, row string")
+    kept = toxicity.stage(spark, docs, sf)
+    assert kept.columns == docs.columns and result(kept, "score", "row") == {("mine", "r")}
+
+
+def test_the_sample_of_repeated_ids_is_fixed(spark):
+    docs, labels, _ = toxic_tables(spark, 40)
+    docs = docs.union(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" more"))))
+    a, b = (sorted(map(str, toxicity.labelled_sample(x, labels).collect())) for x in (docs, docs.repartition(7, "text")))
+    assert a == b
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_tables(spark, 20)
     model, _ = toxicity.train(docs, labels.limit(0))
