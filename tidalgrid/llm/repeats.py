@@ -142,23 +142,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranks = materialize(ranks.where("min_t1 != max_t1 or min_t2 != max_t2").select("key"), "anchors")
     live = materialize(every.join(ranks.hint("shuffle_hash"), "key").groupBy("row").agg(F.collect_list("first").alias("firsts")), "live")
     runs = materialize(run_bytes(texts.select("row", "doc", "t1", "text").join(live.hint("shuffle_hash"), "row")), "runs")
-    ranked = runs.select("*", F.xxhash64(F.substring("b", F.col("at") + 1, F.lit(GRAM))).alias("key"), *_rank("at", "b"))
+    ranked = runs.select("*", F.octet_length("b").alias("size"), F.xxhash64(F.substring("b", F.col("at") + 1, F.lit(GRAM))).alias("key"), *_rank("at", "b"))
     leads = ranked.groupBy("r1", "r2").agg(F.min("key").alias("key"), F.min("doc").alias("lead"), F.max("doc").alias("last"))
     leads = materialize(leads, "leads")
     kinds = leads.groupBy("key").agg(F.count("*").alias("kinds"))
     mixed = leads.join(kinds, "key").where("kinds > 1 or lead < last").select("r1", "r2", "lead", "kinds")
-    judged = ranked.join(mixed, ["r1", "r2"]).where("doc > lead or kinds > 1")
-    judged = materialize(judged.select("doc", "t1", "first", F.octet_length("b").alias("size"), "key", (F.col("kinds") > HOT).alias("hot"), F.when(F.col("doc") == F.col("lead"), F.col("b")).alias("open")), "judged")
-    for x in (ranks, live, runs, leads):
+    judged = ranked.drop("b").join(mixed, ["r1", "r2"]).where("doc > lead or kinds > 1")
+    judged = materialize(judged.select("doc", "t1", "first", "size", "key", (F.col("kinds") > HOT).alias("hot"), (F.col("doc") == F.col("lead")).alias("open")), "judged")
+    for x in (ranks, live, leads):
         discard(x)
-    hits = _hit_strings(judged.where("open is not null")).select("doc", "t1", F.col("start").cast("long").alias("start"), F.lit(LENGTH).alias("size"))
-    gone = judged.where("open is null").select("doc", "t1", F.col("first").cast("long").alias("start"), "size")
+    # only now the bytes of the runs that are left to compare
+    left = judged.where("open").select("doc", "t1", "first", "size", "key", "hot").hint("shuffle_hash")
+    left = materialize(runs.select("doc", "t1", "first", F.col("b").alias("open")).join(left, ["doc", "t1", "first"]), "open")
+    discard(runs)
+    hits = _hit_strings(left).select("doc", "t1", F.col("start").cast("long").alias("start"), F.lit(LENGTH).alias("size"))
+    gone = judged.where("not open").select("doc", "t1", F.col("first").cast("long").alias("start"), "size")
     thin = docs.select("doc", "t1", "t2", F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     copied = thin.groupBy("t1", "t2").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last")
     copies = thin.join(copied, ["t1", "t2"]).where("doc > lead").select("doc", "t1", F.lit(0).cast("long").alias("start"), "size")
     spans = gone.unionByName(hits).unionByName(copies).groupBy("doc", "t1").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"))
     spans = materialize(spans, "spans")
-    discard(judged)
+    for x in (judged, left):
+        discard(x)
     return spans
 
 
