@@ -175,7 +175,8 @@ def near_lines(firsts: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
-    groups = spread.join(long, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b")).alias("lines")).where(F.size("lines") > 1)
+    # lines are many at any size: always shuffled, never broadcast with some sizes and not with others
+    groups = long.join(spread.hint("shuffle_hash"), "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "g", "at", "b")).alias("lines")).where(F.size("lines") > 1)
 
     def shown(x: Column) -> Column:
         s = F.decode(x["b"], "ISO-8859-1")
@@ -202,7 +203,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = EDITS, least:
     plain_unions(docs.sparkSession)
     firsts = materialize(first_lines(docs, text), "lines")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept = firsts.select("h", "g", "at").join(near_lines(firsts, edits, least), ["h", "g"], "left_anti")
+    near = near_lines(firsts, edits, least)
+    kept = materialize(firsts.select("h", "g", "at").join(near, ["h", "g"], "left_anti").select("at"), "kept")
+    for x in (firsts, near):
+        discard(x)
     by_document = kept.select("at.*").groupBy(*DOCUMENT).agg(F.collect_list("line").alias("lines"))
     lines = _keyed(docs.select(*[F.col(f"`{c}`") for c in columns]), text).join(by_document.hint("shuffle_hash"), DOCUMENT, "left").withColumn("all", F.split("text", "\n"))
     blank = F.filter(F.transform("all", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
