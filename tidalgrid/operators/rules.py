@@ -1,19 +1,25 @@
 """Windowed rules: conditions at evaluation times, logic, validation, context of fired rules, commands.
 
 A condition looks at the closed window ``[t - window, t]``; the row of ``t`` itself is visible. Rules are data: they are
-exploded to conditions, and the catalog tells which series each condition reads. Values and evaluation times of a series
-are put in one order and a ``RANGE`` window answers each evaluation, so no range join is needed; there is one plan for
-each distinct pair of window and aggregate, and these are few.
+exploded to conditions, and the catalog tells which series each condition reads.
+
+Where any series suffices, a series' answer can change only when a row enters or leaves the window. So answers are found at
+these points, and turned into the times at which a series begins or ceases to hold; the sum of these along a condition's time
+line tells at each evaluation how many series hold. The work grows with rows and evaluations, not with their product.
+Conditions over all series are answered for each series at each evaluation time.
+
+There is one plan for each distinct pair of window and aggregate, and these are few.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalgrid import schema
+from tidalgrid import schema, session
 from tidalgrid.functions import compare, glob, template
 from tidalgrid.operators import catalog
 
@@ -22,8 +28,10 @@ LAST = "last"
 
 
 def conditions_of(rules: DataFrame) -> DataFrame:
-    """One row for each condition of the active rules: ``node_id, rule_id, logic, pos`` and the condition's fields."""
-    return rules.where("active").select("node_id", "rule_id", F.coalesce("logic", F.lit("AND")).alias("logic"), F.posexplode("conditions").alias("pos", "c")).select("node_id", "rule_id", "logic", "pos", "c.*")
+    """One row for each condition of the active rules: ``node_id, rule_id, logic, pos`` and the condition's fields. The
+    aggregate ``last`` is no aggregate; any logic but OR is AND."""
+    rows = rules.where("active").select("node_id", "rule_id", F.when(F.upper("logic") == "OR", "OR").otherwise("AND").alias("logic"), F.posexplode("conditions").alias("pos", "c")).select("node_id", "rule_id", "logic", "pos", "c.*")
+    return rows.withColumn("agg", F.when(~F.col("agg").isin("", LAST), F.col("agg")))
 
 
 def bind(conditions: DataFrame, series: DataFrame) -> DataFrame:
@@ -39,31 +47,78 @@ def bind(conditions: DataFrame, series: DataFrame) -> DataFrame:
     return exact.select(*conditions.columns, "series_path").unionByName(starred.join(met[0].unionByName(met[1]), ["node_id", "path"]).select(*conditions.columns, "series_path"))
 
 
+IDS = ["node_id", "rule_id", "logic", "pos", "op", "t_double", "t_long", "t_bool", "t_text", "agg", "aggregate_series"]
+
+
+def _values(meas: DataFrame) -> DataFrame:
+    return meas.select("node_id", "path", F.col("ts_ns").alias("t_ns"), "seq", schema.v_num().alias("num"), F.col("v_bool").alias("bool"), F.col("v_text").alias("text"), F.lit(False).alias("asked"))
+
+
+def _nothing(t: DataFrame) -> DataFrame:
+    """Rows (node_id, path, t_ns) at which a series is looked at, without values."""
+    return t.select("node_id", "path", "t_ns", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("asked"))
+
+
+def _in_window(rows: DataFrame, window_ns: int, agg: str) -> DataFrame:
+    """``num, bool, text`` of the window before each asked row, and ``some``, whether it has data."""
+    w = Window.partitionBy("node_id", "path").orderBy("t_ns").rangeBetween(-window_ns, 0)
+    if agg == LAST:
+        best = F.max_by(F.struct("num", "bool", "text"), F.when(~F.col("asked"), F.struct(F.col("t_ns"), -F.col("seq")))).over(w)
+        return rows.withColumn("v", best).where("asked").select("node_id", "path", "t_ns", "v.*", F.col("v").isNotNull().alias("some"))
+    v = F.col("num")
+    fold = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.count(v)}.get(agg, F.lit(None).cast("double"))
+    found = rows.withColumn("n", F.count(v).over(w)).withColumn("num", fold.over(w).cast("double") if agg in schema.AGGREGATES else fold).where("asked")
+    return found.select("node_id", "path", "t_ns", "num", F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"), (F.col("n") > 0).alias("some"))
+
+
+def _kinds(bound: DataFrame) -> list[tuple[int, str, DataFrame]]:
+    """(window, aggregate, conditions with ``pattern`` and the series' ``path``) for each distinct pair."""
+    found = [tuple(r) for r in bound.select("window_ns", F.coalesce("agg", F.lit(LAST)).alias("agg")).distinct().collect()]
+    own = bound.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path")
+    return [(w, a, own.where((F.col("window_ns") == w) & (F.coalesce("agg", F.lit(LAST)) == a))) for w, a in found if w is not None]
+
+
 def evaluate_conditions(meas: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
     """For each bound condition, series and evaluation time (``node_id, t_ns``) with data in the window: ``num, bool, text``."""
-    kinds = [tuple(r) for r in bound.select("window_ns", F.coalesce("agg", F.lit(LAST))).distinct().collect()]
-    values = meas.select("node_id", "path", F.col("ts_ns").alias("t_ns"), "seq", schema.v_num().alias("num"), F.col("v_bool").alias("bool"), F.col("v_text").alias("text"), F.lit(False).alias("asked"))
     out = None
-    for window_ns, agg in kinds:
-        mine = bound.where((F.col("window_ns") == window_ns) & (F.coalesce("agg", F.lit(LAST)) == agg))
-        keys = mine.select("node_id", F.col("series_path").alias("path")).distinct()
-        asked = keys.join(times.select("node_id", "t_ns").distinct(), "node_id").select("node_id", "path", "t_ns", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("asked"))
-        rows = values.join(keys, ["node_id", "path"], "left_semi").unionByName(asked)
-        w = Window.partitionBy("node_id", "path").orderBy("t_ns").rangeBetween(-window_ns, 0)
-        if agg == LAST:
-            best = F.max_by(F.struct("num", "bool", "text"), F.when(~F.col("asked"), F.struct(F.col("t_ns"), -F.col("seq")))).over(w)
-            got = rows.withColumn("v", best).where("asked and v is not null").select("node_id", "path", "t_ns", "v.*")
-        else:
-            v = F.col("num")
-            fold = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.count(v)}[agg]
-            got = rows.withColumn("n", F.count(v).over(w)).withColumn("num", fold.over(w).cast("double")).where("asked and n > 0").select("node_id", "path", "t_ns", "num", F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
-        part = mine.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path").join(got, ["node_id", "path"])
+    for window_ns, agg, mine in _kinds(bound):
+        keys = mine.select("node_id", "path").distinct()
+        rows = _values(meas).join(keys, ["node_id", "path"], "left_semi").unionByName(_nothing(keys.join(times.select("node_id", "t_ns").distinct(), "node_id")))
+        part = mine.join(_in_window(rows, window_ns, agg).where("some").drop("some"), ["node_id", "path"])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = bound.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path").where("false")
+        out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("t_ns", "long"), ("num", "double"), ("bool", "boolean"), ("text", "string"))])
+    return out
+
+
+def turns(meas: DataFrame, bound: DataFrame) -> DataFrame:
+    """(node_id, rule_id, logic, pos, t_ns, delta): where a series begins (1) or ceases (-1) to fulfil a condition."""
+    out = None
+    for window_ns, agg, mine in _kinds(bound):
+        keys = mine.select("node_id", "path").distinct()
+        values = _values(meas).join(keys, ["node_id", "path"], "left_semi")
+        # a row counts from its own time on and leaves one nanosecond after the window
+        points = values.select("node_id", "path", F.explode(F.array(F.col("t_ns"), F.col("t_ns") + F.lit(window_ns + 1))).alias("t_ns")).distinct()
+        found = _in_window(values.unionByName(_nothing(points)), window_ns, agg)
+        held = mine.join(found, ["node_id", "path"]).withColumn("now", (F.col("some") & _holds()).cast("int"))
+        order = Window.partitionBy("node_id", "rule_id", "logic", "pos", "path").orderBy("t_ns")
+        part = held.withColumn("delta", F.col("now") - F.coalesce(F.lag("now").over(order), F.lit(0))).where("delta != 0").select("node_id", "rule_id", "logic", "pos", "t_ns", "delta")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no condition reads any series")
+        out = bound.select("node_id", "rule_id", "logic", "pos", F.lit(0).cast("long").alias("t_ns"), F.lit(0).alias("delta")).where("false")
     return out
 
 
+def any_truth(meas: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
+    """(node_id, rule_id, logic, pos, t_ns, holds): the evaluation times at which any series fulfils a condition."""
+    ids = ["node_id", "rule_id", "logic", "pos"]
+    asked = bound.select(*ids).distinct().join(times.select("node_id", "t_ns").distinct(), "node_id").select(*ids, "t_ns", F.lit(0).alias("delta"), F.lit(True).alias("asked"))
+    line = turns(meas, bound).groupBy(*ids, "t_ns").agg(F.sum("delta").cast("int").alias("delta")).select(*ids, "t_ns", "delta", F.lit(False).alias("asked"))
+    holding = F.sum("delta").over(Window.partitionBy(*ids).orderBy("t_ns").rangeBetween(Window.unboundedPreceding, 0))
+    return line.unionByName(asked).withColumn("n", holding).where("asked and n > 0").select(*ids, "t_ns", F.lit(True).alias("holds"))
+
+
 def _holds() -> Column:
     value = {"number": F.col("num"), "bool": F.col("bool"), "text": F.col("text")}
     limit = {"number": F.coalesce("t_double", F.col("t_long").cast("double")), "bool": F.col("t_bool"), "text": F.col("t_text")}
@@ -71,34 +126,34 @@ def _holds() -> Column:
 
 
 def condition_truth(results: DataFrame) -> DataFrame:
-    """Folds series: any series suffices; with ``aggregate_series`` the first one by path (last values) or the aggregate of
-    the series' aggregates is compared instead."""
-    ids = ["node_id", "rule_id", "logic", "pos", "op", "t_double", "t_long", "t_bool", "t_text", "agg", "aggregate_series"]
-    anyof = results.where(~F.coalesce("aggregate_series", F.lit(False))).select(*ids, "t_ns", "num", "bool", "text")
-    whole = results.where(F.coalesce("aggregate_series", F.lit(False)))
-    first = whole.where("agg is null").groupBy(*ids, "t_ns").agg(F.min_by(F.struct("num", "bool", "text"), "path").alias("v")).select(*ids, "t_ns", "v.*")
+    """Folds the series of conditions with ``aggregate_series``: the first one by path (last values) or the aggregate of the
+    series' aggregates is compared."""
+    first = results.where("agg is null").groupBy(*IDS, "t_ns").agg(F.min_by(F.struct("num", "bool", "text"), "path").alias("v")).select(*IDS, "t_ns", "v.*")
     folded = {"avg": F.avg("num"), "max": F.max("num"), "min": F.min("num"), "sum": F.sum("num"), "count": F.count("num").cast("double")}
     value = F.lit(None).cast("double")
-    group = whole.where("agg is not null").groupBy(*ids, "t_ns").agg(*[x.alias(f"_{k}") for k, x in folded.items()])
+    group = results.where("agg is not null").groupBy(*IDS, "t_ns").agg(*[x.alias(f"_{k}") for k, x in folded.items()])
     for k in folded:
         value = F.when(F.col("agg") == k, F.col(f"_{k}")).otherwise(value)
-    group = group.select(*ids, "t_ns", value.alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
-    rows = anyof.unionByName(first).unionByName(group).withColumn("holds", _holds())
-    return rows.groupBy("node_id", "rule_id", "logic", "pos", "t_ns").agg(F.max("holds").alias("holds"))
+    group = group.select(*IDS, "t_ns", value.alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
+    return first.unionByName(group).select("node_id", "rule_id", "logic", "pos", "t_ns", _holds().alias("holds")).where("holds")
 
 
 def evaluate_rules(meas: DataFrame, series: DataFrame, rules: DataFrame, times: DataFrame) -> DataFrame:
     """``node_id, rule_id, t_ns, fired`` for each active rule with conditions and each evaluation time of its node.
 
-    Conditions without data are false; rules without conditions don't appear.
+    Conditions without data or without any series are false; rules without conditions don't appear.
     """
     conditions = conditions_of(rules)
-    truth = condition_truth(evaluate_conditions(meas, bind(conditions, series), times))
+    bound = session.keep(bind(conditions, series), "bound")
+    whole = F.coalesce("aggregate_series", F.lit(False))
+    truth = any_truth(meas, bound.where(~whole), times)
+    if not bound.where(whole).isEmpty():
+        truth = truth.unionByName(condition_truth(evaluate_conditions(meas, bound.where(whole), times)))
     sizes = conditions.groupBy("node_id", "rule_id", "logic").agg(F.count("*").alias("n"))
     held = truth.groupBy("node_id", "rule_id", "t_ns").agg(F.sum(F.col("holds").cast("int")).alias("held"))
     grid = sizes.join(times.select("node_id", "t_ns").distinct(), "node_id")
     return grid.join(held, ["node_id", "rule_id", "t_ns"], "left").select(
-        "node_id", "rule_id", "t_ns", F.when(F.upper("logic") == "OR", F.coalesce("held", F.lit(0)) > 0).otherwise(F.coalesce("held", F.lit(0)) == F.col("n")).alias("fired")
+        "node_id", "rule_id", "t_ns", F.when(F.col("logic") == "OR", F.coalesce("held", F.lit(0)) > 0).otherwise(F.coalesce("held", F.lit(0)) == F.col("n")).alias("fired")
     )
 
 
@@ -112,9 +167,11 @@ def replay(meas: DataFrame, series: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def validate(rules: DataFrame, series: DataFrame) -> DataFrame:
-    """``node_id, rule_id, reasons, valid``: reasons are sorted names of what is wrong with the rule."""
+    """``node_id, rule_id, reasons, valid``: reasons are sorted names of what is wrong with the rule. An unknown logic is none,
+    as it counts as AND."""
     kinds = series.select("node_id", F.col("path").alias("series_path"), "value_type").distinct()
     con = rules.select("node_id", "rule_id", F.posexplode("conditions").alias("pos", "c")).select("node_id", "rule_id", "pos", "c.*")
+    con = con.withColumn("agg", F.when(~F.col("agg").isin("", LAST), F.col("agg")))
     numeric = con.where("agg is not null")
     types = bind(numeric.withColumn("logic", F.lit("AND")), series).join(kinds, ["node_id", "series_path"]).groupBy("node_id", "rule_id", "pos").agg(
         F.count_distinct("value_type").alias("n_types"), F.max(F.col("value_type").isin("Real", "Integer").cast("int")).alias("numeric")
@@ -133,11 +190,13 @@ def validate(rules: DataFrame, series: DataFrame) -> DataFrame:
     wrong = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]))
     per = con.join(types, ["node_id", "rule_id", "pos"], "left").groupBy("node_id", "rule_id").agg(F.flatten(F.collect_list(wrong)).alias("bad"))
     own = {
+        "action_kind": F.exists("actions", lambda a: F.coalesce(a["kind"], F.lit("")) == ""),
         "actions": F.coalesce(F.size("actions"), F.lit(0)) < 1,
         "conditions": F.coalesce(F.size("conditions"), F.lit(0)) < 1,
         "id": F.coalesce(F.col("rule_id"), F.lit("")) == "",
-        "logic": ~F.upper(F.coalesce(F.col("logic"), F.lit("AND"))).isin("AND", "OR"),
-        "template": F.exists("actions", lambda a: ~F.coalesce(template.valid(a["target"]), F.lit(False))),
+        "target": F.exists("actions", lambda a: F.coalesce(a["target"], F.lit("")) == ""),
+        "template": F.exists("actions", lambda a: ~F.coalesce(template.valid(a["target"]), F.lit(True))),
+        "variables": F.exists("actions", lambda a: F.coalesce(template.valid(a["target"]) & (F.size(template.missing(a["target"], F.coalesce(a["params"], F.create_map().cast("map<string,string>")))) > 0), F.lit(False))),
     }
     mine = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in own.items()]))
     both = rules.select("node_id", "rule_id", mine.alias("own")).join(per, ["node_id", "rule_id"], "left")
@@ -151,40 +210,88 @@ def state(rules: DataFrame, enabled: bool = True) -> DataFrame:
 def context(fired: DataFrame, meas: DataFrame, series: DataFrame, rules: DataFrame) -> DataFrame:
     """For each fired rule and time: ``serie``, the first series of its first condition with data, and ``context``, a map of
     each series to its last value in the window."""
-    bound = bind(conditions_of(rules), series).withColumn("agg", F.lit(None).cast("string"))
+    bound = session.keep(bind(conditions_of(rules), series).withColumn("agg", F.lit(None).cast("string")), "bound")
+    fired = session.keep(fired, "fired")
     hits = evaluate_conditions(meas, bound, fired.select("node_id", "t_ns").distinct()).join(fired.where("fired").select("node_id", "rule_id", "t_ns"), ["node_id", "rule_id", "t_ns"], "left_semi")
-    shown = F.coalesce(F.col("num").cast("string"), F.col("bool").cast("string"), F.col("text"))
-    one = hits.groupBy("node_id", "rule_id", "t_ns", "path").agg(F.min("pos").alias("pos"), F.min_by(shown, "pos").alias("value"))
-    return one.groupBy("node_id", "rule_id", "t_ns").agg(F.min_by("path", F.struct("pos", "path")).alias("serie"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "value")))).alias("context"))
+    one = hits.groupBy("node_id", "rule_id", "t_ns", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("num", "bool", "text"), "pos").alias("v")).select("node_id", "rule_id", "t_ns", "path", "pos", "v.*")
+    entries = F.array_sort(F.collect_list(F.struct("path", "num", "bool", "text")))
+    found = one.groupBy("node_id", "rule_id", "t_ns").agg(F.min_by("path", F.struct("pos", "path")).alias("serie"), entries.alias("e"))
+    value = lambda e: F.coalesce(e["num"].cast("variant"), e["bool"].cast("variant"), e["text"].cast("variant"))
+    return found.select("node_id", "rule_id", "t_ns", "serie", F.map_from_entries(F.transform("e", lambda e: F.struct(e["path"], value(e)))).alias("context"))
 
 
 def build_commands(contexts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``topic`` and JSON ``value`` of each action of each fired rule; ``comando`` leaves the parameters, names that start
-    with ``_`` leave the context, and empty topics are dropped."""
+    """``topic`` and JSON ``value`` of each action of each fired rule. ``comando`` leaves the parameters, and names that start
+    with ``_`` leave the context, whose values keep their types.
+
+    An action whose topic comes out empty fails: it has an ``error`` and no value, and its rule's later actions don't run.
+    """
     acts = rules.select("node_id", "rule_id", "name", F.posexplode("actions").alias("step", "a")).select("node_id", "rule_id", "name", "step", "a.*")
     rows = contexts.join(acts, ["node_id", "rule_id"])
     topic = template.resolve(F.col("target"), F.col("params"), F.col("rule_id"), F.col("name"), F.col("serie"))
+    rows = rows.withColumn("topic", topic).withColumn("error", F.when(F.coalesce("topic", F.lit("")) == "", "empty topic"))
+    stop = F.min(F.when(F.col("error").isNotNull(), F.col("step"))).over(Window.partitionBy("node_id", "rule_id", "t_ns"))
+    rows = rows.withColumn("stop", stop).where("stop is null or step <= stop")
     body = F.to_json(
         F.struct(
             F.col("params")["comando"].alias("comando"),
             F.col("t_ns").alias("timestamp"),
             F.col("rule_id").alias("regla_id"),
-            F.map_filter("params", lambda k, _: (k != "comando") & ~k.startswith("_")).alias("parametros"),
+            F.map_filter("params", lambda k, _: k != "comando").alias("parametros"),
             F.map_filter("context", lambda k, _: ~k.startswith("_")).alias("contexto"),
         )
     )
-    return rows.select("node_id", "rule_id", "t_ns", "step", "kind", topic.alias("topic"), body.alias("value")).where("topic != ''")
+    return rows.select("node_id", "rule_id", "t_ns", "step", "kind", "topic", F.when(F.col("error").isNull(), body).alias("value"), "error")
+
+
+def to_files(commands: DataFrame, path: str, mode: str = "append") -> None:
+    """Commands without errors as JSON lines, one folder for each kind."""
+    commands.where("error is null").select("kind", "node_id", "rule_id", "t_ns", "step", "topic", "value").write.mode(mode).partitionBy("kind").json(path)
+
+
+def to_kafka(commands: DataFrame, servers: str, topic: str | None = None, format_: str = "kafka", **options: str) -> None:
+    """Commands without errors as records: to one ``topic`` with the command's topic as key, or each to its own, with dots for
+    slashes. The Kafka package must be on the cluster."""
+    own = F.lit(topic) if topic else F.replace("topic", F.lit("/"), F.lit("."))
+    records = commands.where("error is null").select(F.col("topic").alias("key"), "value", own.alias("topic"))
+    records.write.format(format_).option("kafka.bootstrap.servers", servers).options(**options).save()
+
+
+def _log(commands: DataFrame) -> None:
+    for r in commands.toLocalIterator():
+        logging.getLogger(__name__).info("%s %s %s", r["rule_id"], r["topic"], r["value"])
 
 
 class Handlers:
-    """Callbacks by action kind for ``foreachBatch``: each gets the commands of its kind; unknown kinds are passed over."""
+    """Callbacks by action kind for ``foreachBatch``. Each gets the commands of its kind, step by step; unknown kinds are passed
+    over. A handler may return the firings (``node_id, rule_id, t_ns``) that failed, or raise, which fails all it was given:
+    later actions of these firings don't run."""
 
     def __init__(self):
-        self.by_kind: dict[str, Callable[[DataFrame], None]] = {"log": lambda commands: commands.show(truncate=False)}
+        self.by_kind: dict[str, Callable[[DataFrame], DataFrame | None]] = {"log": _log}
 
-    def register(self, kind: str, handler: Callable[[DataFrame], None]) -> None:
+    def register(self, kind: str, handler: Callable[[DataFrame], DataFrame | None]) -> None:
+        if not kind:
+            raise ValueError("an action kind is needed")
         self.by_kind[kind] = handler
 
     def run(self, commands: DataFrame) -> None:
-        for kind, handler in self.by_kind.items():
-            handler(commands.where(F.col("kind") == kind))
+        """``commands`` are computed once, and are kept for all steps."""
+        firing = ["node_id", "rule_id", "t_ns"]
+        commands = commands.where("error is null").persist()
+        try:
+            for step, kind in sorted((r["step"], r["kind"]) for r in commands.select("step", "kind").distinct().collect()):
+                if kind not in self.by_kind:
+                    continue
+                mine = commands.where((F.col("step") == step) & (F.col("kind") == kind))
+                try:
+                    failed = self.by_kind[kind](mine)
+                except Exception:
+                    logging.getLogger(__name__).exception("action %s failed", kind)
+                    failed = mine
+                if failed is not None:
+                    before, commands = commands, commands.join(failed.select(*firing).distinct(), firing, "left_anti").persist()
+                    commands.count()
+                    before.unpersist()
+        finally:
+            commands.unpersist()
