@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidalgrid import schema
-from tidalgrid.operators import query
+from tidalgrid.operators import catalog, query
 
 KEY = ["node_id", "path"]
 
 
 def exprs(aggs: list[str], value: Column | None = None) -> list[Column]:
-    """One column for each aggregate name; unknown names give null."""
+    """One column for each aggregate name; unknown names give null. ``count_rows`` counts all rows, whatever their values."""
     if not aggs:
         raise ValueError("at least one aggregate is needed")
     v = schema.v_num() if value is None else value
-    made = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.when(F.count(v) > 0, F.count(v).cast("double"))}
+    made = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.when(F.count(v) > 0, F.count(v).cast("double")), "count_rows": F.count("*")}
     return [made.get(a, F.lit(None).cast("double")).alias(a) for a in aggs]
 
 
@@ -28,12 +28,23 @@ def of_rows(rows: DataFrame, aggs: list[str]) -> DataFrame:
     return rows.groupBy(*KEY).agg(*exprs(aggs))
 
 
-def aggregate(meas: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str]) -> DataFrame:
-    return of_rows(query.collapse(query.range_query(meas, series, pattern, t0, t1)), aggs)
+def _of_numbers(rows: DataFrame, aggs: list[str], *by: str) -> DataFrame:
+    return rows.groupBy(*KEY, *by).agg(*exprs(aggs, F.col("num")))
 
 
-def aggregate_global(hot: DataFrame, cold: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str]) -> DataFrame:
-    return of_rows(query.global_range(hot, cold, series, pattern, t0, t1), aggs)
+def _filled(result: DataFrame, series: DataFrame, pattern: str, keep_empty: bool) -> DataFrame:
+    return catalog.resolve(series, pattern).select(*KEY).distinct().join(result, KEY, "left") if keep_empty else result
+
+
+def aggregate(meas: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str], keep_empty: bool = False) -> DataFrame:
+    """Aggregates of each selected series with rows in the range; with ``keep_empty`` of those without, too, as nulls."""
+    rows = query.collapse_numbers(query.range_query(meas, series, pattern, t0, t1))
+    return _filled(_of_numbers(rows, aggs), series, pattern, keep_empty)
+
+
+def aggregate_global(hot: DataFrame, cold: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str], keep_empty: bool = False) -> DataFrame:
+    rows = query.collapse_numbers(*[query.range_query(x, series, pattern, t0, t1) for x in (cold, hot)])
+    return _filled(_of_numbers(rows, aggs), series, pattern, keep_empty)
 
 
 def n_buckets(t0: int, t1: int, interval: int) -> int:
@@ -53,23 +64,26 @@ def bucket_of(t0: int, n: int, interval: int) -> Column:
 
 
 def bucket_rows(rows: DataFrame, t0: int, t1: int, interval: int, aggs: list[str], dense: bool = True) -> DataFrame:
-    """Aggregates of each series and bucket; ``dense`` adds the empty buckets of every series that has rows."""
+    """Aggregates of each series and bucket of collapsed numbers (``num``); ``dense`` adds the empty buckets of every series that
+    has rows. All of a series' buckets pass through one row, as in its answer."""
     n = n_buckets(t0, t1, interval)
     if n == 0:
         rows = rows.limit(0)
-    sparse = rows.groupBy(*KEY, bucket_of(t0, max(n, 1), interval).alias("bucket")).agg(*exprs(aggs))
+    sparse = _of_numbers(rows.withColumn("bucket", bucket_of(t0, max(n, 1), interval)), aggs, "bucket")
     if dense:
-        grid = sparse.select(*KEY).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))))
-        sparse = grid.join(sparse, [*KEY, "bucket"], "left")
+        # a series' buckets are put in place of its rows, so that the rows aren't read twice
+        own = sparse.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct(*aggs).alias("v")))).alias("m"))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))
+        sparse = own.select(*KEY, "m", F.explode(every).alias("bucket")).select(*KEY, "bucket", F.try_element_at("m", F.col("bucket")).alias("v")).select(*KEY, "bucket", *[F.col(f"v.{a}").alias(a) for a in aggs])
     return sparse.withColumn("start_ns", F.lit(t0) + F.col("bucket") * interval)
 
 
 def bucket_aggregate(meas: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str], interval: int, dense: bool = True) -> DataFrame:
-    return bucket_rows(query.collapse(query.range_query(meas, series, pattern, t0, t1)), t0, t1, interval, aggs, dense)
+    return bucket_rows(query.collapse_numbers(query.range_query(meas, series, pattern, t0, t1)), t0, t1, interval, aggs, dense)
 
 
 def bucket_global(hot: DataFrame, cold: DataFrame, series: DataFrame, pattern: str, t0: int, t1: int, aggs: list[str], interval: int) -> DataFrame:
-    return bucket_rows(query.global_range(hot, cold, series, pattern, t0, t1), t0, t1, interval, aggs)
+    return bucket_rows(query.collapse_numbers(*[query.range_query(x, series, pattern, t0, t1) for x in (cold, hot)]), t0, t1, interval, aggs)
 
 
 def long_form(result: DataFrame, aggs: list[str]) -> DataFrame:

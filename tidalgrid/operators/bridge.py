@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENVELOPE = "original boolean, topico string, payload string, interno boolean"
 #: Where messages of each origin go.
@@ -19,8 +20,13 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    """``topic`` and ``payload`` (text) as JSON envelopes that count as originals."""
-    body = F.struct(F.lit(True).alias("original"), F.col("topic").alias("topico"), F.replace(F.base64(F.col("payload").cast("binary")), F.lit("\r\n"), F.lit("")).alias("payload"), F.lit(False).alias("interno"))
+    """``topic`` and ``payload`` as JSON envelopes that count as originals. Texts and bytes are taken as they are, numbers as
+    text, anything else as JSON; null is an empty payload."""
+    kind = rows.schema["payload"].dataType
+    plain = isinstance(kind, (T.StringType, T.BinaryType, T.NumericType))
+    own = F.col("payload").cast("string") if isinstance(kind, T.NumericType) else F.col("payload") if plain else F.to_json(F.struct("payload")).substr(F.lit(12), F.length(F.to_json(F.struct("payload"))) - 12)
+    packed = F.coalesce(F.base64(own.cast("binary")), F.lit(""))
+    body = F.struct(F.lit(True).alias("original"), F.col("topic").alias("topico"), F.replace(packed, F.lit("\r\n"), F.lit("")).alias("payload"), F.lit(False).alias("interno"))
     return rows.withColumn("value", F.to_json(body))
 
 

@@ -32,10 +32,28 @@ def range_query(meas: DataFrame, series: DataFrame, pattern: str, t0: int, t1: i
     return select_series(between(meas, t0, t1), series, pattern)
 
 
+def _has_value():
+    return F.col("v_double").isNotNull() | F.col("v_long").isNotNull() | F.col("v_bool").isNotNull() | F.col("v_text").isNotNull()
+
+
+def collapse_numbers(*tiers: DataFrame) -> DataFrame:
+    """``node_id, path, ts_ns, num``: like ``collapse``, of equal times a later tier's value wins, but with the numbers only, which
+    is all that aggregates see: null where the value that counts is none. Its buffers have fixed sizes."""
+    rows = None
+    for i, tier in enumerate(tiers):
+        own = tier.where(_has_value()).select(*KEY, "ts_ns", schema.v_num().alias("num"), *[F.when(F.lit(i == k), F.col("seq")).alias(f"s{k}") for k in range(len(tiers))])
+        rows = own if rows is None else rows.unionByName(own)
+    best = rows.groupBy(*KEY, "ts_ns").agg(*[F.max_by("num", f"s{k}").alias(f"n{k}") for k in range(len(tiers))], *[F.max(f"s{k}").alias(f"s{k}") for k in range(len(tiers))])
+    num = F.col("n0")
+    for k in range(1, len(tiers)):
+        num = F.when(F.col(f"s{k}").isNotNull(), F.col(f"n{k}")).otherwise(num)
+    return best.select(*KEY, "ts_ns", num.alias("num"))
+
+
 def collapse(meas: DataFrame, *priority: str) -> DataFrame:
     """One value for each series and time: the last arrived, or the last by ``priority`` and arrival. Null values lose."""
     order = F.struct(*priority, "seq") if priority else F.col("seq")
-    has = F.coalesce(*[F.col(c).cast("string") for c in schema.VALUES[1:]]).isNotNull()
+    has = _has_value()
     rank = F.struct(has.alias("has"), order.alias("order"))
     best = meas.groupBy(*KEY, "ts_ns").agg(F.max_by(_value(), rank).alias("v"))
     return best.select(*KEY, "ts_ns", "v.*")

@@ -33,9 +33,10 @@ def duration_ns(text: Column) -> Column:
     return F.when(text.rlike(rf"^(\d+(\.\d+)?({units}))+$"), F.aggregate(part, F.lit(0).cast("long"), lambda acc, p: acc + one(p)))
 
 
-def read(spark, path: str) -> DataFrame:
-    """Nodes with their series and rules; malformed files are skipped."""
-    raw = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read(spark, path: str, lines: bool = False) -> DataFrame:
+    """Nodes with their series and rules from files of one document each, or with ``lines`` of one in each line; malformed ones
+    are skipped."""
+    raw = spark.read.schema(DOCUMENT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return shape(raw.where("_corrupt_record is null"))
 
 
@@ -53,7 +54,7 @@ def shape(raw: DataFrame) -> DataFrame:
         return F.when(F.schema_of_variant(c["valor"]).isin(*names) | F.schema_of_variant(c["valor"]).startswith("DECIMAL" if kind == "double" else "-"), F.try_variant_get(c["valor"], "$", kind))
 
     condition = lambda c: F.struct(
-        c["path"].alias("path"), duration_ns(c["ventana_t"]).alias("window_ns"), F.try_element_at(agg, c["agregacion"]).alias("agg"), c["operador"].alias("op"),
+        c["path"].alias("path"), duration_ns(c["ventana_t"]).alias("window_ns"), F.when(c["agregacion"] != "", F.coalesce(F.try_element_at(agg, c["agregacion"]), c["agregacion"])).alias("agg"), c["operador"].alias("op"),
         typed(c, "double", ("DOUBLE", "FLOAT")).alias("t_double"), typed(c, "bigint", ("BIGINT",)).alias("t_long"), typed(c, "boolean", ("BOOLEAN",)).alias("t_bool"), typed(c, "string", ("STRING",)).alias("t_text"),
         F.coalesce(c["agregar_series"], F.lit(False)).alias("aggregate_series"),
     )
@@ -69,19 +70,24 @@ def duration_text(ns: Column) -> Column:
     return F.when(h > 0, F.concat(h.cast("string"), F.lit("h"), m.cast("string"), F.lit("m"), seconds)).when(m > 0, F.concat(m.cast("string"), F.lit("m"), seconds)).otherwise(seconds)
 
 
-def documents(series: DataFrame, rules: DataFrame) -> DataFrame:
-    """(node_id, value): the JSON document of each node: series by path, rules sorted by id, windows as duration text."""
+def documents(series: DataFrame, rules: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node_id, value): the JSON document of each node: series by path, rules sorted by id, windows as duration text,
+    thresholds with their types. ``nodes`` (node_id, address, http_port, tags) adds these; a node may have nothing else.
+    """
     back = F.create_map(*[F.lit(x) for k, v in AGGREGATES.items() for x in (v, k)])
     entry = F.struct(F.col("path").alias("key"), F.struct(F.col("series_id").alias("serie_id"), "path", "tags", F.col("value_type").alias("tipo_datos"), F.col("block_codec").alias("compresion_bloque"), F.col("value_codec").alias("compresion_bytes"), F.col("block_size").alias("tamaño_bloque"), F.col("retention_ns").alias("tiempo_almacenamiento")).alias("value"))
     own = series.groupBy("node_id").agg(F.collect_list(entry).alias("_s"))
     own = own.select("node_id", F.map_from_entries("_s").alias("series"))
-    condition = lambda c: F.struct(c["path"].alias("path"), duration_text(c["window_ns"]).alias("ventana_t"), F.try_element_at(back, c["agg"]).alias("agregacion"), c["op"].alias("operador"), F.coalesce(c["t_double"].cast("string"), c["t_long"].cast("string"), c["t_bool"].cast("string"), c["t_text"]).alias("valor"), c["aggregate_series"].alias("agregar_series"))
+    condition = lambda c: F.struct(c["path"].alias("path"), duration_text(c["window_ns"]).alias("ventana_t"), F.coalesce(F.try_element_at(back, c["agg"]), c["agg"]).alias("agregacion"), c["op"].alias("operador"), F.coalesce(c["t_double"].cast("variant"), c["t_long"].cast("variant"), c["t_bool"].cast("variant"), c["t_text"].cast("variant")).alias("valor"), c["aggregate_series"].alias("agregar_series"))
     rule = F.struct(F.col("rule_id").alias("id"), F.col("name").alias("nombre"), F.col("active").alias("activa"), F.col("logic").alias("logica"), F.transform("conditions", condition).alias("condiciones"), F.transform("actions", lambda a: F.struct(a["kind"].alias("tipo"), a["target"].alias("destino"), a["params"].alias("params"))).alias("acciones"))
     ruled = rules.groupBy("node_id").agg(F.array_sort(F.collect_list(rule), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)).alias("reglas"))
     both = own.join(ruled, "node_id", "full_outer")
-    return both.select("node_id", F.to_json(F.struct(F.col("node_id").alias("nodo_id"), "series", "reglas")).alias("value"))
+    if nodes is None:
+        return both.select("node_id", F.to_json(F.struct(F.col("node_id").alias("nodo_id"), "series", "reglas")).alias("value"))
+    both = both.join(nodes.select("node_id", F.col("address").alias("direccion"), F.col("http_port").alias("puerto_http"), "tags"), "node_id", "full_outer")
+    return both.select("node_id", F.to_json(F.struct(F.col("node_id").alias("nodo_id"), "direccion", "puerto_http", "series", "tags", "reglas")).alias("value"))
 
 
-def write(series: DataFrame, rules: DataFrame, path: str) -> None:
-    """One document for each node, as text files of one line."""
-    documents(series, rules).select("value").write.mode("overwrite").text(path)
+def write(series: DataFrame, rules: DataFrame, path: str, nodes: DataFrame | None = None) -> None:
+    """Documents as text files, a line for each node; ``read`` takes them with ``lines``."""
+    documents(series, rules, nodes).select("value").write.mode("overwrite").text(path)

@@ -49,10 +49,11 @@ def parse_keys(keys: DataFrame, key: str = "object_key") -> DataFrame:
     return out.where("series_id is not null and t_start is not null and t_end is not null")
 
 
-def write_measurements(rows: DataFrame, path: str, block_codec: str = "ZSTD", mode: str = "append") -> None:
-    """Parquet by node and day, ordered within tasks so that row groups can be skipped by path and time."""
+def write_measurements(rows: DataFrame, path: str, block_codec: str = "ZSTD", mode: str = "append", files: int = 1) -> None:
+    """Parquet by node and day, ordered within tasks so that row groups can be skipped by path and time. Nodes with much data
+    take several ``files`` a day, dealt by path."""
     day = F.floor(F.col("ts_ns") / DAY_NS).cast("int")
-    rows.withColumn("day", day).repartition("node_id", "day").sortWithinPartitions("path", "ts_ns").write.mode(mode).partitionBy("node_id", "day").option("compression", schema.BLOCK_CODECS[block_codec]).parquet(path)
+    rows.withColumn("day", day).repartition("node_id", "day", F.pmod(F.xxhash64("path"), F.lit(files))).sortWithinPartitions("path", "ts_ns").write.mode(mode).partitionBy("node_id", "day").option("compression", schema.BLOCK_CODECS[block_codec]).parquet(path)
 
 
 def read_measurements(spark, path: str, t0: int | None = None, t1: int | None = None) -> DataFrame:
