@@ -13,6 +13,7 @@ from tidalgrid.operators import aggregate, bridge, encoding, lifecycle, query
 from tidalgrid.operators import rules as rules_
 from tidalgrid.plans import views
 from tidalgrid.sources import registry, storage
+from tidalgrid.streaming import streams
 
 H = 3_600_000_000_000
 
@@ -165,10 +166,10 @@ def test_rules(spark):
     rules = spark.createDataFrame([rule()], schema.RULES)
     hits = rules_.evaluate_rules(m, views.keys(m), rules, times).where("fired")
     context = rules_.context(hits, m, views.keys(m), rules)
-    assert context.first().context == {"a/t": "3.0", "b/t": "9.0"}
+    assert context.select(F.to_json("context").alias("c")).first().c == '{"a/t":3.0,"b/t":9.0}'
     command = rules_.build_commands(context, rules).first()
     assert command.topic == "act/a"
-    assert '"comando":"encender"' in command.value and '"velocidad":"alta"' in command.value and "_x" not in command.value
+    assert '"comando":"encender"' in command.value and '"velocidad":"alta"' in command.value and '"_x":"1"' in command.value and '"b/t":9.0' in command.value
     assert rules_.state(rules).first()[1:] == (1, 1)
     seen = []
     handlers = rules_.Handlers()
@@ -177,6 +178,84 @@ def test_rules(spark):
     assert seen == [1]
 
 
+def test_last_is_no_aggregate(spark):
+    m = measure(spark, [("a/t", 10, 1), ("b/t", 20, 9)])
+    times = spark.createDataFrame([("n", 30), ("n", 500)], "node_id string, t_ns long")
+    made = [rule(rule_id="any", agg="last"), rule(rule_id="first", agg="last", whole=True, limit=0.5), rule(rule_id="low", agg="last", whole=True), rule(rule_id="odd", logic="XOR"), rule(rule_id="none", path="x/y"), rule(rule_id="bad", agg="median")]
+    got = points(rules_.evaluate_rules(m, views.keys(m), spark.createDataFrame(made, schema.RULES), times).where("fired"), "rule_id", "t_ns")
+    assert got == [("any", 30), ("first", 30), ("odd", 30)]
+
+
+def test_rules_without_series_or_rules(spark):
+    m = measure(spark, [("a/t", 10, 1)])
+    times = spark.createDataFrame([("n", 30)], "node_id string, t_ns long")
+    for made, want in (([rule(path="x/y"), rule(rule_id="w", path="x/*", agg="avg", whole=True)], [("r", False), ("w", False)]), ([], [])):
+        rules = spark.createDataFrame(made, schema.RULES)
+        fired = rules_.evaluate_rules(m, views.keys(m), rules, times)
+        assert points(fired, "rule_id", "fired") == want
+        assert rules_.build_commands(rules_.context(fired.where("fired"), m, views.keys(m), rules), rules).count() == 0
+
+
+def test_rules_against_a_plain_evaluation(spark):
+    """Any series, by intervals: rows at window edges, equal times, values that leave, evaluations between rows."""
+    r = random.Random(4)
+    rows = [(f"{r.choice('abc')}/t", r.randrange(0, 120), r.randrange(0, 10)) for _ in range(70)]
+    m, ts = measure(spark, rows), list(range(0, 140, 3))
+    times = spark.createDataFrame([("n", t) for t in ts], "node_id string, t_ns long")
+    folds = {None: lambda x: max(x, key=lambda y: (y[1], -y[0]))[2], "avg": lambda x: sum(y[2] for y in x) / len(x), "count": len}
+    made, want = [], []
+    for k, (agg, fold) in enumerate(folds.items()):
+        for w in (1, 20):
+            made.append(rule(rule_id=f"{k}-{w}", agg=agg, window=w, limit=5.0))
+            for t in ts:
+                seen = [[(i, s, x) for i, (p, s, x) in enumerate(rows) if p == q and t - w <= s <= t] for q in ("a/t", "b/t", "c/t")]
+                want.append((f"{k}-{w}", t, any(fold(x) > 5 for x in seen if x)))
+    got = rules_.evaluate_rules(m, views.keys(m), spark.createDataFrame(made, schema.RULES), times)
+    assert points(got, "rule_id", "t_ns", "fired") == sorted(want)
+
+
+def test_failing_actions_stop_their_firing(spark):
+    acts = [{"kind": k, "target": t, "params": {}} for k, t in (("a", "x"), ("b", "{gone}"), ("a", "y"))]
+    rules = spark.createDataFrame([rule(actions=acts), rule(rule_id="s", actions=[acts[0], {"kind": "other", "target": "z", "params": {}}, acts[2]])], schema.RULES)
+    m = measure(spark, [("a/t", 10, 9)])
+    times = spark.createDataFrame([("n", 10), ("n", 20)], "node_id string, t_ns long")
+    fired = rules_.evaluate_rules(m, views.keys(m), rules, times).where("fired")
+    commands = rules_.build_commands(rules_.context(fired, m, views.keys(m), rules), rules)
+    assert points(commands.where("t_ns = 10"), "rule_id", "step", "topic", "error") == [("r", 0, "x", None), ("r", 1, "", "empty topic"), ("s", 0, "x", None), ("s", 1, "z", None), ("s", 2, "y", None)]
+    seen, handlers = [], rules_.Handlers()
+
+    def run(c):
+        seen.extend(points(c, "rule_id", "step", "t_ns"))
+        return c.where("t_ns = 20")
+
+    handlers.register("a", run)
+    handlers.run(commands)
+    assert seen == [("r", 0, 10), ("r", 0, 20), ("s", 0, 10), ("s", 0, 20), ("s", 2, 10)]
+    handlers.register("a", lambda c: 1 / 0)
+    handlers.run(commands)
+    with pytest.raises(ValueError):
+        handlers.register("", run)
+
+
+def test_commands_to_files(spark, tmp_path):
+    m, rules = measure(spark, [("a/t", 10, 9)]), spark.createDataFrame([rule()], schema.RULES)
+    fired = rules_.evaluate_rules(m, views.keys(m), rules, spark.createDataFrame([("n", 10)], "node_id string, t_ns long")).where("fired")
+    rules_.to_files(rules_.build_commands(rules_.context(fired, m, views.keys(m), rules), rules), f"{tmp_path}/out")
+    assert points(spark.read.json(f"{tmp_path}/out"), "kind", "topic") == [("publish", "act/a")]
+
+
+def test_rule_stream(spark, tmp_path):
+    """Three batches: a window reaches back into earlier ones, and a repeated batch changes nothing."""
+    for i, part in enumerate(([("a/t", 10, 9)], [("a/t", 60, 1), ("b/t", 70, 2)], [("a/t", 200, 8)])):
+        measure(spark, part).write.parquet(f"{tmp_path}/in/{i}")
+    series, rules = spark.createDataFrame([("n", "a/t"), ("n", "b/t")], "node_id string, path string"), spark.createDataFrame([rule(agg="max")], schema.RULES)
+    rows = streams.with_time(spark.readStream.schema(schema.MEASUREMENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"))
+    seen = []
+    stream = streams.rule_stream(rows, series, rules, f"{tmp_path}/past", rules_.Handlers(), f"{tmp_path}/state", sink=lambda c: seen.extend(r.t_ns for r in c.collect()))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == [10, 60, 70, 200]
+
+
 def test_rules_with_a_glob_per_device(spark):
     """More globs than could be plan branches; each condition reads its own node's series."""
     n = 300
@@ -194,6 +273,10 @@ def test_rule_validation(spark):
     bad = [rule(), rule(rule_id="w", window=0), rule(rule_id="o", op="=>"), rule(rule_id="g", agg="avg"), rule(rule_id="e", conditions=[], actions=[])]
     got = {r.rule_id: r.reasons for r in rules_.validate(spark.createDataFrame(bad, schema.RULES), series).collect()}
     assert got == {"r": [], "w": ["window"], "o": ["operator"], "g": ["aggregate_type"], "e": ["actions", "conditions"]}
+    act = {"kind": "publish", "target": "a/{x}", "params": {}}
+    more = [rule(rule_id="l", agg="last"), rule(rule_id="x", logic="XOR"), rule(rule_id="k", actions=[act | {"kind": "", "target": "a"}]), rule(rule_id="t", actions=[act | {"target": ""}]), rule(rule_id="v", actions=[act]), rule(rule_id="p", actions=[act | {"params": {"x": "1"}}])]
+    got = {r.rule_id: r.reasons for r in rules_.validate(spark.createDataFrame(more, schema.RULES), series).collect()}
+    assert got == {"l": [], "x": [], "k": ["action_kind"], "t": ["target"], "v": ["variables"], "p": []}
 
 
 def test_registry(spark, tmp_path):
@@ -208,6 +291,55 @@ def test_registry(spark, tmp_path):
     assert (nodes[0].series["a/t"].block_size, c.window_ns, c.agg, c.t_double, c.t_text) == (7, 300_000_000_000, "avg", 1.5, None)
 
 
+def test_registry_keeps_types_and_unknown_aggregates(spark, tmp_path):
+    limits = [{"t_double": 56.0}, {"t_long": 7}, {"t_bool": True}, {"t_text": "on"}]
+    none = dict.fromkeys(("t_double", "t_long", "t_bool", "t_text"))
+    conditions = [{"path": "a/t", "window_ns": 1_500_000_000, "agg": a, "op": "==", "aggregate_series": False} | none | x for x, a in zip(limits, (None, "avg", "median", "last"), strict=True)]
+    series = spark.createDataFrame([("n", 1, "a/t", {"k": "v"}, "Real", "Xor", "LZ4", 7, 5)], "node_id string, series_id int, path string, tags map<string,string>, value_type string, value_codec string, block_codec string, block_size int, retention_ns long")
+    nodes = spark.createDataFrame([("n", "host", "80", {"site": "x"}), ("empty", None, None, None)], "node_id string, address string, http_port string, tags map<string,string>")
+    registry.write(series, spark.createDataFrame([rule(conditions=conditions)], schema.RULES), f"{tmp_path}/r", nodes)
+    got = {r.node_id: r for r in registry.read(spark, f"{tmp_path}/r", lines=True).collect()}
+    back = got["n"].rules[0].conditions
+    assert [(c.t_double, c.t_long, c.t_bool, c.t_text, c.agg) for c in back] == [(56.0, None, None, None, None), (None, 7, None, None, "avg"), (None, None, True, None, "median"), (None, None, None, "on", "last")]
+    assert (got["n"].address, got["n"].http_port, got["n"].tags, back[0].window_ns) == ("host", "80", {"site": "x"}, 1_500_000_000)
+    assert got["empty"].series is None
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    from tidalgrid.operators import stats
+
+    r = random.Random(2)
+    groups = {"a": [r.gauss(0, 5) for _ in range(700)], "b": [1.0] * 50 + [2.0], "c": [3.5], None: [float(i) for i in range(1000)]}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in [*xs, None]], "g string, v double")
+    got = {x.g: x for x in stats.percentiles(rows, "g", "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for g, xs in groups.items():
+        if g is not None:
+            assert np.allclose([got[g].p0, got[g].p50, got[g].p95, got[g].p100], np.percentile(xs, [0, 50, 95, 100]))
+    found = stats.latency_summary(rows.select("g", (F.col("v") * 1e6).alias("latency")), ["g"]).where("g is null").first()
+    assert (found.n, found.median, found.p95) == (1000, 499.5, 949.05)
+
+
+def test_empty_series_and_row_counts(spark):
+    m = measure(spark, [("a", 1, 2), ("a", 2, 4), ("b", 900, 1)])
+    got = aggregate.aggregate(m, views.keys(m), "*", 0, 10, ["avg", "count_rows"], keep_empty=True)
+    assert points(got, "path", "avg", "count_rows") == [("a", 3.0, 2), ("b", None, None)]
+
+
+def test_a_later_text_hides_a_number(spark):
+    rows = [("n", "s", 1, 0, "Real", 5.0, None, None, None), ("n", "s", 1, 1, "Text", None, None, None, "x"), ("n", "s", 2, 2, "Real", 7.0, None, None, None), ("n", "s", 2, 3, "Real", None, None, None, None)]
+    m = spark.createDataFrame(rows, schema.MEASUREMENTS)
+    assert points(query.collapse_numbers(m), "ts_ns", "num") == sorted([(1, None), (2, 7.0)])
+    assert points(aggregate.aggregate(m, views.keys(m), "s", 0, 9, ["sum"]), "sum") == [(7.0,)]
+
+
+def test_envelopes_of_numbers_and_bytes(spark):
+    for value, kind, text in ((5, "long", "5"), (1.5, "double", "1.5"), (bytearray(b"ab"), "binary", "ab"), ([1, 2], "array<int>", "[1,2]"), (None, "string", "")):
+        sent = bridge.encode(spark.createDataFrame([("t", value)], f"topic string, payload {kind}")).select("value")
+        assert bridge.decode(sent).first().payload == text
+
+
 def test_nan_is_null_in_json(spark):
     rows = spark.createDataFrame([("n", "s", 0, 0, float("nan"))], "node_id string, path string, bucket long, start_ns long, avg double")
     assert render.bucket_json(rows, ["avg"]).first().value == '{"serie":"s","buckets":[0],"avg":[null]}'

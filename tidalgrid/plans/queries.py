@@ -206,10 +206,14 @@ def _(s, d):
     return aggregate.long_form(cube, ["avg", "max"]).where("agg = 'max'").select("node_id", "path", "bucket", "agg", r6("value"))
 
 
-@add("bucket_json")
+_LISTS = ", ".join(f"string_agg(coalesce(({c})::VARCHAR, 'null'), ',' ORDER BY bucket) AS {n}" for n, c in {"starts": "start_ns", "avgs": "avg", "counts": "count"}.items())
+
+
+@add("bucket_json", _bucket_sql(v.KIND, "m WHERE path LIKE 'user_00%/view'", v.DAY) + f", l AS (SELECT node_id, path, {_LISTS} FROM cube GROUP BY ALL) SELECT node_id, path, '{{\"serie\":\"' || path || '\",\"buckets\":[' || starts || '],\"avg\":[' || avgs || '],\"count\":[' || counts || ']}}' AS value FROM l")
 def _(s, d):
     m = v.by_kind(s, d)
-    return render.bucket_json(aggregate.bucket_aggregate(m, v.keys(m), PART, v.T0, v.T1, ["avg", "count"], v.DAY), ["avg", "count"])
+    cube = aggregate.bucket_aggregate(m, v.keys(m), PART, v.T0, v.T1, ["avg", "count"], v.DAY)
+    return render.bucket_json(cube.withColumn("avg", F.round("avg", 6)), ["avg", "count"])
 
 
 @add("agg_of_agg", f"WITH {v.KIND}, a AS (SELECT node_id, path, avg(v) AS x, count(v) AS n FROM m GROUP BY ALL) SELECT node_id, round(avg(x), 6) AS avg FROM a GROUP BY node_id")
@@ -294,22 +298,55 @@ def _contexts(s, d):
     return rules_.context(rules_.evaluate_rules(m, v.keys(m), rules, _daily(m)).where("fired"), m, v.keys(m), rules), rules
 
 
-add("rule_context")(lambda s, d: _contexts(s, d)[0])
-add("rule_commands")(lambda s, d: rules_.build_commands(*_contexts(s, d)))
+_CONTEXT = _two_conditions(_DAYS) + f""", parts AS (SELECT ru.dev, ru.user_id, t.t_ns, m.path, any_value(w.pos) AS pos, arg_max(m.v, m.ts_ns) AS y FROM ru JOIN t ON t.node_id = ru.node_id, (VALUES ('click', 0, {5 * v.DAY}), ('view', 1, {10 * v.DAY})) w(kind, pos, size)
+      JOIN m ON m.path = ru.dev || '/' || w.kind AND m.ts_ns BETWEEN t.t_ns - w.size AND t.t_ns GROUP BY ru.dev, ru.user_id, t.t_ns, m.path),
+      ctx AS (SELECT e.node_id, e.rule_id, e.t_ns, any_value(user_id) AS user_id, arg_min(path, pos) AS serie, count(*) AS n_values, round(sum(y), 6) AS total FROM e JOIN parts ON e.rule_id = 'rule_' || parts.dev AND e.t_ns = parts.t_ns WHERE fired GROUP BY ALL)"""
+
+
+@add("rule_context", _CONTEXT + " SELECT node_id, rule_id, t_ns, serie, n_values, total FROM ctx")
+def _(s, d):
+    """Context values are numbers, as measured."""
+    total = F.aggregate(F.map_values("context"), F.lit(0.0), lambda acc, x: acc + F.variant_get(x, "$", "double"))
+    return _contexts(s, d)[0].select("node_id", "rule_id", "t_ns", "serie", F.size("context").cast("long").alias("n_values"), F.round(total, 6).alias("total"))
+
+
+@add("rule_commands", _CONTEXT + """ SELECT node_id, rule_id, t_ns, 0 AS step, 'publish' AS kind, 'act/' || split_part(serie, '/', 1) || '/' || rule_id || '/w' || (user_id % 3) AS topic, 'on' AS command,
+      '{"which":"w' || (user_id % 3) || '"}' AS parameters, t_ns AS at, total FROM ctx""")
+def _(s, d):
+    found = rules_.build_commands(*_contexts(s, d))
+    get = lambda path: F.get_json_object("value", f"$.{path}")
+    numbers = F.map_values(F.from_json(get("contexto"), "map<string,double>"))
+    return found.select(
+        "node_id", "rule_id", "t_ns", "step", "kind", "topic", get("comando").alias("command"), get("parametros").alias("parameters"), get("timestamp").cast("long").alias("at"),
+        F.round(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x), 6).alias("total"),
+    )
+
+
+#: What is wrong with a rule, by its user's number: reason, divisor, remainder.
+_FAULTS = {"action_kind": (11, 3), "aggregate": (4, 1), "operator": (6, 2), "path": (13, 5), "target": (12, 7), "template": (9, 4), "threshold": (8, 6), "variables": (10, 8), "window": (5, 3)}
+_FAULT_SQL = {k: f"user_id % {m} = {r}" for k, (m, r) in _FAULTS.items()}
+_FAULT_SQL["template"] += f" AND NOT {_FAULT_SQL['target']}"
+_FAULT_SQL["variables"] += f" AND NOT {_FAULT_SQL['target']} AND NOT {_FAULT_SQL['template']}"
 
 
 @add(
     "rule_validate",
-    f"""WITH {v.EV}, u AS (SELECT DISTINCT node_id, dev, user_id FROM ev) SELECT node_id, 'rule_' || dev AS rule_id, array_to_string(list_filter([CASE WHEN user_id % 4 = 1 THEN 'aggregate' END, CASE WHEN user_id % 6 = 2 THEN 'operator' END,
-    CASE WHEN user_id % 9 = 4 THEN 'template' END, CASE WHEN user_id % 5 = 3 THEN 'window' END], lambda x: x IS NOT NULL), ',') AS reasons FROM u""",
+    f"""WITH {v.EV}, u AS (SELECT DISTINCT node_id, dev, user_id FROM ev) SELECT node_id, 'rule_' || dev AS rule_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in sorted(_FAULT_SQL.items()))}],
+    lambda x: x IS NOT NULL), ',') AS reasons FROM u""",
 )
 def _(s, d):
+    """Every reason of a single condition or action; ``last`` as an aggregate and an unknown logic are none."""
     u = F.regexp_extract("rule_id", r"(\d+)$", 1).cast("long")
-    bad = v.rules(s, d).withColumn("u", u)
-    first = F.col("conditions")[0]
-    broken = first.withField("window_ns", F.when(F.col("u") % 5 == 3, F.lit(0).cast("long")).otherwise(first["window_ns"])).withField("op", F.when(F.col("u") % 6 == 2, "=>").otherwise(first["op"])).withField("agg", F.when(F.col("u") % 4 == 1, "median").otherwise(first["agg"]))
-    act = F.col("actions")[0]
-    bad = bad.withColumn("conditions", F.array(broken)).withColumn("actions", F.array(act.withField("target", F.when(F.col("u") % 9 == 4, F.lit("act/{{x}")).otherwise(act["target"]))))
+    has = {k: F.col("u") % m == r for k, (m, r) in _FAULTS.items()}
+    first, act = F.col("conditions")[0], F.col("actions")[0]
+    broken = (
+        first.withField("window_ns", F.when(has["window"], F.lit(0).cast("long")).otherwise(first["window_ns"])).withField("op", F.when(has["operator"], "=>").otherwise(first["op"]))
+        .withField("agg", F.when(has["aggregate"], "median").when(F.col("u") % 3 == 0, "last").otherwise(first["agg"])).withField("path", F.when(has["path"], "").otherwise(first["path"]))
+        .withField("t_double", F.when(~has["threshold"], first["t_double"]))
+    )
+    target = F.when(has["target"], "").when(has["template"], "act/{{x}").when(has["variables"], "act/{absent}").otherwise(act["target"])
+    bad = v.rules(s, d).withColumn("u", u).withColumn("logic", F.when(F.col("u") % 2 == 0, "XOR").otherwise(F.col("logic")))
+    bad = bad.withColumn("conditions", F.array(broken)).withColumn("actions", F.array(act.withField("target", target).withField("kind", F.when(has["action_kind"], "").otherwise(act["kind"]))))
     return rules_.validate(bad.drop("u"), v.series(v.by_kind(s, d))).select("node_id", "rule_id", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -413,7 +450,7 @@ add(
 # --- messages -------------------------------------------------------------------------------------------------------
 
 add("envelope_decode", f"WITH {v.MESSAGES} SELECT conv_id, turn, original, topic, payload, internal FROM env")(lambda s, d: bridge.decode(v.messages(s, d)).select("conv_id", "turn", "original", "topic", "payload", "internal"))
-add("envelope_encode")(lambda s, d: bridge.encode(v.table(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("topic"), F.col("text").alias("payload"))).select("conv_id", "turn", "value"))
+add("envelope_encode", """SELECT conv_id, turn, '{"original":true,"topico":"' || role || '","payload":"' || base64(encode(text)) || '","interno":false}' AS value FROM conversations""")(lambda s, d: bridge.encode(v.table(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("topic"), F.col("text").alias("payload"))).select("conv_id", "turn", "value"))
 _ROUTES = "routes(origin, dest) AS (VALUES ('http', 'http'), ('http', 'coap'), ('http', 'mqtt'), ('coap', 'http'), ('coap', 'coap'), ('coap', 'mqtt'), ('mqtt', 'coap'), ('mqtt', 'http'))"
 _OUT = f"WITH {v.MESSAGES}, {_ROUTES}, out AS (SELECT conv_id, turn, topic, payload, dest FROM env JOIN routes USING (origin) WHERE original AND NOT internal AND NOT starts_with(topic, '$SYS/'))"
 add("bridge_fanout", f"{_OUT} SELECT conv_id, turn, topic, payload, dest, false AS original FROM out")(lambda s, d: bridge.fan_out(bridge.decode(v.messages(s, d))).select("conv_id", "turn", "topic", "payload", "dest", "original"))
@@ -437,12 +474,17 @@ def _documents(s, d):
 add("registry_snapshot")(_documents)
 
 
-@add("registry_nodes")
+@add("registry_nodes", f"WITH {v.KIND}, {v.SERIES}, ns AS (SELECT node_id, count(*)::INTEGER AS n_series FROM series GROUP BY node_id), u AS (SELECT node_id, user_id, round(avg(value), 3) AS lim FROM ev GROUP BY ALL), nr AS (SELECT node_id, count(*)::INTEGER AS n_rules, (count(*) * {5 * v.DAY})::BIGINT AS windows_ns, round(sum(lim), 4) AS limits FROM u GROUP BY node_id) SELECT node_id, n_series, n_rules, windows_ns, limits, 'http://' || node_id AS address, '8080' AS http_port, 'plant' AS site FROM ns JOIN nr USING (node_id)")
 def _(s, d):
-    doc = F.from_json("value", registry.DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    raw = _documents(s, d).select(doc.alias("x")).select("x.*").where("_corrupt_record is null")
-    nodes = registry.shape(raw)
-    return nodes.select("node_id", F.size("series").alias("n_series"), F.size("rules").alias("n_rules"), F.aggregate("rules", F.lit(0).cast("long"), lambda a, r: a + r["conditions"][0]["window_ns"]).alias("windows_ns"))
+    """The documents of all nodes written to files and read again: thresholds keep their type, tags and addresses stay."""
+    m = v.by_kind(s, d)
+    nodes = m.select("node_id").distinct().select("node_id", F.concat(F.lit("http://"), "node_id").alias("address"), F.lit("8080").alias("http_port"), F.create_map(F.lit("site"), F.lit("plant")).alias("tags"))
+    folder = session.scratch(s, "registry")
+    registry.write(v.series(m), v.rules(s, d), folder, nodes)
+    found = registry.read(s, folder, lines=True)
+    limits = F.aggregate("rules", F.lit(0.0), lambda a, r: a + r["conditions"][0]["t_double"])
+    return found.select("node_id", F.size("series").alias("n_series"), F.size("rules").alias("n_rules"), F.aggregate("rules", F.lit(0).cast("long"), lambda a, r: a + r["conditions"][0]["window_ns"]).alias("windows_ns"), F.round(limits, 4).alias("limits"), "address", "http_port", F.col("tags")["site"].alias("site"))
+
 
 # --- streams --------------------------------------------------------------------------------------------------------
 
