@@ -113,22 +113,38 @@ def first_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return first.groupBy("h", "g").agg(F.min("x").alias("x")).select("h", "g", "x.at", F.col("x.own").cast("binary").alias("b"))
 
 
+def _spots(edits: int) -> list[tuple[bool, int, int, int]]:
+    """(whether indexed, bytes that the indexed line is shorter, segment, shift) of all segments and probes of a line."""
+    return [(True, 0, i, 0) for i in range(edits + 1)] + [(False, *p) for p in probes(edits)]
+
+
+def placed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``rows`` with what ``spot`` stands for: the line's length times the number of spots, plus the spot's number. ``cut`` and
+    ``len`` say where the segment stands in the line itself, and ``rest`` is the length of the indexed line without it."""
+    spots = _spots(edits)
+    number = F.pmod("spot", F.lit(len(spots))).cast("int")
+    known = {name: F.get(F.array(*[F.lit(p[k]) for p in spots]), number) for k, name in enumerate(("index", "d", "i", "s"))}
+    rows = rows.withColumns({"n": F.expr(f"cast(spot div {len(spots)} as int)"), **known})
+    start, end = F.expr(f"cast(((n - d) * i) div {edits + 1} as int)"), F.expr(f"cast(((n - d) * (i + 1)) div {edits + 1} as int)")
+    return rows.withColumns({"cut": start + F.col("s"), "len": end - start}).withColumn("rest", F.expr("n - d - len"))
+
+
 def asked_segments(lines: DataFrame, edits: int = EDITS, *carried: str) -> DataFrame:
-    """Rows (key, h, index, d, cut, len, rest) for ``lines`` (base, h, b, and index and d where these are known already): the
-    segments of a line as an indexed one, and the places where it asks for segments of lines that are d bytes shorter.
+    """Rows (key, h, index, spot) for ``lines`` (base, h, b, and index and d where these are known already): the segments of a
+    line as an indexed one, and the places where it asks for segments of lines that are d bytes shorter.
 
-    ``key`` hashes the indexed line's length, the segment's number and its bytes; ``cut`` and ``len`` say where these stand in
-    the line itself, and ``rest`` is the length of the indexed line without them.
+    ``key`` hashes the indexed line's length, the segment's number and its bytes; ``spot`` says where these stand (``placed``).
     """
-    spots = [(True, 0, i, 0) for i in range(edits + 1)] + [(False, *p) for p in probes(edits)]
-    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for x, d, i, s in spots])
+    spots = _spots(edits)
+    numbers = F.array(*[F.lit(k) for k in range(len(spots))])
     if "d" in lines.columns:
-        places = F.filter(places, lambda p: (p["x"] == F.col("index")) & (p["d"] == F.col("d")))
-    rows = lines.select("base", "h", "b", F.octet_length("b").alias("n"), F.explode(places).alias("p")).select("base", "h", "b", "n", F.col("p.x").alias("index"), "p.d", "p.i", "p.s")
-    start, end = F.expr(f"cast(((n - d) * i) div {edits + 1} as int)"), F.expr(f"cast(((n - d) * (i + 1)) div {edits + 1} as int)")
-    rows = rows.withColumn("cut", start + F.col("s")).withColumn("len", end - start).where("cut >= 0 and cut + len <= n")
+        places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(d).alias("d")) for x, d, _, _ in spots])
+        numbers = F.filter(numbers, lambda k: (F.get(places, k)["x"] == F.col("index")) & (F.get(places, k)["d"] == F.col("d")))
+    rows = lines.select("base", "h", "b", F.explode(numbers).alias("number"))
+    spot = F.octet_length("b").cast("long") * len(spots) + F.col("number")
+    rows = placed(rows.select("base", "h", "b", spot.alias("spot")), edits).where("cut >= 0 and cut + len <= n")
     key = F.xxhash64("base", F.col("n") - F.col("d"), "i", F.substring("b", F.col("cut") + 1, F.col("len")))
-    return rows.select(key.alias("key"), "h", "index", "d", "cut", "len", (F.col("n") - F.col("d") - F.col("len")).alias("rest"), *carried)
+    return rows.select(key.alias("key"), "h", "index", "spot", *carried)
 
 
 def shared_segments(lines: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
@@ -144,8 +160,10 @@ def shared_segments(lines: DataFrame, edits: int = EDITS, hot: int = HOT) -> Dat
         # minima and maxima are pre-aggregated, so a key that very many rows have sends one row for each task
         keys = asked.groupBy("key").agg(F.max(F.col("index").cast("int")).alias("indexed"), F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("rows"))
         keys = materialize(keys.where("indexed = 1 and low != high").select("key", "rows"), "keys")
-        own = materialize(asked.join(keys, "key"), "segments")
+        # rows are as narrow as can be, since each line has many
+        own = materialize(asked.drop("index").join(keys, "key"), "segments")
         used += [keys, own]
+        own = placed(own, edits)
         again = (F.col("rows") > hot) & (F.col("rest") >= SHORT)
         last = own.where(~again).select("key", "h")
         met = last if met is None else met.unionByName(last)
