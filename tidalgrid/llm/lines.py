@@ -161,7 +161,8 @@ def shared_segments(lines: DataFrame, edits: int = EDITS, hot: int = HOT) -> Dat
         keys = asked.groupBy("key").agg(F.max(F.col("index").cast("int")).alias("indexed"), F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("rows"))
         keys = materialize(keys.where("indexed = 1 and low != high").select("key", "rows"), "keys")
         # rows are as narrow as can be, since each line has many
-        own = materialize(asked.drop("index").join(keys, "key"), "segments")
+        # and shuffled at every size, never broadcast with few keys and not with more
+        own = materialize(asked.drop("index").join(keys.hint("merge"), "key"), "segments")
         used += [keys, own]
         own = placed(own, edits)
         again = (F.col("rows") > hot) & (F.col("rest") >= SHORT)
