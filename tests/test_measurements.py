@@ -133,6 +133,23 @@ def test_encodings(spark):
     assert points(encoding.xor_profile(real), "seq", "leading", "meaningful")[2] == (3, 0, 1)
 
 
+def test_block_advice(spark):
+    columns = "node_id string, path string, seq long, value_type string, v_double double, v_long long, v_bool boolean, v_text string"
+    rows = [("n", "a", i, "Integer", None, 42, None, None) for i in range(600)]
+    rows += [("n", "b", i, "Text", None, None, None, ("long text one", "long text two")[i // 5 % 2]) for i in range(100)]
+    rows += [("n", "c", i, "Real", 25.0 + i % 2, None, None, None) for i in range(50)]
+    rows += [("n", "d", i, "Boolean", None, None, i < 30, None) for i in range(60)]
+    rows += [("n", "e", i, "Real", x, None, None, None) for i, x in enumerate([1e300, -1e300, None, float("nan")])]
+    found = encoding.block_advice(spark.createDataFrame(rows, columns))
+    # constant bits; 20 runs of ids after 32 bytes of entries; 96 bits and 49 times 13 + 1; two runs of 2 bytes
+    expected = [("a", "Bits", 17), ("b", "Dictionary", 2 + 30 + 60), ("d", "RLE", 4)]
+    assert [x for x in points(found, "path", "codec", "bytes") if x[0] in "abd"] == expected
+    reals = {p: (c, b) for p, c, b in points(found, "path", "codec", "bytes")}
+    assert reals["c"][0] == "Xor" and reals["c"][1] < 50 * 8 and reals["e"] == ("None", 24)
+    assert len(points(encoding.block_advice(spark.createDataFrame(rows, columns), 100), "path", "block")) == 6 + 4
+    assert encoding.block_advice(spark.createDataFrame([], columns)).count() == 0
+
+
 def test_bridge(spark):
     rows = spark.createDataFrame([("t", "héllo", "mqtt", 1)], "topic string, payload string, origin string, id int")
     sent = bridge.encode(rows).select("id", "origin", "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalgrid import schema
+
 KEY = ["node_id", "path"]
 MAX_RUN, MAX_DICTIONARY = 255, 65_535
 
@@ -87,6 +89,51 @@ def xor_profile(rows: DataFrame, value: str = "value", by: list[str] | None = No
     return x.select(*by, "seq", lead.alias("leading"), trail.alias("trailing")).withColumn("meaningful", 64 - F.col("leading") - F.col("trailing"))
 
 
+def block_advice(rows: DataFrame, size: int = schema.MAX_BLOCK_SIZE) -> DataFrame:
+    """Of typed measurements: estimated bytes of each series' block of ``size`` rows under the codecs that its value type
+    allows, and the smallest (by name on ties).
+
+    Numbers take 8 bytes, booleans 1, texts their UTF-8 bytes and 2 of length. Reals' second differences are those of their
+    bits. Xor is sized without windows of bits that stay from one value to the next. A missing value counts as zero bytes, a
+    difference to it as 9, its XOR as 77 bits. More texts than a dictionary holds, or longer ones than its lengths can say, rule it out.
+    """
+    block = [*KEY, "block"]
+    w = Window.partitionBy(*block).orderBy("seq")
+    raw = F.expr("java_method('java.lang.Double', 'doubleToRawLongBits', v_double)").cast("long")
+    code = F.when(F.col("value_type") == "Integer", F.col("v_long")).when((F.col("value_type") == "Real") & F.col("v_double").isNotNull(), raw)
+    plain = F.when(F.col("value_type") == "Boolean", F.when(F.col("v_bool").isNotNull(), 1)).when(F.col("value_type") == "Text", F.octet_length("v_text") + 2).otherwise(F.when(code.isNotNull(), 8))
+    x = rows.select(
+        *KEY, "seq", "value_type", F.floor((F.row_number().over(_order(KEY)) - 1) / size).cast("long").alias("block"),
+        code.alias("code"), F.coalesce(plain, F.lit(0)).cast("long").alias("plain"), F.when(F.col("value_type") == "Text", F.col("v_text")).alias("text"), F.struct("value_type", code, "v_bool", "v_text").alias("own"),
+    )
+    before = F.lag("code").over(w)
+    x = x.withColumns({
+        "pos": F.row_number().over(w), "d": F.try_subtract(F.col("code"), before), "xor": F.col("code").bitwiseXOR(before),
+        "new": (~F.col("own").eqNullSafe(F.lag("own").over(w))).cast("int"), "fresh": F.row_number().over(Window.partitionBy(*block, "text").orderBy("seq")) == 1,
+    })
+    x = x.withColumns({"dod": F.try_subtract(F.col("d"), F.lag("d").over(w)), "run": F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    bits = F.lpad(F.bin("xor"), 64, "0")
+    changed = F.coalesce(F.lit(77) - (F.instr(bits, "1") - 1) - (F.instr(F.reverse(bits), "1") - 1), F.lit(77))
+    runs_ = x.groupBy(*block, "value_type", "run").agg(
+        F.count("*").alias("n"), F.count("code").alias("coded"), F.max("plain").alias("each"), F.min("code").alias("low"), F.max("code").alias("high"),
+        F.sum(F.when(F.col("pos") <= 2, 8).otherwise(width(F.col("dod")) + 1)).alias("dod"),
+        F.sum(F.when(F.col("pos") == 1, 96).when(F.col("xor") == 0, 1).otherwise(changed)).alias("xor"),
+        F.sum(F.when(F.col("fresh"), F.col("plain")).otherwise(0)).alias("entries"), F.count(F.when(F.col("fresh"), 1)).alias("texts"),
+    )
+    parts = F.ceil(F.col("n") / MAX_RUN)
+    one = runs_.groupBy(*block, "value_type").agg(
+        F.sum(F.col("n") * F.col("each")).alias("None"), F.sum(parts * (F.col("each") + 1)).alias("RLE"), F.sum("dod").alias("DeltaDelta"), F.ceil(F.sum("xor") / 8).alias("Xor"),
+        F.when((F.sum("texts") <= MAX_DICTIONARY) & (F.max("each") <= MAX_DICTIONARY + 2), F.sum("entries") + F.sum(parts * 3) + 2).alias("Dictionary"),
+        F.sum("coded").alias("coded"), F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    need = F.when(F.col("high") == F.col("low"), 0).otherwise(F.coalesce(F.length(F.bin(F.try_subtract("high", "low"))), F.lit(64)))
+    one = one.withColumn("Bits", F.ceil(F.col("coded") * need / 8) + 17)
+    codecs = sorted({c for own in schema.VALUE_CODECS.values() for c in own})
+    sizes = F.array(*[F.struct(F.when(F.col("value_type").isin([t for t, own in schema.VALUE_CODECS.items() if c in own]), F.col(c)).cast("long").alias("bytes"), F.lit(c).alias("codec")) for c in codecs])
+    best = F.array_min(F.filter(sizes, lambda s: s["bytes"].isNotNull()))
+    return one.select(*block, "value_type", best.alias("best")).select(*block, "value_type", "best.codec", "best.bytes")
+
+
 def advice(rows: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """Estimated bytes of integers under each codec, and the smallest (by name on ties)."""
     by = by or KEY

@@ -437,7 +437,30 @@ add("dod_encode", f"{_DOD} SELECT node_id, path, seq, pos::INTEGER AS pos, dod,
 add("dod_decode", f"WITH {_INTS} SELECT node_id, path, seq, row_number() OVER (PARTITION BY path ORDER BY seq)::INTEGER AS pos, ts_ns AS value FROM i")(lambda s, d: encoding.undo_delta_of_delta(encoding.delta_of_delta(_ints(s, d))))
 add("dict_encode", f"WITH {_INTS}, f AS (SELECT path, event_type, min(seq) AS first FROM i GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY first) - 1 AS id FROM f) SELECT i.node_id, i.path, seq, i.event_type, id::INTEGER AS id FROM i JOIN g ON i.path = g.path AND i.event_type = g.event_type")(lambda s, d: encoding.dictionary(_ints(s, d), "event_type"))
 add("bit_width", f"WITH {_INTS} SELECT node_id, path, min(k) AS low, max(k) AS high, count(k) AS n, (CASE WHEN min(k) = max(k) THEN 0 ELSE length(bin(max(k) - min(k))) END)::INTEGER AS bits FROM i GROUP BY ALL")(lambda s, d: encoding.bit_width(_ints(s, d), "k"))
-add("xor_profile")(lambda s, d: encoding.xor_profile(_ints(s, d), "x"))
+add(
+    "xor_profile",
+    f"""WITH {v.EV}, i AS (SELECT node_id, dev AS path, event_id AS seq, xor(value::DOUBLE::BIT, lag(value::DOUBLE) OVER (PARTITION BY node_id, dev ORDER BY event_id)::BIT)::VARCHAR AS b FROM ev),
+  z AS (SELECT node_id, path, seq, (CASE WHEN position('1' IN b) = 0 THEN 64 ELSE position('1' IN b) - 1 END)::INTEGER AS "leading", (CASE WHEN position('1' IN b) = 0 THEN 0 ELSE position('1' IN reverse(b)) - 1 END)::INTEGER AS "trailing" FROM i WHERE b IS NOT NULL)
+  SELECT node_id, path, seq, "leading", "trailing", (64 - "leading" - "trailing")::INTEGER AS meaningful FROM z""",
+)(lambda s, d: encoding.xor_profile(_ints(s, d), "x"))
+add(
+    "block_codec_advice",
+    f"""WITH {v.TYPED}, t AS (SELECT *, (row_number() OVER (PARTITION BY node_id, path ORDER BY seq) - 1) // 20 AS block, CASE value_type WHEN 'Integer' THEN v_long WHEN 'Real' THEN v_double::BIT::BIGINT END AS code,
+    coalesce(CASE value_type WHEN 'Boolean' THEN v_bool::INTEGER * 0 + 1 WHEN 'Text' THEN strlen(v_text) + 2 WHEN 'Integer' THEN v_long * 0 + 8 ELSE CASE WHEN v_double IS NOT NULL THEN 8 END END, 0) AS plain FROM typed),
+  a AS (SELECT *, row_number() OVER w AS pos, code::HUGEINT - lag(code) OVER w AS d, xor(v_double::BIT, (lag(v_double) OVER w)::BIT)::VARCHAR AS x, row_number() OVER (PARTITION BY node_id, path, block, v_text ORDER BY seq) = 1 AS fresh,
+    CASE WHEN row_number() OVER w > 1 AND code IS NOT DISTINCT FROM lag(code) OVER w AND v_bool IS NOT DISTINCT FROM lag(v_bool) OVER w AND v_text IS NOT DISTINCT FROM lag(v_text) OVER w THEN 0 ELSE 1 END AS new
+    FROM t WINDOW w AS (PARTITION BY node_id, path, block ORDER BY seq)),
+  b AS (SELECT *, d - lag(d) OVER w AS dod, sum(new) OVER w AS run FROM a WINDOW w AS (PARTITION BY node_id, path, block ORDER BY seq)),
+  runs AS (SELECT node_id, path, block, run, ceil(count(*) / 255) AS parts, max(plain) AS plain FROM b GROUP BY node_id, path, block, run),
+  r AS (SELECT node_id, path, block, sum(parts * (plain + 1)) AS rle, sum(parts * 3) AS ids FROM runs GROUP BY node_id, path, block),
+  s AS (SELECT node_id, path, block, value_type, sum(plain) AS own, 2 + sum(CASE WHEN fresh THEN plain ELSE 0 END) AS entries,
+    sum(CASE WHEN pos <= 2 THEN 8 WHEN dod BETWEEN -128 AND 127 THEN 2 WHEN dod BETWEEN -32768 AND 32767 THEN 3 WHEN dod BETWEEN -2147483648 AND 2147483647 THEN 5 ELSE 9 END) AS dd,
+    ceil(sum(CASE WHEN pos = 1 THEN 96 WHEN position('1' IN x) = 0 THEN 1 ELSE coalesce(77 - (position('1' IN x) - 1) - (position('1' IN reverse(x)) - 1), 77) END) / 8.0) AS xored,
+    ceil(count(code) * max(CASE WHEN value_type = 'Integer' THEN 1 ELSE 0 END) * (CASE WHEN value_type <> 'Integer' OR min(code) = max(code) THEN 0 ELSE length(bin(max(code) - min(code))) END) / 8.0) + 17 AS bits FROM b GROUP BY node_id, path, block, value_type),
+  allowed(value_type, codec) AS (VALUES ('Boolean', 'None'), ('Boolean', 'RLE'), ('Integer', 'None'), ('Integer', 'RLE'), ('Integer', 'DeltaDelta'), ('Integer', 'Bits'), ('Real', 'None'), ('Real', 'DeltaDelta'), ('Real', 'Xor'), ('Real', 'RLE'), ('Text', 'None'), ('Text', 'RLE'), ('Text', 'Dictionary')),
+  sizes AS (SELECT node_id, path, block, value_type, codec, (CASE codec WHEN 'None' THEN own WHEN 'RLE' THEN rle WHEN 'DeltaDelta' THEN dd WHEN 'Bits' THEN bits WHEN 'Xor' THEN xored ELSE entries + ids END)::BIGINT AS bytes FROM s JOIN r USING (node_id, path, block) JOIN allowed USING (value_type)),
+  best AS (SELECT *, row_number() OVER (PARTITION BY node_id, path, block ORDER BY bytes, codec) AS rn FROM sizes) SELECT node_id, path, block, value_type, codec, bytes FROM best WHERE rn = 1""",
+)(lambda s, d: encoding.block_advice(v.typed(s, d), 20))
 add(
     "codec_advice",
     f"""{_RUNS}, a AS (SELECT *, row_number() OVER w AS pos, value - lag(value) OVER w AS d FROM i WINDOW w AS (PARTITION BY path ORDER BY seq)), b AS (SELECT *, CASE WHEN pos = 1 THEN value WHEN pos = 2 THEN d ELSE d - lag(d) OVER (PARTITION BY path ORDER BY seq) END AS dod FROM a),
