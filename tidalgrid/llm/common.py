@@ -93,6 +93,9 @@ _LOWER[65:91] += 32
 #: Bytes of the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z are lower-cased.
 _WORD = np.ones(256, bool)
 _WORD[:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
+#: Bytes of words that only blanks, tabs and line ends part.
+UNSPACED = np.ones(256, bool)
+UNSPACED[0x20] = UNSPACED[0x09:0x0E] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -175,12 +178,13 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 
 class Words:
-    """The words of a block of texts: byte spans, hashes, and for each text its range of words."""
+    """The words of a block of texts: byte spans, hashes, and for each text its range of words. ``letters`` tells which bytes,
+    A-Z lower-cased, are in words."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD):
         low = _LOWER[buf]
         is_word = np.zeros(len(low) + 2, bool)
-        is_word[1:-1] = _WORD[low]
+        is_word[1:-1] = letters[low]
         body, inner = is_word[1:-1], offsets[(offsets > 0) & (offsets < len(low))]
         first = body & ~is_word[:-2]
         last = body & ~is_word[2:]

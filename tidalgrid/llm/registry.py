@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidalgrid.llm import decontaminate, fingerprints, jaccard, licenses, lines, pieces, repeats, token_store, toxicity, url_filter
+from tidalgrid.llm import decontaminate, fingerprints, jaccard, licenses, lines, pieces, repeats, search, sketches, token_store, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_repeats": repeats.op9_repeats,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_search": search.op11_search,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_sketches": sketches.op13_sketches,
+}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_line_dedup": lines.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+    "op11_search": search.ORACLE,
+    "op13_sketches": sketches.ORACLE,
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op3_line_dedup": lines.ORACLE, "op6_url_filter": url_filter.ORACLE}
