@@ -37,7 +37,9 @@ from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
 KEPT, LISTED, SPREAD = 128, 10, 4.5
-REFINED, BLOCK = 1024, 256
+REFINED, BLOCK = 64, 256
+#: Hashes of the first look at an estimate.
+COARSE = 32
 
 
 def sets_of(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -76,26 +78,38 @@ def propose(nodes: list[int], roots: np.ndarray, sides: np.ndarray, own: list[np
     lengths = np.array([len(s) for s in own])
     _, inverse = np.unique(np.concatenate(own), return_inverse=True)
     ends = np.cumsum(lengths)
-    rank = np.zeros((len(own), int(inverse.max(initial=-1)) + 1), np.int16)
-    rank[np.repeat(np.arange(len(own)), lengths), inverse] = np.arange(len(inverse)) - np.repeat(ends - lengths, lengths) + 1
+    # ranks by hash and node, so that the rows of a node's hashes are read in one piece
+    rank = np.zeros((int(inverse.max(initial=-1)) + 1, len(own)), np.int16)
+    rank[inverse, np.repeat(np.arange(len(own)), lengths)] = np.arange(len(inverse)) - np.repeat(ends - lengths, lengths) + 1
     out, more, share = set(), False, percent / 100
+
+    def able(i: int, rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``rows`` whose estimate by the union's ``first`` smallest hashes allows the threshold, and the estimates."""
+        n = min(int(lengths[i]), first)
+        there = rank[inverse[ends[i] - lengths[i] : ends[i] - lengths[i] + n]]
+        there = there if len(rows) == len(own) else there[:, rows]
+        both = there > 0
+        shared = np.cumsum(both, axis=0, dtype=np.int16)
+        # a shared hash's rank in the union counts it once
+        inside = (both & (there + np.arange(1, n + 1, dtype=np.int16)[:, None] - shared <= first)).sum(axis=0)
+        union = np.minimum(first, np.minimum(first, lengths[rows]) + n - shared[-1])
+        margin = np.where(union < first, 0, SPREAD * np.sqrt(share * (1 - share) / first))
+        good = np.flatnonzero(inside >= union * (share - margin) - 1e-9)
+        return rows[good], inside[good] / union[good]
+
+    every = np.arange(len(own))
     for i in range(len(own)):
         other = roots != roots[i] if same else (roots != roots[i]) & (sides != sides[i])
-        rows = np.flatnonzero(other)
+        if not other.any():
+            continue
+        rows = able(i, every, min(COARSE, kept))[0]
+        rows = rows[other[rows]]
         if not len(rows):
             continue
-        there = rank[rows][:, inverse[ends[i] - lengths[i] : ends[i]]]
-        both = there > 0
-        shared = np.cumsum(both, axis=1)
-        # a shared hash's rank in the union counts it once
-        inside = (both & (there + np.arange(1, lengths[i] + 1) - shared <= kept)).sum(axis=1)
-        union = np.minimum(kept, lengths[rows] + lengths[i] - shared[:, -1])
-        margin = np.where(union < kept, 0, SPREAD * np.sqrt(share * (1 - share) / kept))
-        estimate = inside / union
-        good = np.flatnonzero(estimate >= share - margin - 1e-9)
-        more |= len(good) > partners
-        best = good[np.lexsort((rows[good], -estimate[good]))[:partners]]
-        out.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in rows[best].tolist())
+        rows, estimate = able(i, rows, kept)
+        more |= len(rows) > partners
+        best = rows[np.lexsort((rows, -estimate))[:partners]]
+        out.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in best.tolist())
     return out, more
 
 
@@ -139,7 +153,7 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, first:
 
 
 def candidates(plan: DataFrame, partners: int, first: bool, kept: int, percent: int) -> DataFrame:
-    """(a, b): candidates of each list; a row of nulls says that some node has more."""
+    """(a, b, list): candidates, and the lists in which some node has more of them."""
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = plan.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
 
@@ -149,10 +163,10 @@ def candidates(plan: DataFrame, partners: int, first: bool, kept: int, percent:
         def finish() -> None:
             if len(held) > 1:
                 found, more = propose([h[1] for h in held], np.array([h[2] for h in held]), np.array([h[0] for h in held]), [np.frombuffer(h[3], np.uint32) for h in held], first or at[1] == at[2], partners, kept, percent)
-                out.update(found, [(None, None)] if more else [])
+                out.update(((a, b, None) for a, b in found), [(None, None, at[0])] if more else [])
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["a", "b", "list"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
@@ -167,7 +181,7 @@ def candidates(plan: DataFrame, partners: int, first: bool, kept: int, percent:
         if out:
             yield batch()
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, list long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -215,20 +229,20 @@ def classes(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, listed: i
     links = materialize(ids.join(keys, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"), "links")
     least = nodes.select(F.array_min("low").alias("list"), "node")
     tested = links.where("false")
-    roots, step, more = None, 0, True
-    while more:
-        # two rounds within blocks, then all pairs of blocks
+    roots, step, left = None, 0, lists
+    while step < 3 or not left.isEmpty():
+        # two rounds within blocks, then all pairs of blocks, of lists that have more
         inner = step < 2
-        plan = planned(lists if step else least, nodes, roots, inner, block)
+        plan = planned(left if step else least, nodes, roots, inner, block)
         found = materialize(candidates(plan, 2 * 4 ** (step - 1) if step else 1, inner, kept, percent), "candidates")
-        judged = materialize(verified(found.where("a is not null").join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
-        more = inner or not found.where("a is null").isEmpty()
-        discard(found)
+        judged = materialize(verified(found.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
         tested = tested.unionByName(judged.select("a", "b"))
         own = judged.where("linked").select("a", "b")
         if roots is None or not own.isEmpty():
             links = links.unionByName(own)
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if not inner:
+            left = lists.join(found.where("list is not null").select("list").distinct(), "list", "left_semi")
         step += 1
     named = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "key", "size").join(named, "key", "left")
