@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidalgrid import render, schema
 from tidalgrid.operators import aggregate, bridge, encoding, lifecycle, query
 from tidalgrid.operators import rules as rules_
+from tidalgrid.operators import windows
 from tidalgrid.plans import views
 from tidalgrid.sources import registry, storage
 from tidalgrid.streaming import streams
@@ -273,6 +274,69 @@ def test_rule_stream(spark, tmp_path):
     assert sorted(seen) == [10, 60, 70, 200]
 
 
+def test_a_late_row_counts_from_its_arrival(spark):
+    m = measure(spark, [("a/t", 100, 1), ("a/t", 99, 9)])
+    fired = rules_.replay(m, views.keys(m), spark.createDataFrame([rule(agg="avg", window=50, limit=4.0)], schema.RULES))
+    assert points(fired, "t_ns", "seq") == [(99, 1)]
+    # in order of time both count at 100
+    times = spark.createDataFrame([("n", 99), ("n", 100)], "node_id string, t_ns long")
+    assert points(rules_.evaluate_rules(m, views.keys(m), spark.createDataFrame([rule(agg="avg", window=50, limit=4.0)], schema.RULES), times).where("fired"), "t_ns") == [(99,), (100,)]
+
+
+def plain_replay(rows, rule_, late=True):
+    """(t_ns, seq) of the inserts (path, t_ns, value; seq is the place) at which a rule of one condition fires."""
+    c, out = rule_["conditions"][0], []
+    fold = {"avg": lambda x: sum(x) / len(x), "max": max, "min": min, "sum": sum, "count": len}
+    for s, (_, t, _) in enumerate(rows):
+        seen = {}
+        for i, (p, u, x) in enumerate(rows[: s + 1]):
+            if t - c["window_ns"] <= u <= t:
+                seen.setdefault(p, []).append((u, -i, x))
+        folded = [fold[c["agg"]]([x[2] for x in seen[p]]) if c["agg"] else max(seen[p])[2] for p in sorted(seen)]
+        if c["aggregate_series"] and folded:
+            folded = [fold[c["agg"]](folded)] if c["agg"] else folded[:1]
+        if any(x > c["t_double"] for x in folded):
+            out.append((t, s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("late", [0.1, 1])
+def test_replay_in_arrival_order(spark, tmp_path, late):
+    r = random.Random(late)
+    rows = [(r.choice(["a/t", "b/t", "c/t"]), t if r.random() >= late else r.randrange(0, 400), r.randrange(10)) for t in sorted(r.randrange(400) for _ in range(90))]
+    m = measure(spark, rows).repartition(3)
+    made = [rule(rule_id=f"{agg}-{w}-{whole}", agg=agg, window=w, limit=x, whole=whole) for agg, x, w in ((None, 7.0, 13), ("avg", 5.5, 90), ("max", 8.0, 0)) for whole in (False, True)]
+    fired = rules_.replay(m, views.keys(m), spark.createDataFrame(made, schema.RULES))
+    want = {x["rule_id"]: plain_replay(rows, x) for x in made}
+    got = {x["rule_id"]: [] for x in made}
+    for f in fired.collect():
+        got[f.rule_id].append((f.t_ns, f.seq))
+    assert {k: sorted(x) for k, x in got.items()} == want
+
+    # the stream of the same rows, in batches, gives the same commands
+    some = made[:1] + made[2:3]
+    for part in range(2):
+        m.where(F.floor(F.col("seq") / 45) == part).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    seen = []
+    stream = streams.rule_stream(streams.read(spark, f"{tmp_path}/in/*", 1), views.keys(m), spark.createDataFrame(some, schema.RULES), f"{tmp_path}/past", rules_.Handlers(), f"{tmp_path}/state", sink=lambda c: seen.extend((x.rule_id, x.t_ns, x.seq) for x in c.collect()))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == sorted((x["rule_id"], *p) for x in some for p in want[x["rule_id"]])
+
+
+def test_windows_are_not_folded_again(spark):
+    """No frame has a moving lower bound, whatever the window's length."""
+    m = measure(spark, [("a/t", i, i % 7) for i in range(200)])
+    keys = m.select("node_id", "path").distinct()
+    rows, asks = windows.values(m), keys.join(m.select("node_id", F.col("ts_ns").alias("t_ns"), F.lit(windows.LAST_SEQ).alias("seq")), "node_id")
+    for agg in ("max", "avg", "last"):
+        found = windows.look(rows, asks, 20, agg)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "RangeFrame" not in plan and "unboundedpreceding" in plan.lower()
+        got = {x.t_ns: x.num for x in found.collect()}
+        fold = {"max": max, "avg": lambda x: sum(x) / len(x), "last": lambda x: x[-1]}[agg]
+        assert got == {t: pytest.approx(fold([i % 7 for i in range(max(0, t - 20), t + 1)])) for t in range(200)}
+
+
 def test_rules_with_a_glob_per_device(spark):
     """More globs than could be plan branches; each condition reads its own node's series."""
     n = 300

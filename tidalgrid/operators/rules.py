@@ -3,10 +3,14 @@
 A condition looks at the closed window ``[t - window, t]``; the row of ``t`` itself is visible. Rules are data: they are
 exploded to conditions, and the catalog tells which series each condition reads.
 
+Evaluations are times ``(node_id, t_ns)``, at which all rows up to that time count, or inserted rows ``(node_id, t_ns, seq)``: then
+only rows that had arrived count (see ``windows``), whatever their order in time.
+
 Where any series suffices, a series' answer can change only when a row enters or leaves the window. So answers are found at
-these points, and turned into the times at which a series begins or ceases to hold; the sum of these along a condition's time
-line tells at each evaluation how many series hold. The work grows with rows and evaluations, not with their product.
-Conditions over all series are answered for each series at each evaluation time.
+these points, and turned into the places at which a series begins or ceases to hold. The sum of these along a condition's line, cut
+into slabs with carries, tells how many series hold; evaluations meet it only in slabs where any does. Late rows change answers at
+single evaluations; these are asked for one by one. Conditions over all series are answered for each series and evaluation. No window is
+folded again for its next answer.
 
 There is one plan for each distinct pair of window and aggregate, and these are few.
 """
@@ -21,10 +25,8 @@ from pyspark.sql import functions as F
 
 from tidalgrid import schema, session
 from tidalgrid.functions import compare, glob, template
-from tidalgrid.operators import catalog
-
-#: A condition without an aggregate looks at the last value.
-LAST = "last"
+from tidalgrid.operators import catalog, windows
+from tidalgrid.operators.windows import FIRST_SEQ, LAST, LAST_SEQ
 
 
 def conditions_of(rules: DataFrame) -> DataFrame:
@@ -50,73 +52,98 @@ def bind(conditions: DataFrame, series: DataFrame) -> DataFrame:
 IDS = ["node_id", "rule_id", "logic", "pos", "op", "t_double", "t_long", "t_bool", "t_text", "agg", "aggregate_series"]
 
 
-def _values(meas: DataFrame) -> DataFrame:
-    return meas.select("node_id", "path", F.col("ts_ns").alias("t_ns"), "seq", schema.v_num().alias("num"), F.col("v_bool").alias("bool"), F.col("v_text").alias("text"), F.lit(False).alias("asked"))
-
+def _evaluations(times: DataFrame) -> DataFrame:
+    """(node_id, t_ns, seq); without ``seq`` all rows of a time have arrived."""
+    return (times if "seq" in times.columns else times.withColumn("seq", F.lit(LAST_SEQ))).select("node_id", "t_ns", "seq").distinct()
 
-def _nothing(t: DataFrame) -> DataFrame:
-    """Rows (node_id, path, t_ns) at which a series is looked at, without values."""
-    return t.select("node_id", "path", "t_ns", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("asked"))
 
-
-def _in_window(rows: DataFrame, window_ns: int, agg: str) -> DataFrame:
-    """``num, bool, text`` of the window before each asked row, and ``some``, whether it has data."""
-    w = Window.partitionBy("node_id", "path").orderBy("t_ns").rangeBetween(-window_ns, 0)
-    if agg == LAST:
-        best = F.max_by(F.struct("num", "bool", "text"), F.when(~F.col("asked"), F.struct(F.col("t_ns"), -F.col("seq")))).over(w)
-        return rows.withColumn("v", best).where("asked").select("node_id", "path", "t_ns", "v.*", F.col("v").isNotNull().alias("some"))
-    v = F.col("num")
-    fold = {"avg": F.avg(v), "max": F.max(v), "min": F.min(v), "sum": F.sum(v), "count": F.count(v)}.get(agg, F.lit(None).cast("double"))
-    found = rows.withColumn("n", F.count(v).over(w)).withColumn("num", fold.over(w).cast("double") if agg in schema.AGGREGATES else fold).where("asked")
-    return found.select("node_id", "path", "t_ns", "num", F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"), (F.col("n") > 0).alias("some"))
+def _marked(meas: DataFrame, times: DataFrame) -> DataFrame:
+    """Values, with ``late`` where evaluations are inserted rows."""
+    if "seq" not in times.columns:
+        return windows.values(meas)
+    return session.keep(windows.values(windows.mark_late(meas)), "arrivals")
 
 
 def _kinds(bound: DataFrame) -> list[tuple[int, str, DataFrame]]:
     """(window, aggregate, conditions with ``pattern`` and the series' ``path``) for each distinct pair."""
     found = [tuple(r) for r in bound.select("window_ns", F.coalesce("agg", F.lit(LAST)).alias("agg")).distinct().collect()]
     own = bound.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path")
-    return [(w, a, own.where((F.col("window_ns") == w) & (F.coalesce("agg", F.lit(LAST)) == a))) for w, a in found if w is not None]
+    return [(w, a, own.where((F.col("window_ns") == w) & (F.coalesce("agg", F.lit(LAST)) == a))) for w, a in found if w is not None and w >= 0]
 
 
-def evaluate_conditions(meas: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
-    """For each bound condition, series and evaluation time (``node_id, t_ns``) with data in the window: ``num, bool, text``."""
+def evaluate_conditions(rows: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
+    """For each bound condition, series and evaluation with data in the window: ``t_ns, seq, num, bool, text``."""
     out = None
     for window_ns, agg, mine in _kinds(bound):
         keys = mine.select("node_id", "path").distinct()
-        rows = _values(meas).join(keys, ["node_id", "path"], "left_semi").unionByName(_nothing(keys.join(times.select("node_id", "t_ns").distinct(), "node_id")))
-        part = mine.join(_in_window(rows, window_ns, agg).where("some").drop("some"), ["node_id", "path"])
+        found = windows.look(rows.join(keys, ["node_id", "path"], "left_semi"), keys.join(times, "node_id"), window_ns, agg)
+        part = mine.join(found.where("some").drop("some"), ["node_id", "path"])
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = bound.withColumnRenamed("path", "pattern").withColumnRenamed("series_path", "path").where("false")
-        out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("t_ns", "long"), ("num", "double"), ("bool", "boolean"), ("text", "string"))])
+        out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("t_ns", "long"), ("seq", "long"), ("num", "double"), ("bool", "boolean"), ("text", "string"))])
     return out
 
 
-def turns(meas: DataFrame, bound: DataFrame) -> DataFrame:
-    """(node_id, rule_id, logic, pos, t_ns, delta): where a series begins (1) or ceases (-1) to fulfil a condition."""
+PLACE = ["node_id", "rule_id", "logic", "pos", "t_ns", "seq"]
+
+
+def turns(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """(node_id, rule_id, logic, pos, t_ns, seq, delta): where a series begins (1) or ceases (-1) to fulfil a condition; late rows
+    aren't looked at."""
     out = None
+    if "late" in rows.columns:
+        rows = rows.where("not late").drop("late")
+        entry, leave = F.col("seq"), F.lit(FIRST_SEQ)
+    else:
+        entry = leave = F.lit(LAST_SEQ)
     for window_ns, agg, mine in _kinds(bound):
-        keys = mine.select("node_id", "path").distinct()
-        values = _values(meas).join(keys, ["node_id", "path"], "left_semi")
-        # a row counts from its own time on and leaves one nanosecond after the window
-        points = values.select("node_id", "path", F.explode(F.array(F.col("t_ns"), F.col("t_ns") + F.lit(window_ns + 1))).alias("t_ns")).distinct()
-        found = _in_window(values.unionByName(_nothing(points)), window_ns, agg)
-        held = mine.join(found, ["node_id", "path"]).withColumn("now", (F.col("some") & _holds()).cast("int"))
-        order = Window.partitionBy("node_id", "rule_id", "logic", "pos", "path").orderBy("t_ns")
-        part = held.withColumn("delta", F.col("now") - F.coalesce(F.lag("now").over(order), F.lit(0))).where("delta != 0").select("node_id", "rule_id", "logic", "pos", "t_ns", "delta")
+        own = rows.join(mine.select("node_id", "path").distinct(), ["node_id", "path"], "left_semi")
+        # a row counts from its own place on and leaves one nanosecond after the window
+        points = F.array(F.struct(F.col("t_ns"), entry.alias("seq")), F.struct((F.col("t_ns") + F.lit(window_ns + 1)).alias("t_ns"), leave.alias("seq")))
+        asks = own.select("node_id", "path", F.inline(points)).distinct()
+        held = mine.join(windows.look(own, asks, window_ns, agg), ["node_id", "path"]).withColumn("now", (F.col("some") & _holds()).cast("int"))
+        order = Window.partitionBy("node_id", "rule_id", "logic", "pos", "path").orderBy("t_ns", "seq")
+        part = held.withColumn("delta", F.col("now") - F.coalesce(F.lag("now").over(order), F.lit(0))).where("delta != 0").select(*PLACE, "delta")
+        out = part if out is None else out.unionByName(part)
+    return bound.select(*PLACE[:4], F.lit(0).cast("long").alias("t_ns"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("delta")).where("false") if out is None else out
+
+
+def late_changes(rows: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
+    """(node_id, rule_id, logic, pos, t_ns, seq, n): at which evaluations late rows make a series fulfil a condition (1), or no
+    longer (-1)."""
+    out = None
+    for window_ns, agg, mine in _kinds(bound):
+        own = rows.join(mine.select("node_id", "path").distinct(), ["node_id", "path"], "left_semi")
+        asks = windows.late_asks(own.where("late"), times, window_ns)
+        states = [windows.look(x, asks, window_ns, agg) for x in (own, own.where("not late").drop("late"))]
+        both = [mine.join(x, ["node_id", "path"]).select(*PLACE, "path", F.coalesce(F.col("some") & _holds(), F.lit(False)).cast("int").alias(name)) for x, name in zip(states, ("with", "without"), strict=True)]
+        part = both[0].join(both[1], [*PLACE, "path"]).where("with != without").select(*PLACE, (F.col("with") - F.col("without")).cast("long").alias("n"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = bound.select("node_id", "rule_id", "logic", "pos", F.lit(0).cast("long").alias("t_ns"), F.lit(0).alias("delta")).where("false")
     return out
 
 
-def any_truth(meas: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
-    """(node_id, rule_id, logic, pos, t_ns, holds): the evaluation times at which any series fulfils a condition."""
-    ids = ["node_id", "rule_id", "logic", "pos"]
-    asked = bound.select(*ids).distinct().join(times.select("node_id", "t_ns").distinct(), "node_id").select(*ids, "t_ns", F.lit(0).alias("delta"), F.lit(True).alias("asked"))
-    line = turns(meas, bound).groupBy(*ids, "t_ns").agg(F.sum("delta").cast("int").alias("delta")).select(*ids, "t_ns", "delta", F.lit(False).alias("asked"))
-    holding = F.sum("delta").over(Window.partitionBy(*ids).orderBy("t_ns").rangeBetween(Window.unboundedPreceding, 0))
-    return line.unionByName(asked).withColumn("n", holding).where("asked and n > 0").select(*ids, "t_ns", F.lit(True).alias("holds"))
+def any_truth(rows: DataFrame, bound: DataFrame, times: DataFrame) -> DataFrame:
+    """(node_id, rule_id, logic, pos, t_ns, seq, holds): the evaluations at which any series fulfils a condition."""
+    ids = PLACE[:4]
+    times, width, last = windows.slabbed(times, "t_ns")
+    line = session.keep(turns(rows, bound).groupBy(*PLACE).agg(F.sum("delta").cast("long").alias("delta")).where("delta != 0").withColumn("slab", windows.pane(width)), "turns")
+    along = Window.partitionBy(*ids).orderBy("slab")
+    totals = line.groupBy(*ids, "slab").agg(F.sum("delta").alias("all"))
+    totals = totals.withColumn("carry", F.coalesce(F.sum("all").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next", F.coalesce(F.lead("slab").over(along), F.lit(last + 1)))
+    # a slab without turns is as the one before has left it
+    still = totals.where("carry + all > 0 and next > slab + 1").select(*ids, F.explode(F.sequence(F.col("slab") + 1, F.col("next") - 1)).alias("slab"), (F.col("carry") + F.col("all")).alias("carry"))
+    spans = totals.select(*ids, "slab", "carry").unionByName(still)
+    first = spans.select(*ids, "slab", F.lit(FIRST_SEQ).alias("t_ns"), F.lit(FIRST_SEQ).alias("seq"), F.col("carry").alias("delta"), F.lit(0).alias("asked"))
+    asked = spans.select(*ids, "slab").join(times, ["node_id", "slab"]).select(*ids, "slab", "t_ns", "seq", F.lit(0).cast("long").alias("delta"), F.lit(1).alias("asked"))
+    both = first.unionByName(line.select(*ids, "slab", "t_ns", "seq", "delta", F.lit(0).alias("asked"))).unionByName(asked)
+    holding = F.sum("delta").over(Window.partitionBy(*ids, "slab").orderBy("t_ns", "seq", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("n", holding).where("asked = 1 and n > 0").select(*PLACE, "n")
+    if "late" in rows.columns and not rows.where("late").isEmpty():
+        changes = late_changes(rows, bound, times.drop("slab"))
+        if changes is not None:
+            found = found.unionByName(changes).groupBy(*PLACE).agg(F.sum("n").alias("n")).where("n > 0")
+    return found.select(*PLACE, F.lit(True).alias("holds"))
 
 
 def _holds() -> Column:
@@ -128,42 +155,51 @@ def _holds() -> Column:
 def condition_truth(results: DataFrame) -> DataFrame:
     """Folds the series of conditions with ``aggregate_series``: the first one by path (last values) or the aggregate of the
     series' aggregates is compared."""
-    first = results.where("agg is null").groupBy(*IDS, "t_ns").agg(F.min_by(F.struct("num", "bool", "text"), "path").alias("v")).select(*IDS, "t_ns", "v.*")
+    ids = [*IDS, "t_ns", "seq"]
+    first = results.where("agg is null").groupBy(*ids).agg(F.min_by(F.struct("num", "bool", "text"), "path").alias("v")).select(*ids, "v.*")
     folded = {"avg": F.avg("num"), "max": F.max("num"), "min": F.min("num"), "sum": F.sum("num"), "count": F.count("num").cast("double")}
     value = F.lit(None).cast("double")
-    group = results.where("agg is not null").groupBy(*IDS, "t_ns").agg(*[x.alias(f"_{k}") for k, x in folded.items()])
+    group = results.where("agg is not null").groupBy(*ids).agg(*[x.alias(f"_{k}") for k, x in folded.items()])
     for k in folded:
         value = F.when(F.col("agg") == k, F.col(f"_{k}")).otherwise(value)
-    group = group.select(*IDS, "t_ns", value.alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
-    return first.unionByName(group).select("node_id", "rule_id", "logic", "pos", "t_ns", _holds().alias("holds")).where("holds")
+    group = group.select(*ids, value.alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("text"))
+    return first.unionByName(group).select(*PLACE, _holds().alias("holds")).where("holds")
+
+
+def _held(meas: DataFrame, series: DataFrame, conditions: DataFrame, times: DataFrame) -> DataFrame:
+    """(node_id, rule_id, t_ns, seq, fired): the evaluations at which any condition of a rule holds."""
+    bound = session.keep(bind(conditions, series), "bound")
+    whole = F.coalesce("aggregate_series", F.lit(False))
+    rows, asked = _marked(meas, times), _evaluations(times)
+    truth = any_truth(rows, bound.where(~whole), asked)
+    if not bound.where(whole).isEmpty():
+        truth = truth.unionByName(condition_truth(evaluate_conditions(rows, bound.where(whole), asked)))
+    sizes = conditions.groupBy("node_id", "rule_id", "logic").agg(F.count("*").alias("n"))
+    held = truth.groupBy("node_id", "rule_id", "t_ns", "seq").agg(F.sum(F.col("holds").cast("int")).alias("held"))
+    return held.join(sizes, ["node_id", "rule_id"]).select("node_id", "rule_id", "t_ns", "seq", F.when(F.col("logic") == "OR", F.col("held") > 0).otherwise(F.col("held") == F.col("n")).alias("fired"))
 
 
 def evaluate_rules(meas: DataFrame, series: DataFrame, rules: DataFrame, times: DataFrame) -> DataFrame:
-    """``node_id, rule_id, t_ns, fired`` for each active rule with conditions and each evaluation time of its node.
+    """``node_id, rule_id, t_ns, fired`` (and ``seq`` if ``times`` has it) for each active rule with conditions and each evaluation of
+    its node.
 
     Conditions without data or without any series are false; rules without conditions don't appear.
     """
     conditions = conditions_of(rules)
-    bound = session.keep(bind(conditions, series), "bound")
-    whole = F.coalesce("aggregate_series", F.lit(False))
-    truth = any_truth(meas, bound.where(~whole), times)
-    if not bound.where(whole).isEmpty():
-        truth = truth.unionByName(condition_truth(evaluate_conditions(meas, bound.where(whole), times)))
-    sizes = conditions.groupBy("node_id", "rule_id", "logic").agg(F.count("*").alias("n"))
-    held = truth.groupBy("node_id", "rule_id", "t_ns").agg(F.sum(F.col("holds").cast("int")).alias("held"))
-    grid = sizes.join(times.select("node_id", "t_ns").distinct(), "node_id")
-    return grid.join(held, ["node_id", "rule_id", "t_ns"], "left").select(
-        "node_id", "rule_id", "t_ns", F.when(F.col("logic") == "OR", F.coalesce("held", F.lit(0)) > 0).otherwise(F.coalesce("held", F.lit(0)) == F.col("n")).alias("fired")
-    )
+    held = _held(meas, series, conditions, times).where("fired")
+    grid = conditions.select("node_id", "rule_id").distinct().join(_evaluations(times), "node_id").join(held, ["node_id", "rule_id", "t_ns", "seq"], "left")
+    return grid.select("node_id", "rule_id", "t_ns", *[c for c in ("seq",) if c in times.columns], F.coalesce("fired", F.lit(False)).alias("fired"))
 
 
 def insert_times(meas: DataFrame) -> DataFrame:
-    """Every insert evaluates all rules of its node at the inserted row's time."""
-    return meas.select("node_id", F.col("ts_ns").alias("t_ns")).distinct()
+    """Every insert evaluates all rules of its node at the inserted row's time, over what has arrived."""
+    return meas.select("node_id", F.col("ts_ns").alias("t_ns"), "seq")
 
 
-def replay(meas: DataFrame, series: DataFrame, rules: DataFrame) -> DataFrame:
-    return evaluate_rules(meas, series, rules, insert_times(meas)).where("fired")
+def replay(meas: DataFrame, series: DataFrame, rules: DataFrame, inserts: DataFrame | None = None) -> DataFrame:
+    """``node_id, rule_id, t_ns, seq, fired`` of the inserts at which a rule fires; no row is made for a rule that doesn't hold.
+    ``inserts`` are the evaluated ones, if not all of ``meas``."""
+    return _held(meas, series, conditions_of(rules), insert_times(meas if inserts is None else inserts)).where("fired")
 
 
 def validate(rules: DataFrame, series: DataFrame) -> DataFrame:
@@ -208,29 +244,32 @@ def state(rules: DataFrame, enabled: bool = True) -> DataFrame:
 
 
 def context(fired: DataFrame, meas: DataFrame, series: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each fired rule and time: ``serie``, the first series of its first condition with data, and ``context``, a map of
+    """For each fired rule and evaluation: ``serie``, the first series of its first condition with data, and ``context``, a map of
     each series to its last value in the window."""
     bound = session.keep(bind(conditions_of(rules), series).withColumn("agg", F.lit(None).cast("string")), "bound")
-    fired = session.keep(fired, "fired")
-    hits = evaluate_conditions(meas, bound, fired.select("node_id", "t_ns").distinct()).join(fired.where("fired").select("node_id", "rule_id", "t_ns"), ["node_id", "rule_id", "t_ns"], "left_semi")
-    one = hits.groupBy("node_id", "rule_id", "t_ns", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("num", "bool", "text"), "pos").alias("v")).select("node_id", "rule_id", "t_ns", "path", "pos", "v.*")
+    place = [c for c in ("node_id", "rule_id", "t_ns", "seq") if c in fired.columns]
+    fired = session.keep(fired.where("fired"), "fired").select(*place)
+    times = fired.drop("rule_id")
+    hits = evaluate_conditions(_marked(meas, times), bound, _evaluations(times)).join(fired, place, "left_semi")
+    one = hits.groupBy(*place, "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("num", "bool", "text"), "pos").alias("v")).select(*place, "path", "pos", "v.*")
     entries = F.array_sort(F.collect_list(F.struct("path", "num", "bool", "text")))
-    found = one.groupBy("node_id", "rule_id", "t_ns").agg(F.min_by("path", F.struct("pos", "path")).alias("serie"), entries.alias("e"))
+    found = one.groupBy(*place).agg(F.min_by("path", F.struct("pos", "path")).alias("serie"), entries.alias("e"))
     value = lambda e: F.coalesce(e["num"].cast("variant"), e["bool"].cast("variant"), e["text"].cast("variant"))
-    return found.select("node_id", "rule_id", "t_ns", "serie", F.map_from_entries(F.transform("e", lambda e: F.struct(e["path"], value(e)))).alias("context"))
+    return found.select(*place, "serie", F.map_from_entries(F.transform("e", lambda e: F.struct(e["path"], value(e)))).alias("context"))
 
 
 def build_commands(contexts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``topic`` and JSON ``value`` of each action of each fired rule. ``comando`` leaves the parameters, and names that start
+    """``topic`` and JSON ``value`` of each action of each fired rule (at its ``seq``, where arrival counts). ``comando`` leaves the parameters, and names that start
     with ``_`` leave the context, whose values keep their types.
 
     An action whose topic comes out empty fails: it has an ``error`` and no value, and its rule's later actions don't run.
     """
+    place = [c for c in ("node_id", "rule_id", "t_ns", "seq") if c in contexts.columns]
     acts = rules.select("node_id", "rule_id", "name", F.posexplode("actions").alias("step", "a")).select("node_id", "rule_id", "name", "step", "a.*")
     rows = contexts.join(acts, ["node_id", "rule_id"])
     topic = template.resolve(F.col("target"), F.col("params"), F.col("rule_id"), F.col("name"), F.col("serie"))
     rows = rows.withColumn("topic", topic).withColumn("error", F.when(F.coalesce("topic", F.lit("")) == "", "empty topic"))
-    stop = F.min(F.when(F.col("error").isNotNull(), F.col("step"))).over(Window.partitionBy("node_id", "rule_id", "t_ns"))
+    stop = F.min(F.when(F.col("error").isNotNull(), F.col("step"))).over(Window.partitionBy(*place))
     rows = rows.withColumn("stop", stop).where("stop is null or step <= stop")
     body = F.to_json(
         F.struct(
@@ -241,7 +280,7 @@ def build_commands(contexts: DataFrame, rules: DataFrame) -> DataFrame:
             F.map_filter("context", lambda k, _: ~k.startswith("_")).alias("contexto"),
         )
     )
-    return rows.select("node_id", "rule_id", "t_ns", "step", "kind", "topic", F.when(F.col("error").isNull(), body).alias("value"), "error")
+    return rows.select(*place, "step", "kind", "topic", F.when(F.col("error").isNull(), body).alias("value"), "error")
 
 
 def to_files(commands: DataFrame, path: str, mode: str = "append") -> None:
@@ -277,7 +316,7 @@ class Handlers:
 
     def run(self, commands: DataFrame) -> None:
         """``commands`` are computed once, and are kept for all steps."""
-        firing = ["node_id", "rule_id", "t_ns"]
+        firing = [c for c in ("node_id", "rule_id", "t_ns", "seq") if c in commands.columns]
         commands = commands.where("error is null").persist()
         try:
             for step, kind in sorted((r["step"], r["kind"]) for r in commands.select("step", "kind").distinct().collect()):

@@ -289,6 +289,18 @@ def _(s, d):
     return rules_.replay(m, v.keys(m), v.rules(s, d)).groupBy("node_id", "rule_id").agg(F.count("*").alias("n_fired"), F.min("t_ns").alias("first_ns"))
 
 
+@add("rule_arrival", f"""WITH {_RULES}, a AS (SELECT node_id, path, ts_ns, v, (seq * 48271) % 2147483647 AS seq FROM m), t AS (SELECT node_id, ts_ns AS t_ns, seq FROM a),
+  c1 AS (SELECT ru.dev, t.t_ns, t.seq, arg_max(a.v, a.ts_ns) > any_value(lim) AS ok FROM ru JOIN t ON t.node_id = ru.node_id JOIN a ON a.path = ru.dev || '/click' AND a.ts_ns BETWEEN t.t_ns - {5 * v.DAY} AND t.t_ns AND a.seq <= t.seq GROUP BY ru.dev, t.t_ns, t.seq),
+  c2 AS (SELECT ru.dev, t.t_ns, t.seq, avg(a.v) < any_value(lim) * 1.5 AS ok FROM ru JOIN t ON t.node_id = ru.node_id JOIN a ON a.path = ru.dev || '/view' AND a.ts_ns BETWEEN t.t_ns - {10 * v.DAY} AND t.t_ns AND a.seq <= t.seq GROUP BY ru.dev, t.t_ns, t.seq),
+  e AS (SELECT ru.node_id, 'rule_' || ru.dev AS rule_id, t.t_ns, t.seq, CASE WHEN user_id % 2 = 0 THEN coalesce(c1.ok, false) AND coalesce(c2.ok, false) ELSE coalesce(c1.ok, false) OR coalesce(c2.ok, false) END AS fired
+    FROM ru JOIN t ON t.node_id = ru.node_id LEFT JOIN c1 ON c1.dev = ru.dev AND c1.seq = t.seq LEFT JOIN c2 ON c2.dev = ru.dev AND c2.seq = t.seq)
+  SELECT node_id, rule_id, count(*) AS n_fired, min(t_ns) AS first_ns, min(seq) AS first_seq, sum(t_ns % 1000003)::BIGINT AS mix FROM e WHERE fired GROUP BY ALL""")
+def _(s, d):
+    m = v.by_kind(s, d).withColumn("seq", F.expr("(seq * 48271) % 2147483647"))
+    fired = rules_.replay(m, v.keys(m), v.rules(s, d))
+    return fired.groupBy("node_id", "rule_id").agg(F.count("*").alias("n_fired"), F.min("t_ns").alias("first_ns"), F.min("seq").alias("first_seq"), F.sum(F.col("t_ns") % 1000003).alias("mix"))
+
+
 add("rule_state", f"WITH {v.EV}, u AS (SELECT DISTINCT user_id FROM ev) SELECT true AS enabled, count(*) FILTER (user_id % 5 <> 0) AS n_active, count(*) AS n_rules FROM u")(lambda s, d: rules_.state(v.rules(s, d)))
 
 

@@ -94,7 +94,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def rule_stream(rows: DataFrame, series: DataFrame, rules: DataFrame, history_path: str, handlers: rules_.Handlers, checkpoint: str, sink: Callable[[DataFrame], None] | None = None):
-    """Evaluates the rules at each batch's insert times over history and batch, and hands the commands on.
+    """Evaluates the rules at each inserted row of a batch over what had arrived by then, and hands the commands on.
 
     Batches are appended to ``history_path`` under their number, so a repeated batch replaces itself; history older than
     the longest window isn't read. Commands can be told apart by rule and time.
@@ -109,7 +109,7 @@ def rule_stream(rows: DataFrame, series: DataFrame, rules: DataFrame, history_pa
         own.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
         low = own.agg(F.min("ts_ns")).first()[0] - longest
         past = spark.read.parquet(history_path).where((F.col("batch") <= number) & (F.col("ts_ns") >= low)).drop("batch")
-        fired = rules_.evaluate_rules(past, series, rules, rules_.insert_times(own)).where("fired")
+        fired = rules_.replay(past, series, rules, own)
         commands = rules_.build_commands(rules_.context(fired, past, series, rules), rules)
         handlers.run(commands)
         if sink:
