@@ -150,35 +150,45 @@ def test_large_groups_and_chains(spark, block, refined):
     assert result(got) == sorted(sketches.brute_force(rows), key=repr)
 
 
-def test_first_rounds_are_linear(spark):
-    """In a large group of near copies the first rounds make a candidate for each node, block and pivot, never pairs of all."""
+def test_rounds_are_linear(spark):
+    """A large group of near copies: rows and candidates for each node, block and pivot, never pairs of all."""
     r = random.Random(5)
     base = prose(1, 200)
     docs = table(spark, [(i, near(base, r, 1)) for i in range(600)])
-    signed = sketches.sketches(docs)
-    nodes = signed.select(F.col("doc_id").alias("node"), "sketch", "low")
+    nodes = sketches.sketches(docs).select(F.col("doc_id").alias("node"), "sketch", "low").cache()
     lists = nodes.select(F.explode("low").alias("list"), "node")
-    plan = sketches.planned(lists, nodes, None, True, 32).cache()
-    biggest = plan.groupBy("list", "i", "j").count().agg(F.max("count")).first()[0]
+    plan = sketches.planned(lists, nodes, None, 32).cache()
+    biggest = plan.groupBy("list", "block").count().agg(F.max("count")).first()[0]
     assert biggest < 100 and plan.count() < 1.3 * lists.count()
-    found = sketches.candidates(plan, 1, True, sketches.KEPT, 85)
-    assert found.where("a is not null").count() < 1.5 * lists.count()
+    found = sketches.candidates(plan, 1)
+    assert found.where("a is not null").count() < 3 * nodes.count()
     # nodes of one component aren't compared again
     roots = nodes.select("node", F.lit(0).cast("long").alias("root"))
-    assert sketches.planned(lists, nodes, roots, False, 32).count() == 0
-    # one stray: each block meets the stray's block only
+    assert sketches.planned(lists, nodes, roots, 32).count() == 0 and sketches.split(lists, roots, 10).count() == lists.count()
+    # a stray asks in every block, the others nowhere
     roots = nodes.select("node", F.when(F.col("node") == 7, 7).otherwise(0).cast("long").alias("root"))
     one = lists.where(F.col("list") == lists.groupBy("list").count().orderBy(F.desc("count")).first()["list"])
-    met = sketches.planned(one, nodes, roots, False, 32).select("i", "j").distinct().count()
-    assert met <= one.count() / 32 + 1
+    met = sketches.planned(one, nodes, roots, 32)
+    assert met.where("asking").count() <= one.count() / 32 + 1 and met.where("not asking").count() <= one.count()
+
+
+def test_scattered_lists_are_split(spark):
+    lists = table(spark, [(v, n) for n in range(40) for v in (1, 2 if n % 2 else 3, 4 + n // 4)], "list long, node long")
+    none = table(spark, [], "node long, root long")
+    found = sketches.split(lists, none, 10)
+    groups = {frozenset(r.n) for r in found.groupBy("list").agg(F.collect_list("node").alias("n")).collect()}
+    assert groups == {frozenset(range(1, 40, 2)), frozenset(range(0, 40, 2)), *[frozenset(range(4 * i, 4 * i + 4)) for i in range(10)]}
+
+
+def proposed(nodes, roots, own):
+    every = np.ones(len(nodes), bool)
+    return sketches.propose(np.array(nodes), np.array(roots), every, every, own, 5, 128, 85)
 
 
 def test_estimate_is_exact_for_small_sets():
     own = [np.array(x, np.uint32) for x in ([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 9], [10, 11])]
-    found, more = sketches.propose([1, 2, 3, 4], np.arange(4), np.zeros(4), own, True, 5, 128, 85)
-    assert found == {(1, 2)} and not more
-    found, more = sketches.propose([1, 2, 3], np.zeros(3), np.zeros(3), own[:3], True, 5, 128, 85)
-    assert not found and not more
+    assert proposed([1, 2, 3, 4], range(4), own) == ({(1, 2)}, False)
+    assert proposed([1, 2, 3], [0, 0, 0], own[:3]) == (set(), False)
 
 
 def test_union_sketches_estimate():
@@ -188,8 +198,7 @@ def test_union_sketches_estimate():
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.95], r.integers(0, 1 << 32, 40, np.uint64).astype(np.uint32)]))
         union = np.union1d(a, b)[:128]
         want = np.isin(union, a) & np.isin(union, b)
-        found, _ = sketches.propose([1, 2], np.arange(2), np.zeros(2), [a[:128], b[:128]], True, 5, 128, 85)
-        assert bool(found) == bool(want.mean() >= 0.85 - 4.5 * np.sqrt(0.85 * 0.15 / 128) - 1e-9)
+        assert bool(proposed([1, 2], [1, 2], [a[:128], b[:128]])[0]) == bool(want.mean() >= 0.85 - 4.5 * np.sqrt(0.85 * 0.15 / 128) - 1e-9)
 
 
 def test_repeated_ids(spark):

@@ -6,15 +6,15 @@ threshold each of the smallest hashes of their union is shared with a probabilit
 all lists with 0.15 ** 10. Within a list, the sketch of the union of two nodes estimates their similarity; pairs whose estimate
 allows the threshold (4.5 standard deviations) are candidates, and these are verified on the full sets.
 
-Links only have to name the components, so candidates come in rounds: first the lists by each node's smallest hash, and for each
-node the partner with the best estimate; verified links join components; then all lists, with the partners that lie in other
-components, 2 for each node and list, then 8, 32, ... until no node has more. Groups of near copies are thus one component
-after the first rounds, and lists whose nodes all lie in one component aren't looked at again. What is left to a search pair by pair
-are nodes near the threshold without a link.
+Links only have to name the components, so candidates come in rounds. In the first one the nodes of each list are compared in blocks,
+which all hold the list's pivots, and each node gets one partner; verified links join components, and a group of near copies
+is one by then. Later only lists that still hold several components are looked at: each node outside its list's largest
+component is compared with all nodes of the list, and gets the 4 best partners of other components, then 32, 256, ... until no
+list has more. So a large group of near copies stays linear, and a search pair by pair is left to nodes near the threshold
+without a link.
 
-Lists of more than ``REFINED`` nodes are split by a second such hash, which two sets at the threshold lack with 1e-6; what stays
-larger than ``BLOCK`` is compared in blocks. In the first two rounds a block meets itself and the list's pivots, so a large
-group of near copies stays linear; later the pairs of blocks that don't lie in one component. No rows of pairs are made but candidates.
+Lists of more than ``REFINED`` nodes most of which lie in different components are split by a second such hash, which two sets at the
+threshold lack with 1e-6. No rows of pairs are made but candidates.
 
 ``doc_id`` must be of an integer type, else ValueError. Texts without words, null ones included, have empty sets and link with
 nothing. Rows that repeat an id are one document; if their texts differ it has the links of each. Rows without an id are returned
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidalgrid.llm.common import UNSPACED, Words, discard, materialize, plain_unions, small_batches, text_blocks, word_grams
+from tidalgrid.llm.common import UNSPACED, Words, materialize, plain_unions, small_batches, text_blocks, word_grams
 from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
 KEPT, LISTED, SPREAD = 128, 10, 4.5
-REFINED, BLOCK = 64, 256
+REFINED, BLOCK = 256, 256
 #: Hashes of the first look at an estimate.
 COARSE = 32
 
@@ -72,9 +72,10 @@ def sketches(docs: DataFrame, kept: int = KEPT, listed: int = LISTED) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key string, size long, sketch binary, low array<long>")
 
 
-def propose(nodes: list[int], roots: np.ndarray, sides: np.ndarray, own: list[np.ndarray], same: bool, partners: int, kept: int, percent: int) -> tuple[set[tuple[int, int]], bool]:
-    """The candidates of a block (``same``) or of two: for each node the best ``partners`` of other components whose estimate allows
-    the threshold, and whether any node has more of them."""
+def propose(nodes: np.ndarray, roots: np.ndarray, asking: np.ndarray, resident: np.ndarray, own: list[np.ndarray], partners: int, kept: int, percent: int) -> tuple[set[tuple[int, int]], bool]:
+    """The candidates of a block: for each ``asking`` node the best ``partners`` among the ``resident`` ones of other components whose
+    estimate allows the threshold, and whether any node has more of them. Estimates well above the threshold are as good as
+    each other; of these the smallest ids come first, so that a node gets the same partners in lists that are alike."""
     lengths = np.array([len(s) for s in own])
     _, inverse = np.unique(np.concatenate(own), return_inverse=True)
     ends = np.cumsum(lengths)
@@ -98,8 +99,8 @@ def propose(nodes: list[int], roots: np.ndarray, sides: np.ndarray, own: list[np
         return rows[good], inside[good] / union[good]
 
     every = np.arange(len(own))
-    for i in range(len(own)):
-        other = roots != roots[i] if same else (roots != roots[i]) & (sides != sides[i])
+    for i in np.flatnonzero(asking).tolist():
+        other = (roots != roots[i]) & resident
         if not other.any():
             continue
         rows = able(i, every, min(COARSE, kept))[0]
@@ -108,61 +109,71 @@ def propose(nodes: list[int], roots: np.ndarray, sides: np.ndarray, own: list[np
             continue
         rows, estimate = able(i, rows, kept)
         more |= len(rows) > partners
-        best = rows[np.lexsort((rows, -estimate))[:partners]]
+        best = rows[np.lexsort((nodes[rows], -np.minimum(estimate, share + 0.05)))[:partners]]
         out.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in best.tolist())
-    return out, more
+    return {(int(x), int(y)) for x, y in out}, more
 
 
-def inverted(nodes: DataFrame, refined: int = REFINED) -> DataFrame:
-    """(list, node): the inverted lists of two nodes and more, of lists with the same nodes one; long ones split by a second hash."""
-    spots = materialize(nodes.select("node", F.explode("low").alias("list")), "spots")
-    counts = spots.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    counted = materialize(spots.join(counts, "list"), "lists")
-    long = counted.where(F.col("n") > refined).groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("l"))
+def inverted(spots: DataFrame) -> DataFrame:
+    """The lists of ``spots`` (list, node) with two nodes and more; of lists with the same nodes one."""
+    same = spots.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mix"), F.min("node").alias("least")).where("n > 1")
+    one = same.groupBy("n", "mix", "least").agg(F.min("list").alias("list")).select("list")
+    return materialize(spots.join(one, "list").select("list", "node"), "lists")
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    return lists.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _largest(known: DataFrame) -> DataFrame:
+    """(list, n, root, most): the size of each list with several components, and its largest one."""
+    counts = known.groupBy("list", "root").agg(F.count("*").alias("k"))
+    return counts.groupBy("list").agg(F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("root"), F.max("k").alias("most")).where("n > most")
+
+
+def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED) -> DataFrame:
+    """``lists`` with those in whose place come the lists of pairs of their hashes: the long ones without a component that has half
+    of their nodes."""
+    found = _largest(_with_roots(lists, roots)).where((F.col("n") > refined) & (2 * F.col("most") < F.col("n"))).select("list")
+    scattered = lists.join(found, "list", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("l"))
     # a node has LISTED values at most, so these arrays are small
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    found = counted.where(F.col("n") <= refined).select("list", "node").unionByName(long.select(F.explode(pairs).alias("list"), "node"))
-    same = found.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mix"), F.min("node").alias("least")).where("n > 1")
-    one = same.groupBy("n", "mix", "least").agg(F.min("list").alias("list")).select("list")
-    out = materialize(found.join(one, "list").select("list", "node"), "lists")
-    discard(spots)
-    discard(counted)
-    return out
-
-
-def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, first: bool, block: int = BLOCK) -> DataFrame:
-    """(list, i, j, mine, node, root, sketch): the nodes of the lists that hold more than one component, by the pairs of
-    blocks that have to be compared."""
-    known = lists if roots is None else lists.join(roots, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
-    sizes = known.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", F.xxhash64("node")).alias("p3")).where("n > 1 and lo != hi")
-    dealt = known.join(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "p1", "p2", "p3"), "list").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    return materialize(lists.join(found, "list", "left_anti").unionByName(inverted(scattered.select(F.explode(pairs).alias("list"), "node"))), "lists")
+
+
+def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """(list, block, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
+
+    Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them each
+    node outside its list's largest component asks in every block.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    if first:
-        pivot = F.col("node").isin(F.col("p1"), F.col("p2"), F.col("p3"))
-        dealt = dealt.withColumn("other", F.explode(F.when(pivot, every).otherwise(F.array("mine"))))
-        dealt = dealt.select("list", F.col("other").alias("i"), F.col("other").alias("j"), "mine", "node", "root")
+    if roots is None:
+        known = lists.withColumn("root", F.col("node"))
+        sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", F.xxhash64("node")).alias("p3"))
+        dealt = known.join(sizes.select("list", blocks, "p1", "p2", "p3"), "list").withColumn("guest", F.col("node").isin(F.col("p1"), F.col("p2"), F.col("p3"))).withColumn("asking", F.lit(True))
     else:
-        ends = dealt.groupBy("list", "mine").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        whole = ends.where("lo = hi").groupBy("list", F.col("lo").alias("root")).agg(F.sort_array(F.collect_list("mine")).alias("done"))
-        # blocks that lie in one and the same component needn't meet
-        inner = ends.select("list", "mine", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")).join(whole.withColumnRenamed("root", "only"), ["list", "only"], "left").select("list", "mine", "done")
-        dealt = dealt.join(inner, ["list", "mine"]).withColumn("other", F.explode(F.when(F.col("done").isNull(), every).otherwise(F.array_except(every, "done"))))
-        dealt = dealt.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root")
-    return dealt.join(nodes.select("node", "sketch"), "node").select("list", "i", "j", "mine", "node", "root", "sketch")
+        known = _with_roots(lists, roots)
+        dealt = known.join(_largest(known).select("list", blocks, F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant")).withColumn("asking", F.col("guest"))
+    dealt = dealt.withColumn("mine", mine).withColumn("block", F.explode(F.when(F.col("guest"), every).otherwise(F.array("mine"))))
+    resident = F.lit(True) if roots is None else F.col("mine") == F.col("block")
+    return dealt.select("list", "block", "node", "root", "asking", resident.alias("resident")).join(nodes.select("node", "sketch"), "node").select("list", "block", "node", "root", "asking", "resident", "sketch")
 
 
-def candidates(plan: DataFrame, partners: int, first: bool, kept: int, percent: int) -> DataFrame:
+def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int = PERCENT) -> DataFrame:
     """(a, b, list): candidates, and the lists in which some node has more of them."""
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plan.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
+    ordered = plan.repartition(n, "list", "block").sortWithinPartitions("list", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], set()
 
         def finish() -> None:
             if len(held) > 1:
-                found, more = propose([h[1] for h in held], np.array([h[2] for h in held]), np.array([h[0] for h in held]), [np.frombuffer(h[3], np.uint32) for h in held], first or at[1] == at[2], partners, kept, percent)
+                columns = [np.array([h[c] for h in held]) for c in range(4)]
+                found, more = propose(*columns, [np.frombuffer(h[4], np.uint32) for h in held], partners, kept, percent)
                 out.update(((a, b, None) for a, b in found), [(None, None, at[0])] if more else [])
 
         def batch() -> pa.RecordBatch:
@@ -170,10 +181,10 @@ def candidates(plan: DataFrame, partners: int, first: bool, kept: int, percent:
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if at != row[:3]:
+                if at != row[:2]:
                     finish()
-                    at, held = row[:3], []
-                held.append(row[3:])
+                    at, held = row[:2], []
+                held.append(row[2:])
             if len(out) > 10_000:
                 yield batch()
                 out = set()
@@ -223,27 +234,26 @@ def classes(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, listed: i
     ids = signed.where("doc_id is not null and size > 0")
     keys = materialize(ids.groupBy("key").agg(F.min("doc_id").alias("node")), "keys")
     nodes = materialize(ids.join(keys, "key").where(F.col("doc_id") == F.col("node")).where(F.col("size") >= smallest(percent)).dropDuplicates(["node", "key"]).select("node", "sketch", "low"), "nodes")
-    lists = inverted(nodes, refined)
+    lists = inverted(nodes.select(F.explode("low").alias("list"), "node"))
     sets = materialize(full_sets(docs, lists.select("node").distinct()), "sets")
     # texts of one id belong together
     links = materialize(ids.join(keys, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"), "links")
-    least = nodes.select(F.array_min("low").alias("list"), "node")
-    tested = links.where("false")
-    roots, step, left = None, 0, lists
-    while step < 3 or not left.isEmpty():
-        # two rounds within blocks, then all pairs of blocks, of lists that have more
-        inner = step < 2
-        plan = planned(left if step else least, nodes, roots, inner, block)
-        found = materialize(candidates(plan, 2 * 4 ** (step - 1) if step else 1, inner, kept, percent), "candidates")
+    tested, roots, partners = links.where("false"), None, 1
+    while True:
+        found = materialize(candidates(planned(lists, nodes, roots, block), partners, kept, percent), "candidates")
         judged = materialize(verified(found.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
         tested = tested.unionByName(judged.select("a", "b"))
         own = judged.where("linked").select("a", "b")
         if roots is None or not own.isEmpty():
             links = links.unionByName(own)
-            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not inner:
-            left = lists.join(found.where("list is not null").select("list").distinct(), "list", "left_semi")
-        step += 1
+            roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        if partners == 1:
+            lists = split(lists, roots, refined)
+        else:
+            lists = lists.join(found.where("list is not null").select("list").distinct(), "list", "left_semi")
+            if lists.isEmpty():
+                break
+        partners = 4 if partners == 1 else 8 * partners
     named = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "key", "size").join(named, "key", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
