@@ -337,6 +337,80 @@ def test_windows_are_not_folded_again(spark):
         assert got == {t: pytest.approx(fold([i % 7 for i in range(max(0, t - 20), t + 1)])) for t in range(200)}
 
 
+def test_blocks_of_a_stream_are_in_arrival_order(spark, tmp_path):
+    """A series with more rows in a batch than an Arrow part holds, out of order."""
+    n = 30_000
+    m = spark.range(n).select(F.lit("n").alias("node_id"), F.lit("a/t").alias("path"), (F.col("id") * 10).alias("ts_ns"), F.col("id").alias("seq"), F.lit("Real").alias("value_type"), F.col("id").cast("double").alias("v_double"), F.lit(None).cast("bigint").alias("v_long"), F.lit(None).cast("boolean").alias("v_bool"), F.lit(None).cast("string").alias("v_text"))
+    m.orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.ROCKSDB)
+    try:
+        made = streams.blocks(streams.read(spark, f"{tmp_path}/in"), 10)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    got = points(spark.read.parquet(f"{tmp_path}/out"), "block", "t_start", "t_end", "n")
+    assert got == [(i, 100 * i, 100 * i + 90, 10) for i in range(n // 10)]
+    assert got == points(storage.blocks(m.withColumn("block_size", F.lit(10))), "block", "t_start", "t_end", "n")
+
+
+def test_a_hot_series_is_numbered_in_slabs(spark):
+    rows = [("a/t" if i % 10 else "b/t", i, i // 300 % 2) for i in range(2000)]
+    m = measure(spark, rows)
+    numbered = storage.number_blocks(m.withColumn("block_size", F.lit(7)))
+    place, want = {}, {}
+    for i, (p, _, _) in enumerate(rows):
+        want[i] = place.get(p, 0) // 7
+        place[p] = place.get(p, 0) + 1
+    assert {r.seq: r.block for r in numbered.collect()} == want
+    for frame in (numbered, encoding.runs(m, "v_double"), encoding.delta_of_delta(m)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        over = [x for x in plan.split("\n") if " Window [" in x or x.startswith("Window [")]
+        assert over and all("slab" in x for x in over)
+    runs = sorted((r.path, r.run, r.value, r.n, r.first_seq) for r in encoding.runs(m, "v_double").collect())
+    flat = [(p, x) for p, _, x, n, _ in runs for _ in range(n)]
+    assert flat == [(p, float(x)) for q in ("a/t", "b/t") for p, _, x in rows if p == q]
+    assert max(n for *_, n, _ in runs) == 255
+    back = encoding.undo_delta_of_delta(encoding.delta_of_delta(m))
+    assert points(back, "path", "seq", "value") == sorted((p, i, t) for i, (p, t, _) in enumerate(rows))
+
+
+def test_dense_buckets_are_linear(spark):
+    m = measure(spark, [("a/t", 5, 1), ("a/t", 900_000, 2), ("b/t", 300_001, 3)])
+    found = aggregate.bucket_aggregate(m, views.keys(m), "*/t", 0, 1_000_000, ["avg", "count"], 10)
+    assert found.count() == 200_000
+    assert points(found.where("avg is not null"), "path", "bucket", "avg", "count") == [("a/t", 0, 1.0, 1.0), ("a/t", 90_000, 2.0, 1.0), ("b/t", 30_000, 3.0, 1.0)]
+    assert "map_from_entries" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_of_json_values(spark):
+    given = ["1", "-7", "1.0", "1.5", "1e3", "true", '"x"', '""', "null", "{", "[1]", '{"a":1}', None, "9223372036854775807", "9223372036854775808"]
+    got = storage.typed(spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, value string")).orderBy("i").collect()
+    assert [r.value_type for r in got] == ["Integer", "Integer", "Real", "Real", "Real", "Boolean", "Text", "Text", None, None, None, None, None, "Integer", "Real"]
+    assert [r.v_long for r in got[:2]] == [1, -7] and [r.v_double for r in got[2:5]] == [1.0, 1.5, 1000.0] and got[5].v_bool is True and got[6].v_text == "x" and got[14].v_double == 2.0**63
+
+
+def test_a_bridge_that_is_restarted_sends_once(spark, tmp_path):
+    subs = spark.createDataFrame([("t", "s1"), ("t", "s2")], "topic string, subscriber string")
+
+    def put(name, ids):
+        rows = [(i, "http", "{\"original\":true,\"topico\":\"t\",\"payload\":\"eA==\",\"interno\":false}") for i in ids]
+        spark.createDataFrame(rows, "id long, origin string, value string").withColumn("ts", F.timestamp_seconds(F.col("id") + 1_700_000_000)).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        sent = spark.readStream.schema("id long, origin string, value string, ts timestamp").parquet(f"{tmp_path}/in/*")
+        out = bridge.deliver_stream(sent, subs, ["id"], "1 hour").select("id", "dest", "subscriber")
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return points(spark.read.parquet(f"{tmp_path}/out"), "id", "dest", "subscriber")
+
+    put("a", [1, 2, 2])
+    once = run()
+    assert once == [(i, d, s) for i in (1, 2) for d in ("coap", "http", "mqtt") for s in ("s1", "s2")]
+    put("b", [2, 3, 1])
+    assert run() == once + [(3, d, s) for d in ("coap", "http", "mqtt") for s in ("s1", "s2")]
+
+
 def test_rules_with_a_glob_per_device(spark):
     """More globs than could be plan branches; each condition reads its own node's series."""
     n = 300

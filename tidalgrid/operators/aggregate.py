@@ -5,7 +5,7 @@ Aggregates see numeric values only; a series with none has null for all of them,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalgrid import schema
@@ -65,16 +65,17 @@ def bucket_of(t0: int, n: int, interval: int) -> Column:
 
 def bucket_rows(rows: DataFrame, t0: int, t1: int, interval: int, aggs: list[str], dense: bool = True) -> DataFrame:
     """Aggregates of each series and bucket of collapsed numbers (``num``); ``dense`` adds the empty buckets of every series that
-    has rows. All of a series' buckets pass through one row, as in its answer."""
+    has rows; the work is linear in the buckets."""
     n = n_buckets(t0, t1, interval)
     if n == 0:
         rows = rows.limit(0)
     sparse = _of_numbers(rows.withColumn("bucket", bucket_of(t0, max(n, 1), interval)), aggs, "bucket")
     if dense:
-        # a series' buckets are put in place of its rows, so that the rows aren't read twice
-        own = sparse.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct(*aggs).alias("v")))).alias("m"))
-        every = F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))
-        sparse = own.select(*KEY, "m", F.explode(every).alias("bucket")).select(*KEY, "bucket", F.try_element_at("m", F.col("bucket")).alias("v")).select(*KEY, "bucket", *[F.col(f"v.{a}").alias(a) for a in aggs])
+        # each bucket with rows brings the empty ones up to the next, the first one those before it, too
+        along = Window.partitionBy(*KEY).orderBy("bucket")
+        gaps = sparse.withColumn("_next", F.coalesce(F.lead("bucket").over(along), F.lit(max(n, 1)).cast("long"))).withColumn("_from", F.when(F.lag("bucket").over(along).isNull(), F.lit(0).cast("long")).otherwise(F.col("bucket")))
+        every = gaps.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.col("_next") - 1)))
+        sparse = every.select(*KEY, F.col("_at").alias("bucket"), *[F.when(F.col("_at") == F.col("bucket"), F.col(a)).alias(a) for a in aggs])
     return sparse.withColumn("start_ns", F.lit(t0) + F.col("bucket") * interval)
 
 

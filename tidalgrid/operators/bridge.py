@@ -42,3 +42,10 @@ def fan_out(messages: DataFrame, routes: tuple = ROUTES) -> DataFrame:
 def deliver(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """One row for each subscriber of a message's exact topic; messages without subscribers are dropped."""
     return messages.join(subscriptions, "topic")
+
+
+def deliver_stream(messages: DataFrame, subscriptions: DataFrame, ids: list[str], delay: str, time: str = "ts") -> DataFrame:
+    """A stream of envelopes (``value``, ``origin``, ``ids``, an event ``time``) as it reaches the subscribers. A message that comes again
+    within ``delay`` is sent once; state is freed after that. ``subscriptions`` is a table, read anew for each micro-batch."""
+    own = messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(ids)
+    return deliver(fan_out(decode(own)), subscriptions)

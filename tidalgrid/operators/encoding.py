@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalgrid import schema
+from tidalgrid.operators import windows
 
 KEY = ["node_id", "path"]
 MAX_RUN, MAX_DICTIONARY = 255, 65_535
@@ -16,15 +17,17 @@ def _order(by: list[str]):
 
 
 def runs(rows: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """Run lengths of equal consecutive values in arrival order, at most 255 each: ``run, value, n, first_seq``."""
+    """Run lengths of equal consecutive values in arrival order, at most 255 each: ``run, value, n, first_seq``. Runs pass from
+    slab to slab of arrival order by carries (see ``windows``)."""
     by = by or KEY
-    w = _order(by)
-    new = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    marked = rows.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(new)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = F.row_number().over(Window.partitionBy(*by, "_run").orderBy("seq"))
-    cut = marked.withColumn("_part", F.floor((inside - 1) / MAX_RUN))
-    out = cut.groupBy(*by, "_run", "_part").agg(F.first(value).alias("value"), F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    return out.withColumn("run", F.row_number().over(Window.partitionBy(*by).orderBy("first_seq"))).select(*by, "run", "value", "n", "first_seq")
+    own = windows.numbered(windows.slabbed(rows.select(*by, "seq", F.col(value).alias("value")), "seq")[0], by, "_place")
+    marked = windows.lagged(own, by, "value", "_before", "_first").withColumn("_new", F.col("_first") | ~F.col("value").eqNullSafe(F.col("_before")))
+    begun = windows.carried(marked, by, [F.col("seq")], F.max, F.when(F.col("_new"), F.col("_place")), "_open")
+    # a run that is too long is cut, so its rows are counted from its first one
+    inside = F.when(F.col("_new"), 0).otherwise(F.col("_place") - F.col("_open"))
+    opens = (inside % MAX_RUN == 0).cast("long")
+    cut = windows.carried(begun.withColumn("_opens", opens), by, [F.col("seq")], F.sum, F.col("_opens"), "_run").withColumn("run", (F.col("_run") + F.col("_opens")).cast("int"))
+    return cut.groupBy(*by, "run").agg(F.any_value("value").alias("value"), F.count("*").alias("n"), F.min("seq").alias("first_seq")).select(*by, "run", "value", "n", "first_seq")
 
 
 def expand(coded: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -42,9 +45,10 @@ def width(x: Column) -> Column:
 def delta_of_delta(rows: DataFrame, value: str = "ts_ns", by: list[str] | None = None) -> DataFrame:
     """``pos`` and ``dod``: the first value, then the first difference, then differences of differences; ``bytes`` each needs."""
     by = by or KEY
-    w = _order(by)
-    d = rows.select(*by, "seq", F.row_number().over(w).alias("pos"), F.col(value).alias("_v")).withColumn("_d", F.col("_v") - F.lag("_v").over(w))
-    dod = F.when(F.col("pos") == 1, F.col("_v")).when(F.col("pos") == 2, F.col("_d")).otherwise(F.col("_d") - F.lag("_d").over(w))
+    own = windows.numbered(windows.slabbed(rows.select(*by, "seq", F.col(value).alias("_own")), "seq")[0], by, "_place")
+    d = windows.lagged(own, by, "_own", "_before", "_first").withColumn("pos", (F.col("_place") + 1).cast("int")).withColumn("_d", F.col("_own") - F.col("_before"))
+    d = windows.lagged(d, by, "_d", "_last", "_none")
+    dod = F.when(F.col("pos") == 1, F.col("_own")).when(F.col("pos") == 2, F.col("_d")).otherwise(F.col("_d") - F.col("_last"))
     return d.withColumn("dod", dod).select(*by, "seq", "pos", "dod", width(F.col("dod")).alias("bytes"))
 
 

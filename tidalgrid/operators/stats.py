@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalgrid import session
+
 #: Bins of about equal numbers of rows that each group is cut into.
 BINS = 256
 
@@ -16,8 +18,13 @@ def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float
     these are put in order, as distinct values with their counts. So no task sorts a group.
     """
     own = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
-    cuts = own.groupBy("g").agg(F.percentile_approx("v", [i / BINS for i in range(1, BINS)]).alias("cuts"))
-    counted = own.groupBy("g", "v").agg(F.count("*").alias("n")).join(cuts, "g").select("g", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
+    return _percentiles(session.keep(own.groupBy("g", "v").agg(F.count("*").alias("n")), "counts"), points).withColumnRenamed("g", group)
+
+
+def _percentiles(counts: DataFrame, points: dict[str, float]) -> DataFrame:
+    """``percentiles`` of kept counts (g, v, n)."""
+    cuts = counts.groupBy("g").agg(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], F.lit(10_000)).alias("cuts"))
+    counted = counts.join(cuts, "g").select("g", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
     before = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counted.groupBy("g", "bin").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy("g")))
     place = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for k, p in points.items()])
@@ -27,15 +34,18 @@ def percentiles(rows: DataFrame, group: str, value: str, points: dict[str, float
     placed = counted.join(asked.select("g", "bin").distinct(), ["g", "bin"], "left_semi").withColumn("upto", F.sum("n").over(upto))
     found = asked.join(placed, ["g", "bin"]).where("inner < upto and inner >= upto - n")
     share = 1 - F.abs(F.col("at") - F.col("rank"))
-    return found.groupBy("g").agg(*[F.sum(F.when(F.col("name") == k, share * F.col("v"))).alias(k) for k in points]).withColumnRenamed("g", group)
+    return found.groupBy("g").agg(*[F.sum(F.when(F.col("name") == k, share * F.col("v"))).alias(k) for k in points])
 
 
 def latency_summary(rows: DataFrame, by: list[str], latency: str = "latency") -> DataFrame:
     """Count, mean, median, 95th and 99th percentile, extremes and sample deviation in milliseconds of nanosecond latencies, in
     hundredths. Groups without latencies have nulls."""
-    own = rows.select(F.struct(*by).alias("g"), F.col(latency).alias("v"))
-    made = {"mean": F.avg("v"), "min": F.min("v"), "max": F.max("v"), "std": F.stddev_samp("v")}
-    plain = own.groupBy("g").agg(F.count("v").alias("n"), *[x.alias(k) for k, x in made.items()])
-    both = plain.join(percentiles(own, "g", "v", {"median": 0.5, "p95": 0.95, "p99": 0.99}), "g", "left")
+    # all figures come from how often each value occurs
+    counts = session.keep(rows.groupBy(F.struct(*by).alias("g"), F.col(latency).cast("double").alias("v")).agg(F.count("*").alias("n")), "counts")
+    n, some = F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.col("v").isNotNull()
+    first = counts.groupBy("g").agg(F.coalesce(n, F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("n")) / n).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    apart = counts.where(some).join(first.select("g", "mean"), "g").groupBy("g").agg(F.sum(F.col("n") * (F.col("v") - F.col("mean")) ** 2).alias("apart"))
+    plain = first.join(apart, "g", "left").withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("apart") / (F.col("n") - 1)))).drop("apart")
+    both = plain.join(_percentiles(counts.where(some), {"median": 0.5, "p95": 0.95, "p99": 0.99}), "g", "left")
     names = ["mean", "median", "p95", "p99", "min", "max", "std"]
     return both.select("g.*", "n", *[(F.rint(F.col(k) / 1e6 * 100) / 100).alias(k) for k in names])

@@ -34,7 +34,7 @@ def slabbed(rows: DataFrame, column: str, slabs: int = SLABS) -> tuple[DataFrame
     """``rows`` with ``slab``, one of ``slabs`` equal spans of ``column``; the span and the last slab."""
     low, high = rows.agg(F.min(column), F.max(column)).first()
     width = ((high or 0) - (low or 0)) // slabs + 1
-    return rows.withColumn("slab", pane(width, column)), width, (high or 0) // width
+    return rows.withColumn("slab", F.coalesce(pane(width, column), F.lit(FIRST_SEQ))), width, (high or 0) // width
 
 
 def carried(rows: DataFrame, keys: list[str], order: list[Column], fold, value: Column, name: str) -> DataFrame:
@@ -49,6 +49,21 @@ def carried(rows: DataFrame, keys: list[str], order: list[Column], fold, value:
     return both.withColumn(name, merged).drop("_v", "_carry", "_local")
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` (see ``slabbed``) with ``name``, a row's place by ``keys`` in arrival order, from 0."""
+    return carried(rows, keys, [F.col("seq")], F.sum, F.lit(1).cast("long"), name)
+
+
+def lagged(rows: DataFrame, keys: list[str], value: str, name: str, first: str) -> DataFrame:
+    """``rows`` (see ``slabbed``) with ``name``, the ``value`` of the row before by ``keys`` in arrival order, and ``first``, whether there
+    is none. The first row of a slab gets the last value of the slab before."""
+    ends = rows.groupBy(*keys, "slab").agg(F.max_by(F.struct(F.col(value).alias("v")), "seq").alias("_end"))
+    ends = ends.select(*keys, "slab", F.lag("_end").over(Window.partitionBy(*keys).orderBy("slab")).alias("_end"))
+    inner = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "slab").orderBy("seq"))
+    both = rows.join(ends, [*keys, "slab"]).withColumn("_end", F.coalesce(inner, F.col("_end")))
+    return both.withColumn(name, F.col("_end.v")).withColumn(first, F.col("_end").isNull()).drop("_end")
+
+
 def values(meas: DataFrame) -> DataFrame:
     """Measurements as rows (node_id, path, t_ns, seq, num, bool, text), and ``late`` if they have it."""
     return meas.select("node_id", "path", F.col("ts_ns").alias("t_ns"), "seq", schema.v_num().alias("num"), F.col("v_bool").alias("bool"), F.col("v_text").alias("text"), *[c for c in ("late",) if c in meas.columns])

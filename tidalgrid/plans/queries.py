@@ -12,7 +12,7 @@ from tidalgrid.functions import compare, glob, template
 from tidalgrid.operators import aggregate, bridge, catalog, encoding, lifecycle, query, stats
 from tidalgrid.operators import rules as rules_
 from tidalgrid.plans import views as v
-from tidalgrid.sources import registry, storage
+from tidalgrid.sources import registry, storage, store
 from tidalgrid.streaming import streams
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -429,6 +429,35 @@ def _(s, d):
     return left.join(objects.groupBy("node_id", "series_id").agg(F.count("*").alias("objects")), ["node_id", "series_id"])
 
 
+# --- stored tiers ---------------------------------------------------------------------------------------------------
+
+
+@add("store_scan", f"WITH {v.TIERS} SELECT node_id, path, ts_ns, v FROM cold WHERE path LIKE '%/click' AND ts_ns BETWEEN {v.T0} AND {v.T1}")
+def _(s, d):
+    """The cold tier written, and a range of some series read by its manifest."""
+    cold, folder = v.tiers(s, d)[1], session.scratch(s, "tier")
+    store.write(cold, folder)
+    return values(store.scan(s, folder, catalog.resolve(v.series(cold), GLOB), v.T0, v.T1))
+
+
+@add("store_migrate", f"{_TIER} SELECT node_id, path, ts_ns, v, CASE WHEN keep > 0 AND fin < {v.NOW} - keep THEN 'cold' ELSE 'hot' END AS tier FROM e")
+def _(s, d):
+    m, folder = v.by_kind(s, d), session.scratch(s, "tiers")
+    store.write(m, f"{folder}/hot")
+    store.migrate(s, f"{folder}/hot", f"{folder}/cold", v.series(m).withColumn("block_size", F.lit(10)), v.NOW, f"{folder}/journal")
+    parts = [values(store.read(s, f"{folder}/{t}")).withColumn("tier", F.lit(t)) for t in ("hot", "cold")]
+    return parts[0].unionByName(parts[1])
+
+
+@add("store_delete", f"WITH {v.KIND} SELECT node_id, path, ts_ns, v FROM m WHERE NOT (path LIKE '%/error' AND user_id % 3 = 0)")
+def _(s, d):
+    m, folder = v.by_kind(s, d), session.scratch(s, "tier")
+    store.write(m, f"{folder}/hot")
+    gone = v.series(m).where(glob.matches(F.col("path"), "*/error") & (F.regexp_extract("path", r"(\d+)/", 1).cast("long") % 3 == 0))
+    store.delete(s, f"{folder}/hot", gone, f"{folder}/journal")
+    return values(store.read(s, f"{folder}/hot"))
+
+
 # --- encodings ------------------------------------------------------------------------------------------------------
 
 
@@ -545,6 +574,13 @@ def _drain(out: DataFrame, mode: str, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*fields), "batch").alias("x")).select(*key, "x.*")
 
 
+def _appended(out: DataFrame) -> DataFrame:
+    """All rows that a stream puts out until the end of its input."""
+    folder = session.scratch(out.sparkSession, "stream")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 @add("stream_buckets", f"WITH {v.KIND} SELECT node_id, path, ts_ns // {v.HOUR * 6} * {v.HOUR * 6} // 1000 AS start_us, round(avg(v), 6) AS avg, count(v)::DOUBLE AS count FROM m GROUP BY ALL")
 def _(s, d):
     found = streams.buckets(_stream(s, d), "6 hours", ["avg", "count"])
@@ -566,3 +602,28 @@ add("stream_last", f"WITH {v.KIND} SELECT node_id, path, ts_ns, seq, v AS num FR
     lambda s, d: _stateful(s, lambda: _drain(streams.last_values(_stream(s, d)), "update", ["node_id", "path"]))
 )
 add("stream_blocks", f"{_BLOCKS} SELECT node_id, path, block::BIGINT AS block, t_start, t_end, n FROM b WHERE n = 10")(lambda s, d: _stateful(s, lambda: _drain(streams.blocks(_stream(s, d), 10), "append", ["node_id", "path", "block"])))
+
+
+@add("stream_ingest", f"WITH {v.KIND} SELECT node_id, path, ts_ns, CASE WHEN user_id % 9 = 0 THEN 'unknown path' WHEN seq % 7 < 3 THEN 'wrong type' END AS reason, CASE WHEN user_id % 9 <> 0 AND seq % 7 >= 3 THEN round(v, 6) END AS v FROM m")
+def _(s, d):
+    """Events as JSON values, some whole numbers, texts and broken ones; users divisible by nine are unknown."""
+    m = v.by_kind(s, d)
+    known = v.series(m).where(F.regexp_extract("path", r"^user_(\d+)/", 1).cast("long") % 9 != 0)
+    number = F.col("v_double").cast("decimal(30,10)")
+    odd = F.col("seq") % 7
+    value = F.when(odd == 0, number.cast("bigint").cast("string")).when(odd == 1, F.to_json(F.struct(number.cast("string").alias("x"))).substr(6, 99)).when(odd == 2, F.lit("{")).otherwise(F.col("v_double").cast("string"))
+    rows = _stream(s, d).select("node_id", "path", "ts_ns", "seq", value.alias("value"))
+    folder = session.scratch(s, "ingest")
+    streams.ingest(rows, lambda: known, f"{folder}/valid", f"{folder}/rejects", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    valid, rejects = (s.read.parquet(f"{folder}/{x}") for x in ("valid", "rejects"))
+    return valid.select("node_id", "path", "ts_ns", F.lit(None).cast("string").alias("reason"), F.round("v_double", 6).alias("v")).unionByName(rejects.select("node_id", "path", "ts_ns", "reason", F.lit(None).cast("double").alias("v")))
+
+
+@add("stream_bridge", ORACLES["bridge_deliver"])
+def _(s, d):
+    """Each envelope comes twice and reaches its subscribers once."""
+    subs = v.table(s, d, "nation").select(F.when(F.col("n_regionkey") % 2 == 0, "user").otherwise("nobody").alias("topic"), F.concat(F.lit("sub_"), F.col("n_nationkey").cast("string")).alias("subscriber"))
+    fields = v.table(s, d, "conversations").schema
+    sent = v.enveloped(s.readStream.schema(fields).parquet(f"{d}/conversations.parque[t]")).withColumn("ts", F.timestamp_seconds("conv_id"))
+    found = bridge.deliver_stream(sent.unionByName(sent), subs, ["conv_id", "turn"], "10 days")
+    return _appended(found).select("conv_id", "turn", "topic", "dest", "subscriber")

@@ -139,7 +139,10 @@ def nodes(spark, sf_dir: str) -> DataFrame:
 
 def messages(spark, sf_dir: str) -> DataFrame:
     """Conversation turns as envelopes; every seventh is not JSON."""
-    c = table(spark, sf_dir, "conversations")
+    return enveloped(table(spark, sf_dir, "conversations"))
+
+
+def enveloped(c: DataFrame) -> DataFrame:
     body = F.to_json(F.struct((F.col("turn") % 2 == 0).alias("original"), F.when(F.col("conv_id") % 11 == 0, F.concat(F.lit("$SYS/"), "role")).otherwise(F.col("role")).alias("topico"), F.base64(F.col("text").cast("binary")).alias("payload"), (F.col("conv_id") % 13 == 0).alias("interno")))
     origin = F.when(F.col("conv_id") % 3 == 0, "http").when(F.col("conv_id") % 3 == 1, "coap").otherwise("mqtt")
     return c.select("conv_id", "turn", origin.alias("origin"), F.when((F.col("conv_id") + F.col("turn")) % 7 == 6, F.lit("not json")).otherwise(body).alias("value"))

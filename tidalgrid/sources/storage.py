@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalgrid import schema
+from tidalgrid.operators import windows
 
 KEY = ["node_id", "path"]
 OBJECT_KEY = r"^([^/]+)/(\d+)_(\d+)_(\d+)$"
@@ -22,9 +23,25 @@ def ingest(rows: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").select(*rows.columns), marked.where("reason is not null").select(*rows.columns, "reason")
 
 
+def typed(rows: DataFrame, value: str = "value") -> DataFrame:
+    """``rows`` with ``value_type`` and the four value columns in place of a JSON ``value``: whole numbers that fit a long are Integer,
+    other numbers Real, and a number is never taken for the other kind. Anything else has no type."""
+    own = F.try_parse_json(value)
+    kind = F.schema_of_variant(own)
+    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    name = F.when(kind == "BIGINT", "Integer").when(kind == "BOOLEAN", "Boolean").when(kind == "STRING", "Text").when(real, "Real")
+    rows = rows.withColumn("value_type", name)
+    for type_, column, cast in (("Real", "v_double", "double"), ("Integer", "v_long", "bigint"), ("Boolean", "v_bool", "boolean"), ("Text", "v_text", "string")):
+        rows = rows.withColumn(column, F.when(F.col("value_type") == type_, F.try_variant_get(own, "$", cast)))
+    return rows.drop(value)
+
+
 def number_blocks(rows: DataFrame, size: str = "block_size") -> DataFrame:
-    """Adds ``block``: consecutive rows in arrival order, ``size`` to a block."""
-    return rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")) - 1) / F.greatest(F.coalesce(F.col(size), F.lit(schema.MAX_BLOCK_SIZE)), F.lit(1))).cast("long"))
+    """Adds ``block``: consecutive rows in arrival order, ``size`` to a block. Places are counted by slabs of arrival order with
+    carries, so a series with most of the rows is spread over tasks."""
+    placed = windows.numbered(windows.slabbed(rows, "seq")[0], KEY, "_place")
+    each = F.greatest(F.coalesce(F.col(size), F.lit(schema.MAX_BLOCK_SIZE)), F.lit(1))
+    return placed.withColumn("_each", each).withColumn("block", F.expr("_place div _each")).select(*rows.columns, "block")
 
 
 def blocks(rows: DataFrame, size: str = "block_size") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidalgrid import schema
 from tidalgrid.operators import aggregate, rules as rules_
+from tidalgrid.sources import storage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,33 +39,16 @@ def buckets(rows: DataFrame, interval: str, aggs: list[str], start: str = "0 sec
     return made.select("node_id", "path", F.unix_micros(F.col("window.start")).alias("start_us"), *aggs)
 
 
-class _Last(StatefulProcessor):
-    """Keeps the newest row of a series; of equal times the first arrived."""
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("last", "ts_ns long, seq long, num double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = self.state.get() if self.state.exists() else None
-        for part in rows:
-            for r in part[["ts_ns", "seq", "num"]].itertuples(index=False):
-                if best is None or (r.ts_ns, -r.seq) > (best[0], -best[1]):
-                    best = (int(r.ts_ns), int(r.seq), float(r.num))
-        self.state.update(best)
-        yield pd.DataFrame({"node_id": [key[0]], "path": [key[1]], "ts_ns": [best[0]], "seq": [best[1]], "num": [best[2]]})
-
-    def close(self) -> None:
-        pass
-
-
 def last_values(rows: DataFrame) -> DataFrame:
-    """The newest numeric row of each series, after every micro-batch that touches it."""
+    """The newest numeric row of each series, of equal times the first arrived; updated as rows arrive."""
     own = rows.select("node_id", "path", "ts_ns", "seq", schema.v_num().alias("num")).where("num is not null")
-    return own.groupBy("node_id", "path").transformWithStateInPandas(_Last(), "node_id string, path string, ts_ns long, seq long, num double", "Update", "None")
+    best = F.max(F.struct("ts_ns", (-F.col("seq")).alias("r"), "num"))
+    return own.groupBy("node_id", "path").agg(best.alias("b")).select("node_id", "path", "b.ts_ns", (-F.col("b.r")).alias("seq"), "b.num")
 
 
 class _Blocks(StatefulProcessor):
-    """Counts rows of a series and gives a block whenever one is full. State is the open block."""
+    """Counts rows of a series and gives a block whenever one is full. State is the open block; of a batch, the places and times of
+    one series are held together, 16 bytes a row."""
 
     def __init__(self, size: int):
         self.size = size
@@ -74,12 +59,14 @@ class _Blocks(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         block, n, first, last = self.state.get() if self.state.exists() else (0, 0, 0, 0)
         done = []
-        for part in rows:
-            for ts in part.sort_values("seq")["ts_ns"].tolist():
-                first, last, n = (ts if n == 0 else first), ts, n + 1
-                if n == self.size:
-                    done.append((key[0], key[1], block, first, last, n))
-                    block, n = block + 1, 0
+        # a batch's rows of a series come in parts that aren't in order
+        arrived = [(np.asarray(part["seq"], np.int64), np.asarray(part["ts_ns"], np.int64)) for part in rows]
+        seq, times = (np.concatenate(x) for x in zip(*arrived, strict=True)) if arrived else (np.zeros(0, np.int64),) * 2
+        for ts in times[np.argsort(seq, kind="stable")].tolist():
+            first, last, n = (ts if n == 0 else first), ts, n + 1
+            if n == self.size:
+                done.append((key[0], key[1], block, first, last, n))
+                block, n = block + 1, 0
         self.state.update((block, n, first, last))
         yield pd.DataFrame(done, columns=["node_id", "path", "block", "t_start", "t_end", "n"])
 
@@ -93,6 +80,22 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return own.groupBy("node_id", "path").transformWithStateInPandas(_Blocks(size), "node_id string, path string, block long, t_start long, t_end long, n long", "Append", "None")
 
 
+def ingest(rows: DataFrame, series: Callable[[], DataFrame], valid_path: str, rejects_path: str, checkpoint: str):
+    """Takes in a stream of measurements whose ``value`` is JSON, or that are typed already: valid rows and rejects go to a folder
+    each, under the batch's number, so a repeated batch replaces itself. ``series`` gives the catalog as it is at each batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        own = (storage.typed(batch) if "value" in batch.columns else batch).persist()
+        try:
+            valid, rejects = storage.ingest(own, series())
+            for part, path in ((valid, valid_path), (rejects, rejects_path)):
+                part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            own.unpersist()
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 def rule_stream(rows: DataFrame, series: DataFrame, rules: DataFrame, history_path: str, handlers: rules_.Handlers, checkpoint: str, sink: Callable[[DataFrame], None] | None = None):
     """Evaluates the rules at each inserted row of a batch over what had arrived by then, and hands the commands on.
 
