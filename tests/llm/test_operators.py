@@ -449,6 +449,13 @@ def test_likeness_of_edits(spark):
         assert got[i].near_edited == len(a & b) / len(a | b) and 0.4 < got[i].near_edited < 0.9
 
 
+def test_fingerprints_pass_over_other_columns(spark):
+    rows = [(1, "some text of words that repeat", "en"), (2, None, "de"), (3, "another one", "fr")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = own.withColumn("run", F.lit("x")).withColumn("tail", F.lit("y")).withColumn("h", F.lit("z")).withColumn("head", F.lit(1))
+    assert sorted(map(tuple, fingerprints.compare_with_edits(more).collect())) == sorted(map(tuple, fingerprints.compare_with_edits(own.drop("lang")).collect()))
+
+
 def test_fingerprints_empty(spark):
     assert fingerprints.compare_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -485,6 +492,9 @@ def test_prefixes_are_shortened_by_what_is_found():
     assert jaccard.prefix_depth(np.zeros(0)) == jaccard.prefix_depth(np.full(3, 0.5)) == low
     assert jaccard.SHORTEST < low < jaccard.prefix_depth(np.full(50, 0.85)) < jaccard.prefix_depth(np.full(50, 0.99)) == jaccard.DEPTH
     assert jaccard.met(0.8, low) >= jaccard.RECALL > jaccard.met(0.8, low + 1)
+    with pytest.raises(ValueError):
+        jaccard.prefix_depth(np.zeros(0), 0.5)
+    assert jaccard.prefix_depth(np.zeros(0), 0.5, trees=200) == jaccard.SHORTEST
 
 
 def test_neighbours_in_the_tries(spark):
@@ -598,6 +608,16 @@ def test_toxicity_without_labels(spark):
     assert len({r.score for r in toxicity.score(docs, model).collect()}) == 1
 
 
+@pytest.mark.parametrize("n", [40, 80])
+def test_thresholds_are_cross_fitted_at_any_size(spark, monkeypatch, n):
+    fits = []
+    real = toxicity.TextCNN.fit
+    monkeypatch.setattr(toxicity.TextCNN, "fit", lambda self, docs, labels, *a, **k: (fits.append(len(docs)), real(self, docs, labels, *a, **k))[1])
+    docs, labels, _ = toxic_tables(spark, n)
+    toxicity.train(docs, labels)
+    assert len(fits) == 3 and fits[0] + fits[1] == fits[2]
+
+
 def test_score_depends_on_text_only(spark):
     docs, labels, _ = toxic_tables(spark, 60)
     model, _ = toxicity.train(docs, labels)

@@ -101,11 +101,12 @@ def edited(text: str, after: str) -> str:
 
 
 def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likeness; see ``edited`` and ``with_next``."""
+    """Fingerprints of each document and of its edited text, and their likeness; see ``edited`` and ``with_next``. Columns other than
+    ``doc_id`` and ``text`` are passed over, whatever their names."""
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError("doc_id must be an integer")
     small_batches(docs.sparkSession)
-    ordered = with_next(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    ordered = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -1,12 +1,12 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling, trained in numpy.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those with the smallest id hashes); everything else
-is scored with it, whole texts. Scores are shifted so that the threshold found best on the sample's calibration part
+is scored with it, whole texts. Scores are shifted so that the threshold found best on cross-fitted scores of the sample
 falls on ``THRESHOLD``; thresholds are further calibrated by language, for deciding only: a language's own best one counts by
-its toxic rows in the calibration part, against ``PRIOR_ROWS`` for the general one.
+its toxic rows, against ``PRIOR_ROWS`` for the general one.
 
-Null and empty texts have no words and get the score of an empty text. Labels of unknown documents, null labels and
-repeated labels beyond the first are passed over; without usable labels of both kinds every score is the prior. Repeated
+Null and empty texts have no words and get the score of an empty text. Labels of unknown documents and null labels are passed
+over, of repeated labels the largest counts; with fewer than two usable labels of either kind every score is the prior. Repeated
 documents are scored one by one; columns of the input named like results are replaced.
 """
 
@@ -194,26 +194,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text: str = "text") -> tuple[TextCNN, dict[str | None, float]]:
     """A fitted model, and score thresholds by language (``None``: all others).
 
-    A fifth of the sample is kept for finding thresholds.
+    The model is fitted on the whole sample. Thresholds come from scores of rows that their model hasn't seen: two further models are
+    fitted on a half each and judge the other. That takes two rows of either label; with fewer, every score is the prior.
     """
     # partition by partition, so that the sample isn't held twice on the driver
     sample = sorted(labelled_sample(docs, labels, rows, text).toLocalIterator(), key=lambda r: r["doc_id"])
     model = TextCNN()
     y = np.array([1 if r["toxic"] > 0 else 0 for r in sample], np.float32)
-    if len(sample) < 10 or y.min() == y.max():
+    kinds = [np.flatnonzero(y == k) for k in (0, 1)]
+    if min(len(k) for k in kinds) < 2:
         model.out[:] = 0
         model.shift = np.float32(np.log((y.sum() + 1) / (len(y) - y.sum() + 9)))
         return model, {None: THRESHOLD}
     ids = [np.frombuffer(r["ids"], "<i4").reshape(len(STEMS) + 1, -1) for r in sample]
-    part = np.random.default_rng(SEED).permutation(len(ids)) % 5 == 0 if len(ids) >= 500 else np.zeros(len(ids), bool)
-    model.fit([d for d, p in zip(ids, part, strict=True) if not p], y[~part])
-    test = part if part.any() else ~part
-    logits = np.concatenate([model.logits(ids[i : i + 64]) for i in range(0, len(ids), 64)])
-    model.shift = np.float32(model.shift - best_threshold(logits[test], y[test]) + np.log(THRESHOLD / (1 - THRESHOLD)))
-    scores = 1 / (1 + np.exp(-(logits - best_threshold(logits[test], y[test]) + np.log(THRESHOLD / (1 - THRESHOLD)))))
+    half, rng = np.zeros(len(ids), int), np.random.default_rng(SEED)
+    for k in kinds:
+        half[rng.permutation(k)] = np.arange(len(k)) % 2
+    logits = np.zeros(len(ids), np.float32)
+    for h in (0, 1):
+        other = TextCNN().fit([d for d, x in zip(ids, half, strict=True) if x != h], y[half != h])
+        mine = np.flatnonzero(half == h)
+        for at in range(0, len(mine), 64):
+            logits[mine[at : at + 64]] = other.logits([ids[i] for i in mine[at : at + 64]])
+        del other
+    model.fit(ids, y)
+    to = np.log(THRESHOLD / (1 - THRESHOLD)) - best_threshold(logits, y)
+    model.shift = np.float32(model.shift + to)
+    scores = 1 / (1 + np.exp(-(logits + to)))
     cuts: dict[str | None, float] = {None: THRESHOLD}
     for lang in sorted({r["lang"] for r in sample if r["lang"]}):
-        own = test & np.array([r["lang"] == lang for r in sample])
+        own = np.array([r["lang"] == lang for r in sample])
         if 0 < (k := float(y[own].sum())) < own.sum():
             cuts[lang] = THRESHOLD + (float(best_threshold(scores[own], y[own])) - THRESHOLD) * k / (k + PRIOR_ROWS)
     return model, cuts
