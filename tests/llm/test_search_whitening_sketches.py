@@ -158,7 +158,7 @@ def test_rounds_are_linear(spark):
     nodes = sketches.sketches(docs).select(F.col("doc_id").alias("node"), "sketch", "low").cache()
     lists = nodes.select(F.explode("low").alias("list"), "node")
     plan = sketches.planned(lists, nodes, None, 32).cache()
-    biggest = plan.groupBy("list", "block").count().agg(F.max("count")).first()[0]
+    biggest = plan.groupBy("list", "block", "guests").count().agg(F.max("count")).first()[0]
     assert biggest < 100 and plan.count() < 1.3 * lists.count()
     found = sketches.candidates(plan, 1)
     assert found.where("a is not null").count() < 3 * nodes.count()
@@ -170,6 +170,9 @@ def test_rounds_are_linear(spark):
     one = lists.where(F.col("list") == lists.groupBy("list").count().orderBy(F.desc("count")).first()["list"])
     met = sketches.planned(one, nodes, roots, 32)
     assert met.where("asking").count() <= one.count() / 32 + 1 and met.where("not asking").count() <= one.count()
+    # guests are dealt to blocks, too
+    roots = nodes.select("node", F.when(F.col("node") % 3 == 0, F.col("node")).otherwise(1).alias("root"))
+    assert sketches.planned(one, nodes, roots, 32).groupBy("list", "block", "guests").count().agg(F.max("count")).first()[0] < 140
 
 
 def test_scattered_lists_are_split(spark):

@@ -142,30 +142,40 @@ def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED) -> DataFra
 
 
 def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK) -> DataFrame:
-    """(list, block, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
+    """(list, block, guests, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
 
-    Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them each
-    node outside its list's largest component asks in every block.
+    Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them the nodes
+    outside a list's largest component are guests, who ask; each block of guests meets each block of the list's nodes.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    def dealt(n):
+        return F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
+
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
+
+    def blocks(n):
+        return F.ceil(F.col(n) / block).cast("int").alias(n)
+
+    yes, no = F.lit(True), F.lit(False)
     if roots is None:
-        known = lists.withColumn("root", F.col("node"))
-        sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", F.xxhash64("node")).alias("p3"))
-        dealt = known.join(sizes.select("list", blocks, "p1", "p2", "p3"), "list").withColumn("guest", F.col("node").isin(F.col("p1"), F.col("p2"), F.col("p3"))).withColumn("asking", F.lit(True))
+        sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", F.xxhash64("node")).alias("p3")).select("list", blocks("n"), "p1", "p2", "p3")
+        own = lists.join(sizes, "list").withColumn("block", F.explode(F.when(F.col("node").isin(F.col("p1"), F.col("p2"), F.col("p3")), upto(F.col("n"))).otherwise(F.array(dealt(F.col("n"))))))
+        spots = own.select("list", "block", F.lit(0).alias("guests"), "node", F.col("node").alias("root"), yes.alias("asking"), yes.alias("resident"))
     else:
         known = _with_roots(lists, roots)
-        dealt = known.join(_largest(known).select("list", blocks, F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant")).withColumn("asking", F.col("guest"))
-    dealt = dealt.withColumn("mine", mine).withColumn("block", F.explode(F.when(F.col("guest"), every).otherwise(F.array("mine"))))
-    resident = F.lit(True) if roots is None else F.col("mine") == F.col("block")
-    return dealt.select("list", "block", "node", "root", "asking", resident.alias("resident")).join(nodes.select("node", "sketch"), "node").select("list", "block", "node", "root", "asking", "resident", "sketch")
+        sizes = _largest(known).select("list", blocks("n"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("m"), F.col("root").alias("giant"))
+        own = known.join(sizes, "list")
+        place = lambda block_, guests, asks: F.struct(block_.alias("block"), guests.alias("guests"), asks.alias("asking"))
+        stay = F.transform(upto(F.col("m")), lambda g: place(dealt(F.col("n")), g, no))
+        visit = F.when(F.col("root") != F.col("giant"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes)))
+        spots = own.select("list", "node", "root", F.inline(F.concat(stay, F.coalesce(visit, F.filter(stay, lambda _: no))))).select("list", "block", "guests", "node", "root", "asking", (~F.col("asking")).alias("resident"))
+    return spots.join(nodes.select("node", "sketch"), "node").select("list", "block", "guests", "node", "root", "asking", "resident", "sketch")
 
 
 def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int = PERCENT) -> DataFrame:
     """(a, b, list): candidates, and the lists in which some node has more of them."""
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plan.repartition(n, "list", "block").sortWithinPartitions("list", "block")
+    ordered = plan.repartition(n, "list", "block", "guests").sortWithinPartitions("list", "block", "guests")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], set()
@@ -180,11 +190,11 @@ def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int =
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["a", "b", "list"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if at != row[:2]:
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if at != row[:3]:
                     finish()
-                    at, held = row[:2], []
-                held.append(row[2:])
+                    at, held = row[:3], []
+                held.append(row[3:])
             if len(out) > 10_000:
                 yield batch()
                 out = set()
