@@ -9,7 +9,8 @@ from helpers import measure
 from pyspark.sql import functions as F
 
 from tidalgrid import render, schema
-from tidalgrid.operators import aggregate, bridge, encoding, lifecycle, query
+from tidalgrid.functions import glob
+from tidalgrid.operators import aggregate, bridge, catalog, encoding, lifecycle, query
 from tidalgrid.operators import rules as rules_
 from tidalgrid.operators import windows
 from tidalgrid.plans import views
@@ -423,6 +424,22 @@ def test_rules_with_a_glob_per_device(spark):
     assert got == sorted(want)
 
 
+def test_globs_meet_the_catalog_by_their_rarest_segment(spark):
+    paths = [f"dev{i}/{'temp' if i % 500 == 0 else 'other'}{'/x' if i % 3 == 0 else ''}" for i in range(3000)] + ["temp", "a//b", "dev7", "dev7/a/b/c"]
+    series = spark.createDataFrame([("n", p) for p in paths], "node_id string, path string")
+    globs = ["*/temp", "*/temp/*", "dev7/*", "*", "dev*/other/x", "?/*", "a//*", "dev[0-3]/temp*", "*/none", "dev7\\*", "*/*/x", "temp*"]
+    conditions = spark.createDataFrame([("n", g) for g in globs], "node_id string, path string")
+    got = points(rules_.bind(conditions, series), "path", "series_path")
+    plain = points(conditions.join(series.withColumnRenamed("path", "series_path"), "node_id").where(F.rlike("series_path", glob.regex_of(F.col("path")))), "path", "series_path")
+    assert got == plain and {g for g, _ in got} >= set(globs) - {"*/none", "dev7\\*"}
+    spots = catalog.segments(series.withColumnRenamed("path", "series_path"), "series_path")
+    chosen = {r.path: (r.pos, r.segment) for r in rules_.glob_keys(conditions, spots).collect()}
+    assert chosen["*/temp"] == (1, "temp") and chosen["dev*/other/x"] == (2, "x") and chosen["*/none"] == (1, "none") and chosen["dev7/*"] == (0, "dev7")
+    assert not {"*", "?/*", "temp*", "dev[0-3]/temp*"} & set(chosen)
+    # what a glob is compared with is what has its segment
+    assert spots.where("pos = 1 and segment = 'temp'").count() < len(paths) / 100
+
+
 def test_rule_validation(spark):
     series = spark.createDataFrame([("n", "a/t", "Text"), ("n", "b/t", "Real")], "node_id string, path string, value_type string")
     bad = [rule(), rule(rule_id="w", window=0), rule(rule_id="o", op="=>"), rule(rule_id="g", agg="avg"), rule(rule_id="e", conditions=[], actions=[])]

@@ -79,3 +79,8 @@ def validate(series: DataFrame) -> DataFrame:
     }
     reasons = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
     return series.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0)
+
+
+def segments(series: DataFrame, path: str = "path") -> DataFrame:
+    """``series`` with ``pos`` and ``segment``, a row for each segment of a path: the index by which globs meet the catalog."""
+    return series.select("*", F.posexplode(F.split(path, "/")).alias("pos", "segment"))

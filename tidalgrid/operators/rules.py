@@ -36,17 +36,30 @@ def conditions_of(rules: DataFrame) -> DataFrame:
     return rows.withColumn("agg", F.when(~F.col("agg").isin("", LAST), F.col("agg")))
 
 
+def glob_keys(globs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(node_id, path, pos, segment): of each glob (node_id, path) with literal segments the one that fewest of its node's series have.
+    ``spots`` has the series' segments (see ``catalog.segments``). Where a glob has classes or escapes, only a literal head counts."""
+    plain = ~F.rlike("path", F.lit(r"[\[\\]"))
+    parts = globs.select("node_id", "path", F.posexplode(F.when(plain, F.split("path", "/")).otherwise(F.array(glob.literal_head(F.col("path"))))).alias("pos", "segment"))
+    literal = parts.where(F.col("segment").isNotNull() & ~F.rlike("segment", F.lit(r"[*?]")))
+    counts = spots.join(literal.select("node_id", "pos", "segment").distinct(), ["node_id", "pos", "segment"], "left_semi").groupBy("node_id", "pos", "segment").agg(F.count("*").alias("n"))
+    best = literal.join(counts, ["node_id", "pos", "segment"], "left").groupBy("node_id", "path").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "segment")).alias("b"))
+    return best.select("node_id", "path", "b.pos", "b.segment")
+
+
 def bind(conditions: DataFrame, series: DataFrame) -> DataFrame:
-    """The series that each condition reads. Globs meet the catalog only, per node and, where it is fixed, first segment;
-    exact paths are joined by equality. Any number of globs is one plan."""
+    """The series that each condition reads. Globs meet the catalog only, by the rarest of their literal segments at its place in
+    the path, and those without any by their node; exact paths are joined by equality. Any number of globs is one plan."""
     keys = series.select("node_id", F.col("path").alias("series_path")).distinct()
     exact = conditions.where(~F.col("path").contains("*")).join(keys.withColumn("path", F.col("series_path")), ["node_id", "path"])
     starred = conditions.where(F.col("path").contains("*"))
-    globs = starred.select("node_id", "path").distinct().withColumn("head", glob.literal_head(F.col("path"))).withColumn("regex", glob.regex_of(F.col("path")))
-    fixed = globs.where("head is not null").join(keys.withColumn("head", glob.first_segment(F.col("series_path"))), ["node_id", "head"])
-    free = globs.where("head is null").join(keys, "node_id")
-    met = [x.where(F.rlike("series_path", F.col("regex"))).select("node_id", "path", "series_path") for x in (fixed, free)]
-    return exact.select(*conditions.columns, "series_path").unionByName(starred.join(met[0].unionByName(met[1]), ["node_id", "path"]).select(*conditions.columns, "series_path"))
+    globs = starred.select("node_id", "path").distinct()
+    spots = catalog.segments(keys, "series_path")
+    chosen = glob_keys(globs, spots)
+    fixed = chosen.join(spots, ["node_id", "pos", "segment"]).select("node_id", "path", "series_path")
+    free = globs.join(chosen, ["node_id", "path"], "left_anti").join(keys, "node_id").select("node_id", "path", "series_path")
+    met = fixed.unionByName(free).where(F.rlike("series_path", glob.regex_of(F.col("path"))))
+    return exact.select(*conditions.columns, "series_path").unionByName(starred.join(met, ["node_id", "path"]).select(*conditions.columns, "series_path"))
 
 
 IDS = ["node_id", "rule_id", "logic", "pos", "op", "t_double", "t_long", "t_bool", "t_text", "agg", "aggregate_series"]
