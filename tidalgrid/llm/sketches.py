@@ -7,10 +7,10 @@ all lists with 0.15 ** 10. Within a list, the sketch of the union of two nodes e
 allows the threshold (4.5 standard deviations) are candidates, and these are verified on the full sets.
 
 Links only have to name the components, so candidates come in rounds. In the first one the nodes of each list are compared in blocks,
-which all hold the list's pivots, and each node gets one partner; verified links join components, and a group of near copies
+which all hold the list's pivots, and each node gets its best partner of all its lists; verified links join components, and a group of near copies
 is one by then. Later only lists that still hold several components are looked at: each node outside its list's largest
 component is compared with all nodes of the list, and gets the 4 best partners of other components, then 32, 256, ... until no
-list has more. So a large group of near copies stays linear, and a search pair by pair is left to nodes near the threshold
+node has more. So a large group of near copies stays linear, and a search pair by pair is left to nodes near the threshold
 without a link.
 
 Lists of more than ``REFINED`` nodes most of which lie in different components are split by a second such hash, which two sets at the
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ from tidalgrid.llm.common import UNSPACED, Words, materialize, plain_unions, sma
 from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
-KEPT, LISTED, SPREAD = 128, 10, 4.5
+KEPT, LISTED, SPREAD = 256, 10, 4.5
 REFINED, BLOCK = 256, 256
 #: Hashes of the first look at an estimate.
 COARSE = 32
@@ -72,28 +72,35 @@ def sketches(docs: DataFrame, kept: int = KEPT, listed: int = LISTED) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key string, size long, sketch binary, low array<long>")
 
 
-def propose(nodes: np.ndarray, roots: np.ndarray, asking: np.ndarray, resident: np.ndarray, own: list[np.ndarray], partners: int, kept: int, percent: int) -> tuple[set[tuple[int, int]], bool]:
-    """The candidates of a block: for each ``asking`` node the best ``partners`` among the ``resident`` ones of other components whose
-    estimate allows the threshold, and whether any node has more of them. Estimates well above the threshold are as good as
-    each other; of these the smallest ids come first, so that a node gets the same partners in lists that are alike."""
+def propose(nodes: np.ndarray, roots: np.ndarray, asking: np.ndarray, resident: np.ndarray, own: list[np.ndarray], partners: int, kept: int, percent: int) -> list[tuple[int, int, float]]:
+    """(node, partner, estimate) in a block: for each ``asking`` node the best ``partners`` among the ``resident`` ones of other
+    components whose estimate allows the threshold. Estimates well above the threshold are as good as each other; of these the
+    smallest ids come first, so that a node gets the same partners in lists that are alike."""
     lengths = np.array([len(s) for s in own])
-    _, inverse = np.unique(np.concatenate(own), return_inverse=True)
-    ends = np.cumsum(lengths)
+    _, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    places = np.concatenate([np.arange(1, n + 1, dtype=np.int16) for n in lengths])
+    owner = np.repeat(np.arange(len(own)), lengths)
+    # hashes of one node alone don't matter
+    common = times > 1
+    column, keep = np.cumsum(common) - 1, common[inverse]
+    columns, places, owner = column[inverse[keep]], places[keep], owner[keep]
+    ends = np.searchsorted(owner, np.arange(len(own) + 1))
     # ranks by hash and node, so that the rows of a node's hashes are read in one piece
-    rank = np.zeros((int(inverse.max(initial=-1)) + 1, len(own)), np.int16)
-    rank[inverse, np.repeat(np.arange(len(own)), lengths)] = np.arange(len(inverse)) - np.repeat(ends - lengths, lengths) + 1
-    out, more, share = set(), False, percent / 100
+    rank = np.zeros((int(common.sum()), len(own)), np.int16)
+    rank[columns, owner] = places
+    out, share = [], percent / 100
 
     def able(i: int, rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         """Those of ``rows`` whose estimate by the union's ``first`` smallest hashes allows the threshold, and the estimates."""
-        n = min(int(lengths[i]), first)
-        there = rank[inverse[ends[i] - lengths[i] : ends[i] - lengths[i] + n]]
+        mine = places[ends[i] : ends[i + 1]]
+        n = int(np.searchsorted(mine, first, "right"))
+        there = rank[columns[ends[i] : ends[i] + n]]
         there = there if len(rows) == len(own) else there[:, rows]
-        both = there > 0
+        both = (there > 0) & (there <= first)
         shared = np.cumsum(both, axis=0, dtype=np.int16)
         # a shared hash's rank in the union counts it once
-        inside = (both & (there + np.arange(1, n + 1, dtype=np.int16)[:, None] - shared <= first)).sum(axis=0)
-        union = np.minimum(first, np.minimum(first, lengths[rows]) + n - shared[-1])
+        inside = (both & (there + mine[:n, None] - shared <= first)).sum(axis=0)
+        union = np.minimum(first, np.minimum(first, lengths[rows]) + min(first, int(lengths[i])) - both.sum(axis=0))
         margin = np.where(union < first, 0, SPREAD * np.sqrt(share * (1 - share) / first))
         good = np.flatnonzero(inside >= union * (share - margin) - 1e-9)
         return rows[good], inside[good] / union[good]
@@ -108,10 +115,10 @@ def propose(nodes: np.ndarray, roots: np.ndarray, asking: np.ndarray, resident:
         if not len(rows):
             continue
         rows, estimate = able(i, rows, kept)
-        more |= len(rows) > partners
-        best = rows[np.lexsort((nodes[rows], -np.minimum(estimate, share + 0.05)))[:partners]]
-        out.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in best.tolist())
-    return {(int(x), int(y)) for x, y in out}, more
+        estimate = np.minimum(estimate, share + 0.05)
+        best = np.lexsort((nodes[rows], -estimate))[:partners]
+        out += [(int(nodes[i]), int(nodes[rows[k]]), float(estimate[k])) for k in best.tolist()]
+    return out
 
 
 def inverted(spots: DataFrame) -> DataFrame:
@@ -141,11 +148,12 @@ def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED) -> DataFra
     return materialize(lists.join(found, "list", "left_anti").unionByName(inverted(scattered.select(F.explode(pairs).alias("list"), "node"))), "lists")
 
 
-def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK) -> DataFrame:
+def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK, askers: DataFrame | None = None) -> DataFrame:
     """(list, block, guests, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
 
     Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them the nodes
-    outside a list's largest component are guests, who ask; each block of guests meets each block of the list's nodes.
+    outside a list's largest component (of ``askers``, if given) are guests, who ask; each block of guests meets each block of
+    the list's nodes.
     """
     def dealt(n):
         return F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
@@ -163,31 +171,32 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
         spots = own.select("list", "block", F.lit(0).alias("guests"), "node", F.col("node").alias("root"), yes.alias("asking"), yes.alias("resident"))
     else:
         known = _with_roots(lists, roots)
-        sizes = _largest(known).select("list", blocks("n"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("m"), F.col("root").alias("giant"))
-        own = known.join(sizes, "list")
+        own = known.join(_largest(known).select("list", blocks("n"), F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant"))
+        if askers is not None:
+            own = own.join(askers.select("node", yes.alias("asks")), "node", "left").withColumn("guest", F.col("guest") & F.coalesce("asks", no))
+        own = own.join(own.where("guest").groupBy("list").agg(F.count("*").alias("m")).select("list", blocks("m")), "list")
         place = lambda block_, guests, asks: F.struct(block_.alias("block"), guests.alias("guests"), asks.alias("asking"))
         stay = F.transform(upto(F.col("m")), lambda g: place(dealt(F.col("n")), g, no))
-        visit = F.when(F.col("root") != F.col("giant"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes)))
+        visit = F.when(F.col("guest"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes)))
         spots = own.select("list", "node", "root", F.inline(F.concat(stay, F.coalesce(visit, F.filter(stay, lambda _: no))))).select("list", "block", "guests", "node", "root", "asking", (~F.col("asking")).alias("resident"))
     return spots.join(nodes.select("node", "sketch"), "node").select("list", "block", "guests", "node", "root", "asking", "resident", "sketch")
 
 
 def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int = PERCENT) -> DataFrame:
-    """(a, b, list): candidates, and the lists in which some node has more of them."""
+    """(node, partner, place): for each node that asks its best partners of all lists and blocks, and the next one, if any."""
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = plan.repartition(n, "list", "block", "guests").sortWithinPartitions("list", "block", "guests")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], set()
+        at, held, out = None, [], []
 
         def finish() -> None:
             if len(held) > 1:
                 columns = [np.array([h[c] for h in held]) for c in range(4)]
-                found, more = propose(*columns, [np.frombuffer(h[4], np.uint32) for h in held], partners, kept, percent)
-                out.update(((a, b, None) for a, b in found), [(None, None, at[0])] if more else [])
+                out.extend(propose(*columns, [np.frombuffer(h[4], np.uint32) for h in held], partners + 1, kept, percent))
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["a", "b", "list"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["node", "partner", "estimate"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
@@ -197,12 +206,14 @@ def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int =
                 held.append(row[3:])
             if len(out) > 10_000:
                 yield batch()
-                out = set()
+                out = []
         finish()
         if out:
             yield batch()
 
-    return ordered.mapInArrow(run, "a long, b long, list long").distinct()
+    found = ordered.mapInArrow(run, "node long, partner long, estimate double").groupBy("node", "partner").agg(F.max("estimate").alias("estimate"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("estimate"), "partner"))
+    return found.withColumn("place", place).where(F.col("place") <= partners + 1).select("node", "partner", "place")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,22 +259,23 @@ def classes(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, listed: i
     sets = materialize(full_sets(docs, lists.select("node").distinct()), "sets")
     # texts of one id belong together
     links = materialize(ids.join(keys, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"), "links")
-    tested, roots, partners = links.where("false"), None, 1
+    tested, roots, partners, askers = links.where("false"), None, 1, None
     while True:
-        found = materialize(candidates(planned(lists, nodes, roots, block), partners, kept, percent), "candidates")
-        judged = materialize(verified(found.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
+        found = materialize(candidates(planned(lists, nodes, roots, block, askers), partners, kept, percent), "candidates")
+        pairs = found.where(F.col("place") <= partners).select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
+        judged = materialize(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
         tested = tested.unionByName(judged.select("a", "b"))
         own = judged.where("linked").select("a", "b")
         if roots is None or not own.isEmpty():
             links = links.unionByName(own)
             roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
         if partners == 1:
-            lists = split(lists, roots, refined)
+            lists, partners = split(lists, roots, refined), 4
         else:
-            lists = lists.join(found.where("list is not null").select("list").distinct(), "list", "left_semi")
-            if lists.isEmpty():
+            askers = found.where(F.col("place") > partners).select("node")
+            if askers.isEmpty():
                 break
-        partners = 4 if partners == 1 else 8 * partners
+            partners *= 8
     named = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "key", "size").join(named, "key", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
