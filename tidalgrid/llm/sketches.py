@@ -37,7 +37,7 @@ from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
 KEPT, LISTED, SPREAD = 256, 10, 4.5
-REFINED, BLOCK = 256, 256
+REFINED, BLOCK, WIDE = 256, 256, 16
 #: Hashes of the first look at an estimate.
 COARSE = 32
 
@@ -152,8 +152,8 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
     """(list, block, guests, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
 
     Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them the nodes
-    outside a list's largest component (of ``askers``, if given) are guests, who ask; each block of guests meets each block of
-    the list's nodes.
+    outside a list's largest component (of ``askers``, if given) are guests, who ask; each block of guests meets each ``WIDE`` blocks
+    of the list's nodes.
     """
     def dealt(n):
         return F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
@@ -161,8 +161,8 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
     def upto(n):
         return F.sequence(F.lit(0), n - 1)
 
-    def blocks(n):
-        return F.ceil(F.col(n) / block).cast("int").alias(n)
+    def blocks(n, size=block):
+        return F.ceil(F.col(n) / size).cast("int").alias(n)
 
     yes, no = F.lit(True), F.lit(False)
     if roots is None:
@@ -171,7 +171,7 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
         spots = own.select("list", "block", F.lit(0).alias("guests"), "node", F.col("node").alias("root"), yes.alias("asking"), yes.alias("resident"))
     else:
         known = _with_roots(lists, roots)
-        own = known.join(_largest(known).select("list", blocks("n"), F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant"))
+        own = known.join(_largest(known).select("list", blocks("n", WIDE * block), F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant"))
         if askers is not None:
             own = own.join(askers.select("node", yes.alias("asks")), "node", "left").withColumn("guest", F.col("guest") & F.coalesce("asks", no))
         own = own.join(own.where("guest").groupBy("list").agg(F.count("*").alias("m")).select("list", blocks("m")), "list")
@@ -185,15 +185,29 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
 def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int = PERCENT) -> DataFrame:
     """(node, partner, place): for each node that asks its best partners of all lists and blocks, and the next one, if any."""
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plan.repartition(n, "list", "block", "guests").sortWithinPartitions("list", "block", "guests")
+    # guests come first, and meet the list's nodes a block at a time
+    ordered = plan.repartition(n, "list", "block", "guests").sortWithinPartitions("list", "block", "guests", "resident")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
+        at, guests, others, found, out = None, [], [], [], []
 
-        def finish() -> None:
+        def meet() -> None:
+            held = guests + others
             if len(held) > 1:
                 columns = [np.array([h[c] for h in held]) for c in range(4)]
-                out.extend(propose(*columns, [np.frombuffer(h[4], np.uint32) for h in held], partners + 1, kept, percent))
+                found.extend(propose(*columns, [np.frombuffer(h[4], np.uint32) for h in held], partners + 1, kept, percent))
+            others.clear()
+
+        def finish() -> None:
+            meet()
+            found.sort(key=lambda r: (r[0], -r[2], r[1]))
+            before, place = None, 0
+            for r in found:
+                before, place = (before, place + 1) if r[0] == before else (r[0], 0)
+                if place <= partners:
+                    out.append(r)
+            guests.clear()
+            found.clear()
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["node", "partner", "estimate"])
@@ -202,11 +216,13 @@ def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int =
             for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if at != row[:3]:
                     finish()
-                    at, held = row[:3], []
-                held.append(row[3:])
+                    at = row[:3]
+                (others if row[6] else guests).append(row[3:])
+                if len(others) == BLOCK and guests:
+                    meet()
             if len(out) > 10_000:
                 yield batch()
-                out = []
+                out.clear()
         finish()
         if out:
             yield batch()
