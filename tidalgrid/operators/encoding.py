@@ -74,6 +74,25 @@ def dictionary(rows: DataFrame, value: str = "value", by: list[str] | None = Non
     return rows.join(b, on).select(*by, "seq", value, "id")
 
 
+def dictionary_blocks(rows: DataFrame, value: str = "value", size: int = schema.MAX_BLOCK_SIZE, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each block of ``size`` rows by its own dictionary: the entries (``block, id, value``), and the runs of ids
+    (``block, run, value`` as the id, ``n, first_seq``)."""
+    by = by or KEY
+    if not 0 < size <= MAX_DICTIONARY:
+        raise ValueError("a block must not have more rows than a dictionary may have entries")
+    placed = windows.numbered(windows.slabbed(rows.select(*by, "seq", F.col(value).alias("value")), "seq")[0], by, "_place")
+    coded = dictionary(placed.withColumn("block", F.expr(f"_place div {size}")).drop("slab", "_place"), "value", [*by, "block"])
+    entries = coded.groupBy(*by, "block", "id").agg(F.any_value("value").alias("value"))
+    return entries, runs(coded.select(*by, "block", "seq", "id"), "id", [*by, "block"])
+
+
+def undo_dictionary_blocks(entries: DataFrame, coded: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The values back: ``block, pos, value``, numbered within each block."""
+    own = [*(by or KEY), "block"]
+    ids = expand(coded, own).withColumnRenamed("value", "id")
+    return ids.join(entries, [*own, "id"]).select(*own, "pos", "value")
+
+
 def bit_width(rows: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """Smallest and largest value, and the bits of the offsets between; 0 when constant."""
     by = by or KEY

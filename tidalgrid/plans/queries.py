@@ -477,6 +477,24 @@ _DOD = f"""WITH {_INTS}, a AS (SELECT *, row_number() OVER w AS pos, ts_ns - lag
 add("dod_encode", f"{_DOD} SELECT node_id, path, seq, pos::INTEGER AS pos, dod, (CASE WHEN dod BETWEEN -128 AND 127 THEN 1 WHEN dod BETWEEN -32768 AND 32767 THEN 2 WHEN dod BETWEEN -2147483648 AND 2147483647 THEN 4 ELSE 8 END)::INTEGER AS bytes FROM b")(lambda s, d: encoding.delta_of_delta(_ints(s, d)))
 add("dod_decode", f"WITH {_INTS} SELECT node_id, path, seq, row_number() OVER (PARTITION BY path ORDER BY seq)::INTEGER AS pos, ts_ns AS value FROM i")(lambda s, d: encoding.undo_delta_of_delta(encoding.delta_of_delta(_ints(s, d))))
 add("dict_encode", f"WITH {_INTS}, f AS (SELECT path, event_type, min(seq) AS first FROM i GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY first) - 1 AS id FROM f) SELECT i.node_id, i.path, seq, i.event_type, id::INTEGER AS id FROM i JOIN g ON i.path = g.path AND i.event_type = g.event_type")(lambda s, d: encoding.dictionary(_ints(s, d), "event_type"))
+_DICT_BLOCKS = f"""WITH {_INTS}, b AS (SELECT *, (row_number() OVER (PARTITION BY path ORDER BY seq) - 1) // 20 AS block FROM i), f AS (SELECT path, block, event_type, min(seq) AS first FROM b GROUP BY ALL),
+  g AS (SELECT *, row_number() OVER (PARTITION BY path, block ORDER BY first) - 1 AS id FROM f), c AS (SELECT b.node_id, b.path, b.block, b.seq, b.event_type, g.id FROM b JOIN g ON b.path = g.path AND b.block = g.block AND b.event_type = g.event_type),
+  n AS (SELECT *, coalesce(id <> lag(id) OVER (PARTITION BY path, block ORDER BY seq), true) AS new FROM c)"""
+
+
+@add("dict_blocks", f"{_DICT_BLOCKS} SELECT node_id, path, block::BIGINT AS block, count(DISTINCT id) AS n_entries, count(*) FILTER (new) AS n_runs, sum(CASE WHEN new THEN id * 31 + seq % 1009 END)::BIGINT AS mix FROM n GROUP BY ALL")
+def _(s, d):
+    entries, coded = encoding.dictionary_blocks(_ints(s, d), "event_type", 20)
+    block = ["node_id", "path", "block"]
+    found = coded.groupBy(*block).agg(F.count("*").alias("n_runs"), F.sum(F.col("value") * 31 + F.col("first_seq") % 1009).alias("mix"))
+    return found.join(entries.groupBy(*block).agg(F.count("*").alias("n_entries")), block).select(*block, "n_entries", "n_runs", "mix")
+
+
+@add("dict_blocks_decode", f"{_DICT_BLOCKS} SELECT node_id, path, block::BIGINT AS block, row_number() OVER (PARTITION BY path, block ORDER BY seq)::INTEGER AS pos, event_type AS value FROM c")
+def _(s, d):
+    return encoding.undo_dictionary_blocks(*encoding.dictionary_blocks(_ints(s, d), "event_type", 20))
+
+
 add("bit_width", f"WITH {_INTS} SELECT node_id, path, min(k) AS low, max(k) AS high, count(k) AS n, (CASE WHEN min(k) = max(k) THEN 0 ELSE length(bin(max(k) - min(k))) END)::INTEGER AS bits FROM i GROUP BY ALL")(lambda s, d: encoding.bit_width(_ints(s, d), "k"))
 add(
     "xor_profile",
