@@ -173,7 +173,7 @@ def test_rounds_are_linear(spark):
     # guests are dealt to blocks, too
     roots = nodes.select("node", F.when(F.col("node") % 3 == 0, F.col("node")).otherwise(1).alias("root"))
     held = sketches.planned(one, nodes, roots, 32).groupBy("list", "block", "guests").agg(F.count_if("asking").alias("guest"), F.count("*").alias("n")).collect()
-    assert max(r.guest for r in held) < 64 and max(r.n for r in held) < 1.4 * 32 * (sketches.WIDE + 1)
+    assert max(r.guest for r in held) < 1.4 * 32 * sketches.GUESTS and max(r.n for r in held) < 1.4 * 32 * (sketches.WIDE + sketches.GUESTS)
 
 
 def test_scattered_lists_are_split(spark):

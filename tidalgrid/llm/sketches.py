@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles, words being what blanks part. Documents with equal sets are one node, the smallest
 id. A node's sketch is the ``KEPT`` smallest hashes of its set. The ``LISTED`` smallest stand in inverted lists; of two sets at the
 threshold each of the smallest hashes of their union is shared with a probability of 0.85, so they miss each other in
-all lists with 0.15 ** 10. Within a list, the sketch of the union of two nodes estimates their similarity; pairs whose estimate
+all lists with 0.15 ** 8. Within a list, the sketch of the union of two nodes estimates their similarity; pairs whose estimate
 allows the threshold (4.5 standard deviations) are candidates, and these are verified on the full sets.
 
 Links only have to name the components, so candidates come in rounds. In the first one the nodes of each list are compared in blocks,
@@ -14,7 +14,7 @@ node has more. So a large group of near copies stays linear, and a search pair b
 without a link.
 
 Lists of more than ``REFINED`` nodes most of which lie in different components are split by a second such hash, which two sets at the
-threshold lack with 1e-6. No rows of pairs are made but candidates.
+threshold lack with 1e-5. No rows of pairs are made but candidates.
 
 ``doc_id`` must be of an integer type, else ValueError. Texts without words, null ones included, have empty sets and link with
 nothing. Rows that repeat an id are one document; if their texts differ it has the links of each. Rows without an id are returned
@@ -36,8 +36,10 @@ from tidalgrid.llm.common import UNSPACED, Words, materialize, plain_unions, sma
 from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
-KEPT, LISTED, SPREAD = 256, 10, 4.5
-REFINED, BLOCK, WIDE = 256, 256, 16
+KEPT, LISTED, SPREAD = 256, 8, 4.5
+REFINED, BLOCK, WIDE, GUESTS = 256, 256, 16, 4
+#: Ids that are broadcast, 8 bytes each; beyond, they are shuffled.
+SMALL = 200_000
 #: Hashes of the first look at an estimate.
 COARSE = 32
 
@@ -174,7 +176,7 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
         own = known.join(_largest(known).select("list", blocks("n", WIDE * block), F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant"))
         if askers is not None:
             own = own.join(askers.select("node", yes.alias("asks")), "node", "left").withColumn("guest", F.col("guest") & F.coalesce("asks", no))
-        own = own.join(own.where("guest").groupBy("list").agg(F.count("*").alias("m")).select("list", blocks("m")), "list")
+        own = own.join(own.where("guest").groupBy("list").agg(F.count("*").alias("m")).select("list", blocks("m", GUESTS * block)), "list")
         place = lambda block_, guests, asks: F.struct(block_.alias("block"), guests.alias("guests"), asks.alias("asking"))
         stay = F.transform(upto(F.col("m")), lambda g: place(dealt(F.col("n")), g, no))
         visit = F.when(F.col("guest"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes)))
@@ -244,6 +246,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
+    # most sets aren't asked for
+    pairs = materialize(pairs, "pairs")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = sets.join(F.broadcast(ends) if ends.count() <= SMALL else ends, "node", "left_semi")
     mine = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     return mine.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
