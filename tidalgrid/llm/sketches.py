@@ -14,7 +14,7 @@ node has more. So a large group of near copies stays linear, and a search pair b
 without a link.
 
 Lists of more than ``REFINED`` nodes most of which lie in different components are split by a second such hash, which two sets at the
-threshold lack with 1e-5. No rows of pairs are made but candidates.
+threshold lack with 1e-5, and by size where they are long even then. No rows of pairs are made but candidates.
 
 ``doc_id`` must be of an integer type, else ValueError. Texts without words, null ones included, have empty sets and link with
 nothing. Rows that repeat an id are one document; if their texts differ it has the links of each. Rows without an id are returned
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidalgrid.llm.common import UNSPACED, Words, materialize, plain_unions, small_batches, text_blocks, word_grams
+from tidalgrid.llm.common import UNSPACED, Words, discard, materialize, plain_unions, small_batches, text_blocks, word_grams
 from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -112,7 +112,7 @@ def propose(nodes: np.ndarray, roots: np.ndarray, asking: np.ndarray, resident:
         other = (roots != roots[i]) & resident
         if not other.any():
             continue
-        rows = able(i, every, min(COARSE, kept))[0]
+        rows = able(i, np.flatnonzero(other) if 2 * other.sum() < len(own) else every, min(COARSE, kept))[0]
         rows = rows[other[rows]]
         if not len(rows):
             continue
@@ -134,28 +134,43 @@ def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return lists.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
 
 
-def _largest(known: DataFrame) -> DataFrame:
+def _largest(known: DataFrame, root: str = "root") -> DataFrame:
     """(list, n, root, most): the size of each list with several components, and its largest one."""
-    counts = known.groupBy("list", "root").agg(F.count("*").alias("k"))
+    counts = known.groupBy("list", F.col(root).alias("root")).agg(F.count("*").alias("k"))
     return counts.groupBy("list").agg(F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("root"), F.max("k").alias("most")).where("n > most")
 
 
-def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED) -> DataFrame:
+def bands_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, bands): two nodes whose sizes allow the threshold have a band in common. Bands are geometric, and each holds the sizes
+    of its own step and of the next one."""
+    # a little above the threshold's own step, so that rounding can't part two sizes
+    step = -np.log(percent / 100) * (1 + 1e-9)
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(step))).cast("int")
+    return nodes.select("node", F.explode(F.array(own - 1, own)).alias("band")).groupBy("node").agg(F.collect_set("band").alias("bands"))
+
+
+def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED, bands: DataFrame | None = None) -> DataFrame:
     """``lists`` with those in whose place come the lists of pairs of their hashes: the long ones without a component that has half
-    of their nodes."""
+    of their nodes. Those that are still long are cut by ``bands`` of sizes, if given."""
     found = _largest(_with_roots(lists, roots)).where((F.col("n") > refined) & (2 * F.col("most") < F.col("n"))).select("list")
     scattered = lists.join(found, "list", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("l"))
     # a node has LISTED values at most, so these arrays are small
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    return materialize(lists.join(found, "list", "left_anti").unionByName(inverted(scattered.select(F.explode(pairs).alias("list"), "node"))), "lists")
+    own = scattered.select(F.explode(pairs).alias("list"), "node")
+    if bands is not None:
+        long = own.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > refined).select("list", F.lit(True).alias("long"))
+        cut = F.when(F.col("long"), F.transform("bands", lambda b: F.xxhash64("list", b))).otherwise(F.array("list"))
+        own = own.join(long, "list", "left").join(bands, "node").select(F.explode(cut).alias("list"), "node")
+    return materialize(lists.join(found, "list", "left_anti").unionByName(inverted(own)), "lists")
 
 
-def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK, askers: DataFrame | None = None) -> DataFrame:
+def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block: int = BLOCK, askers: DataFrame | None = None, origin: DataFrame | None = None) -> DataFrame:
     """(list, block, guests, node, root, asking, resident, sketch): the blocks of the lists that hold more than one component.
 
     Without ``roots`` each node is a component, all ask within their block, and the pivots are in every block. With them the nodes
     outside a list's largest component (of ``askers``, if given) are guests, who ask; each block of guests meets each ``WIDE`` blocks
-    of the list's nodes.
+    of the list's nodes. A list of one block meets as a whole. Which component counts as the largest is told by ``origin``, the roots
+    of the first such look: were it told anew, nodes that have asked could join the largest component, and the others never ask.
     """
     def dealt(n):
         return F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
@@ -173,14 +188,19 @@ def planned(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, block:
         spots = own.select("list", "block", F.lit(0).alias("guests"), "node", F.col("node").alias("root"), yes.alias("asking"), yes.alias("resident"))
     else:
         known = _with_roots(lists, roots)
-        own = known.join(_largest(known).select("list", blocks("n", WIDE * block), F.col("root").alias("giant")), "list").withColumn("guest", F.col("root") != F.col("giant"))
+        several = known.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("list")
+        known = known.join(several, "list", "left_semi")
+        known = known.withColumn("first", F.col("root")) if origin is None else known.join(origin.select("node", F.col("root").alias("first")), "node", "left").withColumn("first", F.coalesce("first", "node"))
+        sizes = _largest(known, "first").select("list", (F.col("n") <= block).alias("whole"), blocks("n", WIDE * block), F.col("root").alias("giant"))
+        own = known.join(sizes, "list").withColumn("guest", F.col("first") != F.col("giant"))
         if askers is not None:
             own = own.join(askers.select("node", yes.alias("asks")), "node", "left").withColumn("guest", F.col("guest") & F.coalesce("asks", no))
         own = own.join(own.where("guest").groupBy("list").agg(F.count("*").alias("m")).select("list", blocks("m", GUESTS * block)), "list")
-        place = lambda block_, guests, asks: F.struct(block_.alias("block"), guests.alias("guests"), asks.alias("asking"))
-        stay = F.transform(upto(F.col("m")), lambda g: place(dealt(F.col("n")), g, no))
-        visit = F.when(F.col("guest"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes)))
-        spots = own.select("list", "node", "root", F.inline(F.concat(stay, F.coalesce(visit, F.filter(stay, lambda _: no))))).select("list", "block", "guests", "node", "root", "asking", (~F.col("asking")).alias("resident"))
+        place = lambda block_, guests, asks, stays: F.struct(block_.alias("block"), guests.alias("guests"), asks.alias("asking"), stays.alias("resident"))
+        once = F.array(place(F.lit(0), F.lit(0), F.col("guest"), yes))
+        stay = F.transform(upto(F.col("m")), lambda g: place(dealt(F.col("n")), g, no, yes))
+        visit = F.when(F.col("guest"), F.transform(upto(F.col("n")), lambda b: place(b, dealt(F.col("m")), yes, no)))
+        spots = own.select("list", "node", "root", F.inline(F.when(F.col("whole"), once).otherwise(F.concat(stay, F.coalesce(visit, F.filter(stay, lambda _: no))))))
     return spots.join(nodes.select("node", "sketch"), "node").select("list", "block", "guests", "node", "root", "asking", "resident", "sketch")
 
 
@@ -234,8 +254,8 @@ def candidates(plan: DataFrame, partners: int, kept: int = KEPT, percent: int =
     return found.withColumn("place", place).where(F.col("place") <= partners + 1).select("node", "partner", "place")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``; ``sets`` has (node, own)."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``. Only the sets of documents in a pair are made, from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,9 +269,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     # most sets aren't asked for
     pairs = materialize(pairs, "pairs")
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    sets = sets.join(F.broadcast(ends) if ends.count() <= SMALL else ends, "node", "left_semi")
+    sets = materialize(full_sets(docs, F.broadcast(ends) if ends.count() <= SMALL else ends), "sets")
     mine = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return mine.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    judged = materialize(mine.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"), "judged")
+    for read in (pairs, ends, sets):
+        discard(read)
+    return judged
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,23 +299,22 @@ def classes(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, listed: i
     signed = materialize(sketches(docs, kept, listed), "sketches")
     ids = signed.where("doc_id is not null and size > 0")
     keys = materialize(ids.groupBy("key").agg(F.min("doc_id").alias("node")), "keys")
-    nodes = materialize(ids.join(keys, "key").where(F.col("doc_id") == F.col("node")).where(F.col("size") >= smallest(percent)).dropDuplicates(["node", "key"]).select("node", "sketch", "low"), "nodes")
+    nodes = materialize(ids.join(keys, "key").where(F.col("doc_id") == F.col("node")).where(F.col("size") >= smallest(percent)).dropDuplicates(["node", "key"]).select("node", "size", "sketch", "low"), "nodes")
     lists = inverted(nodes.select(F.explode("low").alias("list"), "node"))
-    sets = materialize(full_sets(docs, lists.select("node").distinct()), "sets")
     # texts of one id belong together
     links = materialize(ids.join(keys, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"), "links")
-    tested, roots, partners, askers = links.where("false"), None, 1, None
+    tested, roots, origin, partners, askers = links.where("false"), None, None, 1, None
     while True:
-        found = materialize(candidates(planned(lists, nodes, roots, block, askers), partners, kept, percent), "candidates")
+        found = materialize(candidates(planned(lists, nodes, roots, block, askers, origin), partners, kept, percent), "candidates")
         pairs = found.where(F.col("place") <= partners).select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
-        judged = materialize(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent), "judged")
+        judged = verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, percent)
         tested = tested.unionByName(judged.select("a", "b"))
         own = judged.where("linked").select("a", "b")
         if roots is None or not own.isEmpty():
             links = links.unionByName(own)
             roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
         if partners == 1:
-            lists, partners = split(lists, roots, refined), 4
+            lists, origin, partners = split(lists, roots, refined, bands_of(nodes, percent)), roots, 4
         else:
             askers = found.where(F.col("place") > partners).select("node")
             if askers.isEmpty():
