@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidalgrid.llm import decontaminate, jaccard, lines, pieces, toxicity
-from tidalgrid.llm.common import scratch
+from tidalgrid.llm.common import release, scratch
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -30,4 +30,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return docs

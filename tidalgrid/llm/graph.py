@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalgrid.llm.common import discard, materialize, plain_unions
+from tidalgrid.llm.common import discard, materialize, plain_unions, release
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     node with very many edges can be split.
     """
     plain_unions(edges.sparkSession)
+    release(edges.sparkSession)
     own = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     own = materialize(own, label)
     state = None
