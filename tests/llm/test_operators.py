@@ -512,6 +512,14 @@ def test_neighbours_in_the_tries(spark):
     assert got == want
 
 
+def test_near_copies_do_not_cost_links_at_the_threshold(spark):
+    """Few trees and many very near copies: what is found among these must not choose the prefixes' length for all links."""
+    rows = [(i, prose(900 + i // 4, 300) + " end" * (i % 4)) for i in range(400)]
+    rows += [(1000 + 2 * i + k, prose(2000 + i, 200 + 48 * k)) for i in range(40) for k in (0, 1)]
+    found = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), trees=4, recall=0.8).where("doc_id >= 1000")
+    assert {n for _, _, n in jaccard.brute_force(rows[400:])} == {1} and found.agg(F.sum("n_links")).first()[0] >= 60
+
+
 def test_jaccard_edges(spark):
     with pytest.raises(ValueError):
         jaccard.jaccard_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

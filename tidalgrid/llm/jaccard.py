@@ -4,10 +4,9 @@ A document is the set of its five-word shingles. Documents with equal sets are o
 ``TREES`` prefix tries holds the nodes by a path of ``DEPTH`` MinHash values: Spark sorts all paths, so the nodes below any
 prefix are neighbours, and one pass notes how many values each path has in common with the one before it.
 
-Matched prefixes are then shortened, from ``DEPTH`` on, until the recall suffices: a bounded sample of neighbours
-(``SAMPLE``) is compared exactly, and of the similarities found the expected share of links whose ends meet in some trie
-must reach ``RECALL``. Data with very near copies only keep long prefixes; links at the threshold ask for shorter ones. A
-sample without links is judged as if all were at the threshold.
+Matched prefixes are then shortened, from ``DEPTH`` on, until even a link right at the threshold is expected to meet in some trie by
+``RECALL``; more alike nodes meet more surely. The length hangs on the threshold alone, not on the data or a sample of it: a
+corpus of very near copies doesn't cost the links at the threshold their recall.
 
 Nodes with a common prefix of that length are candidates. Their graph falls into components, and the pairs of a component
 whose sizes allow the threshold are compared exactly, in blocks, so a large group is spread over tasks and neither its
@@ -34,8 +33,6 @@ from tidalgrid.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, SHORTEST, RECALL = 32, 10, 4, 0.9995
-#: Pairs of neighbours that are compared to choose the prefixes' length.
-SAMPLE = 2_000
 #: Documents of a component that one side of a comparison holds; numbers of blocks that a size band may have.
 BLOCK, BANDS = 256, 1 << 40
 
@@ -155,24 +152,6 @@ def common(a: bytes, b: bytes) -> int:
     return (8 * len(a) - x.bit_length()) // 16
 
 
-def sampled_similarities(near: DataFrame, docs: DataFrame, rows: int = SAMPLE) -> np.ndarray:
-    """Exact similarities of a bounded sample of different neighbours, chosen by hash."""
-    pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().orderBy(F.xxhash64("a", "b"), "a", "b").limit(rows).collect()
-    if not pairs:
-        return np.zeros(0)
-    ends = docs.sparkSession.createDataFrame([(i, x) for i, r in enumerate(pairs) for x in (r["a"], r["b"])], "pair long, node long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ends), "node")
-
-    def similarity(rows: pa.Table) -> pa.Table:
-        sets = dict(zip(rows["node"].to_pylist(), (np.frombuffer(x, np.uint64) for x in rows["own"].to_pylist()), strict=True))
-        x, y = sets.values()
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return pa.table({"similarity": [both / max(1, len(x) + len(y) - both)]})
-
-    found = packed_sets(texts, "pair", "node").groupBy("pair").applyInArrow(similarity, "similarity double").collect()
-    return np.array([r["similarity"] for r in found])
-
-
 def packed_sets(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` (longs), ``key``, which names the shingle set of ``text``, and the set itself, ``own``."""
 
@@ -301,9 +280,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     ids = signed.where("doc_id is not null")
     classes = materialize(ids.groupBy("key").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.min("size").alias("size")), "classes")
     nodes = ids.join(classes.select("key", "node"), "key").where("doc_id = node").select("node", "paths").where(F.size("paths") > 0)
-    near = neighbours(nodes).where("node != other")
-    length = prefix_depth(sampled_similarities(near, docs), threshold, trees, depth, recall)
-    own = near.where(F.col("common") >= length).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    near = neighbours(nodes, prefix_depth(np.zeros(0), threshold, trees, depth, recall)).where("node != other")
+    own = near.select(F.col("node").alias("u"), F.col("other").alias("v"))
     found = components(own, "candidates")
     weights = classes.groupBy("node").agg(F.sum("copies").alias("copies"))
     plan = block_plan(found.join(classes.select("node", "key", "size"), "node").join(weights, "node"), threshold, block)
