@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from helpers import measure
 from pyspark.sql import functions as F
@@ -356,6 +357,35 @@ def test_blocks_of_a_stream_are_in_arrival_order(spark, tmp_path):
     assert got == points(storage.blocks(m.withColumn("block_size", F.lit(10))), "block", "t_start", "t_end", "n")
 
 
+def test_open_blocks_of_many_series_are_one_state():
+    """Two batches of a group: one call each, and blocks go on where the batch before left them."""
+    held = []
+
+    class State:
+        def exists(self):
+            return bool(held)
+
+        def get(self):
+            return held[-1]
+
+        def update(self, value):
+            held.append(value)
+
+    made = streams._Blocks(3)
+    made.state = State()
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", "c", None]), s, 1000 - 7 * s) for s in range(41)]
+    out = []
+    for batch in (rows[:2], rows[2:20], rows[20:]):
+        parts = [pd.DataFrame(batch[i::2], columns=["path", "seq", "ts_ns"]) for i in range(2)]
+        out += [x for done in made.handleInputRows(("n", 0), iter(parts), None) for x in done.itertuples(index=False, name=None)]
+    want = []
+    for p in ("a", "b", "c", None):
+        own = [t for q, _, t in rows if q == p]
+        want += [("n", p, i, own[3 * i], own[3 * i + 2], 3) for i in range(len(own) // 3)]
+    assert len(held) == 3 and sorted(out, key=str) == sorted(want, key=str)
+
+
 def test_a_hot_series_is_numbered_in_slabs(spark):
     rows = [("a/t" if i % 10 else "b/t", i, i // 300 % 2) for i in range(2000)]
     m = measure(spark, rows)
