@@ -184,6 +184,29 @@ def test_scattered_lists_are_split(spark):
     assert groups == {frozenset(range(1, 40, 2)), frozenset(range(0, 40, 2)), *[frozenset(range(4 * i, 4 * i + 4)) for i in range(10)]}
 
 
+def test_common_passages_make_no_rows(spark, monkeypatch):
+    """Documents that share nothing but a passage leave the lists after the first round, so that the second has no rows for
+    each block of the others; linked ones are still found."""
+    shared, r, made, planned = prose(7, 40), random.Random(7), [], sketches.planned
+    monkeypatch.setattr(sketches, "planned", lambda *a: made.append(planned(*a).cache()) or made[-1])
+    rows = [(i, " ".join(shared + prose(1000 + i, 100))) for i in range(240)]
+    rows += [(300 + i, near(rows[i][1].split(), r, 1)) for i in range(5)]
+    got = result(sketches.classes(table(spark, rows).repartition(4), block=8, refined=20))
+    assert got == sorted(sketches.brute_force(rows), key=repr) and sum(not k for *_, k in got) == 5
+    assert made[0].count() > len(rows) > made[1].count()
+
+
+def test_paths_meet_at_the_threshold(spark):
+    assert sketches.depth(85) == 5 and sketches.depth(100) == 63 and sketches.depth(10) == 1
+    r, rows = random.Random(3), []
+    for i in range(0, 200, 2):
+        both = [r.getrandbits(32) for _ in range(170)]
+        rows += [(i + k, np.unique(np.array(both + [r.getrandbits(32) for _ in range(15)], np.uint32)).tobytes()) for k in (0, 1)]
+    found = sketches.paths(table(spark, rows, "node long, sketch binary").repartition(3))
+    groups = found.groupBy("list").agg(F.collect_set("node").alias("n")).where(F.size("n") > 1).select("n").collect()
+    assert {tuple(sorted(g.n)) for g in groups} == {(i, i + 1) for i in range(0, 200, 2)} and found.count() == 200 * sketches.TRIES
+
+
 def proposed(nodes, roots, own):
     every = np.ones(len(nodes), bool)
     found = sketches.propose(np.array(nodes), np.array(roots), every, every, own, 5, 128, 85)

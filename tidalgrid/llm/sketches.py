@@ -14,7 +14,9 @@ node has more. So a large group of near copies stays linear, and a search pair b
 without a link.
 
 Lists of more than ``REFINED`` nodes most of which lie in different components are split by a second such hash, which two sets at the
-threshold lack with 1e-5, and by size where they are long even then. No rows of pairs are made but candidates.
+threshold lack with 1e-5. Where all of these belong to a common passage that does not help, as its documents share them and no more.
+These nodes meet by ``TRIES`` paths instead, each of several hashes drawn anew from their whole sketches (see ``depth``), so that a shared
+passage alone seldom makes a list. No rows of pairs are made but candidates.
 
 ``doc_id`` must be of an integer type, else ValueError. Texts without words, null ones included, have empty sets and link with
 nothing. Rows that repeat an id are one document; if their texts differ it has the links of each. Rows without an id are returned
@@ -32,12 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidalgrid.llm.common import UNSPACED, Words, discard, materialize, plain_unions, small_batches, text_blocks, word_grams
+from tidalgrid.llm.common import UNSPACED, Words, discard, materialize, plain_unions, small_batches, splitmix, text_blocks, word_grams
 from tidalgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
 KEPT, LISTED, SPREAD = 256, 8, 4.5
 REFINED, BLOCK, WIDE, GUESTS = 256, 256, 16, 4
+#: Nodes outside a list's largest component that meet the whole list as one block of guests, so in rows that grow with the list.
+STRAYS = GUESTS * BLOCK
+#: Paths by which the nodes of scattered pairs meet.
+TRIES = 30
 #: Ids that are broadcast, 8 bytes each; beyond, they are shuffled.
 SMALL = 200_000
 #: Hashes of the first look at an estimate.
@@ -140,27 +146,52 @@ def _largest(known: DataFrame, root: str = "root") -> DataFrame:
     return counts.groupBy("list").agg(F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("root"), F.max("k").alias("most")).where("n > most")
 
 
-def bands_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, bands): two nodes whose sizes allow the threshold have a band in common. Bands are geometric, and each holds the sizes
-    of its own step and of the next one."""
-    # a little above the threshold's own step, so that rounding can't part two sizes
-    step = -np.log(percent / 100) * (1 + 1e-9)
-    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(step))).cast("int")
-    return nodes.select("node", F.explode(F.array(own - 1, own)).alias("band")).groupBy("node").agg(F.collect_set("band").alias("bands"))
+def depth(percent: int, tries: int | None = None) -> int:
+    """The most hashes of a path for which two sets at the threshold still meet in one of the tries but for 1e-7."""
+    return max([1, *(r for r in range(1, 64) if (1 - (percent / 100) ** r) ** (tries or TRIES) <= 1e-7)])
 
 
-def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED, bands: DataFrame | None = None) -> DataFrame:
-    """``lists`` with those in whose place come the lists of pairs of their hashes: the long ones without a component that has half
-    of their nodes. Those that are still long are cut by ``bands`` of sizes, if given."""
-    found = _largest(_with_roots(lists, roots)).where((F.col("n") > refined) & (2 * F.col("most") < F.col("n"))).select("list")
+def paths(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(list, node): for each of ``TRIES`` the list of the nodes whose sketches have the same smallest hashes under ``depth`` new
+    functions."""
+    r = depth(percent)
+    salts = splitmix(np.arange(1, TRIES * r + 1, dtype=np.uint64) << np.uint64(32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for sketch in b.column(1):
+                own = np.frombuffer(sketch.as_buffer(), np.uint32).astype(np.uint64)
+                least = np.array([splitmix(own ^ s).min() for s in salts], np.uint64).reshape(TRIES, r)
+                path = np.arange(TRIES, dtype=np.uint64)
+                for k in range(r):
+                    with np.errstate(over="ignore"):
+                        path = splitmix(path + least[:, k])
+                found.append(path.view(np.int64))
+            if found:
+                ids = pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), TRIES), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), ids], names=["list", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "list long, node long").distinct()
+
+
+def _scattered(lists: DataFrame, roots: DataFrame, refined: int) -> DataFrame:
+    """(list): the long lists without a component that has half of their nodes, or with more than ``STRAYS`` nodes outside it."""
+    return _largest(_with_roots(lists, roots)).where((F.col("n") > refined) & ((2 * F.col("most") < F.col("n")) | (F.col("n") - F.col("most") > STRAYS))).select("list")
+
+
+def split(lists: DataFrame, roots: DataFrame, refined: int = REFINED, nodes: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+    """``lists`` with those that are scattered over components replaced by the lists of pairs of their hashes. The nodes of pairs that
+    are scattered even then meet by ``paths`` of their sketches in place of these pairs, if ``nodes`` (node, sketch) are given."""
+    found = _scattered(lists, roots, refined)
     scattered = lists.join(found, "list", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("l"))
     # a node has LISTED values at most, so these arrays are small
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    own = scattered.select(F.explode(pairs).alias("list"), "node")
-    if bands is not None:
-        long = own.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > refined).select("list", F.lit(True).alias("long"))
-        cut = F.when(F.col("long"), F.transform("bands", lambda b: F.xxhash64("list", b))).otherwise(F.array("list"))
-        own = own.join(long, "list", "left").join(bands, "node").select(F.explode(cut).alias("list"), "node")
+    own = materialize(scattered.select(F.explode(pairs).alias("list"), "node"), "pairs")
+    if nodes is not None:
+        long = materialize(_scattered(own, roots, refined), "long")
+        several = own.join(long, "list", "left_semi").select("node").distinct()
+        own = materialize(own.join(long, "list", "left_anti").unionByName(paths(nodes.join(several, "node", "left_semi"), percent)), "pairs")
     return materialize(lists.join(found, "list", "left_anti").unionByName(inverted(own)), "lists")
 
 
@@ -314,7 +345,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, listed: i
             links = links.unionByName(own)
             roots = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
         if partners == 1:
-            lists, origin, partners = split(lists, roots, refined, bands_of(nodes, percent)), roots, 4
+            lists, origin, partners = split(lists, roots, refined, nodes, percent), roots, 4
         else:
             askers = found.where(F.col("place") > partners).select("node")
             if askers.isEmpty():
