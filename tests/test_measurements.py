@@ -171,6 +171,23 @@ def rule(path="*/t", window=100, agg=None, op=">", limit=5.0, whole=False, **mor
     return {"node_id": "n", "rule_id": "r", "name": "rule", "active": True, "logic": "AND", "conditions": [condition], "actions": [action]} | more
 
 
+def test_rules_read_measurements_few_times(spark):
+    """Series, bound conditions and turns are written once, not worked out again for each step that reads or counts them; firings
+    and their contexts bind once."""
+    reads, plain = spark.sparkContext.accumulator(0), measure(spark, [(f"{x}/{k}", 10 * i, i % 7) for i, x in enumerate("abcdefgh") for k in "tu"])
+    m = spark.createDataFrame(plain.rdd.map(lambda r: (reads.add(1), r)[1]), schema.MEASUREMENTS)
+    own = [rule(rule_id=f"r{x}", logic="OR", conditions=[rule(path=f"{x}/t", limit=2.0)["conditions"][0], rule(path=f"{x}/u", agg="avg", limit=4.0)["conditions"][0]]) for x in "abcdefgh"]
+    rules, times = spark.createDataFrame(own, schema.RULES), spark.createDataFrame([("n", t) for t in (40, 60, 120, 500)], "node_id string, t_ns long")
+    fired = points(rules_.evaluate_rules(m, views.keys(m), rules, times).where("fired"), "rule_id", "t_ns")
+    assert fired and reads.value <= 6 * plain.count()
+    reads.value = 0
+    found = points(rules_.contexts(m, views.keys(m), rules, times).select("rule_id", "t_ns", "serie", F.to_json("context").alias("c")), "rule_id", "t_ns", "serie", "c")
+    assert reads.value <= 8 * plain.count()
+    hits = rules_.evaluate_rules(plain, views.keys(plain), rules, times).where("fired")
+    assert found == points(rules_.context(hits, plain, views.keys(plain), rules).select("rule_id", "t_ns", "serie", F.to_json("context").alias("c")), "rule_id", "t_ns", "serie", "c")
+    assert [r[:2] for r in found] == fired
+
+
 def test_rules(spark):
     m = measure(spark, [("a/t", 10, 1), ("b/t", 20, 9), ("a/t", 30, 3)])
     times = spark.createDataFrame([("n", 30), ("n", 500)], "node_id string, t_ns long")
